@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from simgate.llm.bpe_codec import op4_bpe_codec
+from simgate.llm.language import op5_language_rank
 from simgate.llm.token_count import op2_token_count
 from simgate.llm.token_files import op9_token_files
+from simgate.llm.winnowing import OP3_SQL, op3_winnowing
 
 QUERIES = {
     "op2_token_count": op2_token_count,
+    "op3_winnowing": op3_winnowing,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_language_rank": op5_language_rank,
     "op9_token_files": op9_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_winnowing": OP3_SQL}
