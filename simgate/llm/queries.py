@@ -6,6 +6,7 @@ from simgate.llm.bpe_codec import op4_bpe_codec
 from simgate.llm.flac_media import op1_flac_media
 from simgate.llm.language import op5_language_rank
 from simgate.llm.near_dedup import OP7_SQL, op7_minmax_dedup
+from simgate.llm.pii import op6_pii_surrogates
 from simgate.llm.token_count import op2_token_count
 from simgate.llm.token_files import op9_token_files
 from simgate.llm.winnowing import OP3_SQL, op3_winnowing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_winnowing": op3_winnowing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_language_rank": op5_language_rank,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_minmax_dedup": op7_minmax_dedup,
     "op9_token_files": op9_token_files,
 }
