@@ -7,6 +7,7 @@ from simgate.llm.flac_media import op1_flac_media
 from simgate.llm.language import op5_language_rank
 from simgate.llm.near_dedup import OP7_SQL, op7_minmax_dedup
 from simgate.llm.pii import op6_pii_surrogates
+from simgate.llm.quality import op8_mil_quality
 from simgate.llm.suffix_dedup import op10_suffix_dedup
 from simgate.llm.token_count import op2_token_count
 from simgate.llm.token_files import op9_token_files
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_rank": op5_language_rank,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_minmax_dedup": op7_minmax_dedup,
+    "op8_mil_quality": op8_mil_quality,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
