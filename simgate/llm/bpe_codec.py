@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
 ``encode(df)`` gives each text's token ids; ``decode(df)`` gives the bytes of an ids column back;
-``digests(df)`` does both in one pass and returns counts and digests alone.
+``encoded(df)`` does both in one pass and adds counts and digests.
 
 Defined results: a null or empty text has no ids (digests are those of the empty string); a null
 id stays null; repeated rows give repeated rows; texts of any length are encoded whole, pre-tokens
@@ -67,7 +67,9 @@ def decode(df: DataFrame, path: str = RANKS, ids_col: str = "ids", out_col: str
     return df.withColumn(out_col, run(F.col(ids_col)))
 
 
-def digests(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(df: DataFrame, path: str = RANKS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ids (where wanted), their number, and digests of the ids (decimal, with commas) and of the bytes they decode to."""
+
     def make() -> Callable[[list], dict]:
         codec = Codec(path)
         names = [str(i) for i in range(len(codec.decoder.tokens))]
@@ -77,15 +79,15 @@ def digests(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col:
             ids, at = ids.tolist(), at.tolist()
             own = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             return {
-                "n_tokens": [len(x) for x in own],
+                "ids": own if with_ids else None, "n_tokens": [len(x) for x in own],
                 "ids_sha256": [hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest() for x in own],
                 "decoded_sha256": [hashlib.sha256(codec.decoder.decode(x)).hexdigest() for x in own],
-            }
+            }
 
         return fn
 
-    return map_texts(df, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return map_texts(df, make, "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir))
+    return encoded(documents(spark, sf_dir), with_ids=False)

@@ -63,3 +63,17 @@ ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32()), "array<binary>": pa.list_(pa.binary()),
 }
+
+
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, for which a function of a list of texts says true."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = [bool(x) for a, b in slices(texts) for x in fn(texts[a:b])]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

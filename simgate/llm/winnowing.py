@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgate.llm.tables import documents, map_texts, slices, table
+from simgate.llm.tables import documents, filter_texts, map_texts, slices, table
 from simgate.llm.words import ALPHANUMERIC, Words
 
 WINDOW, GRAM = 13, 5
@@ -142,6 +142,25 @@ def contamination(df: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BR
     return map_texts(df, make, SCHEMA, id_col, text_col)
 
 
+def clean(df: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, that aren't contaminated."""
+    items = named_items(benchmark)
+    size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    if size > broadcast_bytes:
+        bad = by_join(df, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("bad")).distinct()
+        return df.join(bad, df[id_col].eqNullSafe(F.col("bad")), "left_anti")
+    index = df.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.toLocalIterator()]))
+
+    def make() -> Callable[[list], list]:
+        def fn(texts: list) -> list:
+            words = Words(texts, ALPHANUMERIC)
+            return ~judge(words, index.value.hits(words))["contaminated"]
+
+        return fn
+
+    return filter_texts(df, make, text_col)
+
+
 def by_join(df: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The same, for a benchmark that is too large to send everywhere."""
     lengths = items.select(F.col("item").alias("text"), F.lit(0).alias("doc_id"))
