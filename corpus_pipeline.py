@@ -1,7 +1,62 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""From raw documents to token ids: five stages, each a filter or a rewrite over all documents.
+
+Stages take and return the columns of ``documents`` (extra columns pass through); the last returns
+token ids. Documents without a letter go, of each group of near duplicates the smallest id stays,
+contaminated documents go, personal data get surrogates, and what is left is encoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simgate.llm import bpe_codec, language, near_dedup, pii, winnowing
+from simgate.llm.shared import written
+from simgate.llm.tables import documents, filter_texts, table
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a learned language; those without any letter (``und``) go."""
+    profiles = spark.sparkContext.broadcast(language.fit(docs.where(~language.held_out("doc_id", 5, 0))))
+    return filter_texts(docs, lambda: lambda texts: [x != "und" for x in profiles.value.judge(texts)["lang_pred"]])
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near duplicates."""
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which benchmark windows cover a twentieth or more."""
+    return winnowing.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put surrogates in the place of personal data."""
+    changed = pii.surrogates(docs).select(*docs.columns)
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and digests of the ids and of the bytes that they decode to."""
+    return bpe_codec.encoded(docs)
+
+
+STAGES = [
+    ("language", identify),
+    ("near_duplicates", deduplicate),
+    ("decontamination", decontaminate),
+    ("personal_data", replace_personal_data),
+    ("token_ids", encode),
+]
+#: Profiles, near duplicates by signature and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
