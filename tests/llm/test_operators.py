@@ -1,0 +1,368 @@
+"""The ten operators against brute force, the libraries, exact round trips or held-out accuracy."""
+
+import hashlib
+import random
+import struct
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from simgate.llm import bpe, bpe_codec, flac, flac_media, language, near_dedup, pii, quality, suffix_dedup, token_count, token_files, winnowing
+
+random.seed(5)
+SYLLABLES = "an re the in or ed is on at en ti es st hea ble tion".split()
+
+
+def prose(n, seed=0, syllables=SYLLABLES):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(n))
+
+
+BASE = prose(120, 1)
+ODD = [
+    None, "", " ", "a", "\n \n", "it's 's  x''s I'LL don't <|endoftext|> b<|endoftext|><|endoftext|>", "x" * 3000 + "ab" * 700, "漢字かな test—dash… 😀👍🏽 é ΣΑΣ ½² 12345",
+    "  lead\t", "trail \n", BASE, BASE, BASE.replace("an", "AN"), BASE + " extra words at the end", prose(5, 2), prose(3000, 3), "'v", "e", prose(60, 4) + " " + BASE[:400] + " " + prose(60, 6),
+]
+
+
+def frame(spark, texts=ODD, ids=None):
+    """Documents with columns whose names clash with those that operators make."""
+    rows = [(i if ids is None else ids[i], t, "en", i, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_tokens int, id string").repartition(3)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def empty(spark):
+    return frame(spark).where("false")
+
+
+# op1
+
+
+def test_flac_streams_round_trip_and_notice_damage():
+    payloads = [flac_media.padded(x) for x in (b"", b"a" * 576, bytes(range(256)) * 9, np.random.default_rng(1).integers(0, 256, 5760).astype(np.uint8).tobytes(), b"\x00" * 575 + b"\xff", bytes(random.choice([0, 255]) for _ in range(3000)), b"x" * 90000, BASE.encode())]
+    streams = flac.encode(payloads)
+    assert [p.tobytes() for p in flac.decode(streams)] == payloads
+    kinds = set()
+    for s in streams:
+        info = flac.Stream(s)
+        for o in info.offsets.tolist():
+            at = info.audio + o + 5
+            kinds.add(s[at + 1] >> 1 if s[at - 1] < 128 else None)
+    assert len(streams[2]) < len(payloads[2]) and streams[0][:4] == b"fLaC"
+    for at in (-3, -20, len(streams[7]) // 2):
+        bad = bytearray(streams[7])
+        bad[at] ^= 8
+        with pytest.raises(flac.FlacError):
+            flac.decode([bytes(bad)])
+    with pytest.raises(flac.FlacError):
+        flac.encode([b"short"])
+
+
+def test_flac_many_frames_have_long_numbers():
+    payload = (b"abcdefgh" * 72) * 2100
+    assert flac.decode(flac.encode([payload]))[0].tobytes() == payload
+
+
+def test_flac_media_query(spark):
+    got = by_id(flac_media.features(flac_media.encode(frame(spark))))
+    assert len(got) == len(ODD)
+    for i, t in enumerate(ODD):
+        raw = (t or "").encode()
+        pay = flac_media.padded(raw)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
+    assert got[10].feature == got[11].feature and got[10].media_sha256 == got[11].media_sha256 and got[0].feature == got[1].feature
+    assert flac_media.features(flac_media.encode(empty(spark))).count() == 0
+
+
+def test_pcm_blocks_are_seekable(spark):
+    media = flac_media.encode(frame(spark, [prose(3000, 3)]))
+    blocks = flac_media.decode(media, blocks=4).orderBy("first_sample").collect()
+    whole = b"".join(bytes(b.pcm) for b in blocks)
+    assert whole == flac_media.padded(prose(3000, 3).encode()) and [b.first_sample for b in blocks] == list(range(0, len(whole), 4 * 576))
+
+
+# op2, op4, op9
+
+
+def test_token_counts_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = by_id(token_count.count_tokens(frame(spark)))
+    for i, t in enumerate(ODD):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 1024)
+    assert token_count.count_tokens(empty(spark)).count() == 0
+
+
+def test_whole_tokens_are_proven():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    proven = token_count.whole_tokens(token_count.Merges(token_count.TOKENIZER))
+    assert len(proven) > 45_000
+    assert all(len(e.ids) == 1 for e in library.encode_batch(random.sample(proven, 3000), add_special_tokens=False))
+
+
+def tiktoken_library():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe_codec.RANKS), special_tokens={})
+
+
+def test_bpe_is_the_librarys_and_decodes(spark):
+    library, got = tiktoken_library(), by_id(bpe_codec.encoded(frame(spark)))
+    for i, t in enumerate(ODD):
+        ids = library.encode_ordinary(t or "")
+        assert list(got[i].ids) == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    back = by_id(bpe_codec.decode(bpe_codec.encode(frame(spark))))
+    assert all(bytes(back[i].decoded) == (t or "").encode() for i, t in enumerate(ODD))
+    assert bpe_codec.encoded(empty(spark)).count() == 0
+
+
+def test_matrix_rows_and_heap_agree(monkeypatch):
+    merger = bpe.Merger(bpe.read_ranks(bpe_codec.RANKS))
+    r = random.Random(3)
+    pieces = [bytes(r.choices(b"abcdehinorst \xc3\xa9", k=r.randint(1, 300))) for _ in range(400)]
+    rows = merger.encode(pieces)
+    monkeypatch.setattr(bpe, "LONGEST_ROW", 0)
+    assert merger.encode(pieces) == rows
+
+
+@pytest.mark.parametrize("delta", [False, True])
+def test_token_files(spark, tmp_path, delta):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    folder = str(tmp_path / "ids")
+    token_files.write_ids(frame(spark), folder, delta=delta, ranges=4)
+    got, before = by_id(token_files.starts(spark, folder)), 0
+    for i, t in enumerate(ODD):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (before, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        before += len(ids)
+    files = [f for f in (tmp_path / "ids").iterdir() if f.suffix == ".parquet"]
+    column = pq.ParquetFile(files[0]).metadata.row_group(0).column(4)
+    assert column.path_in_schema.startswith("ids") and ("DELTA_BINARY_PACKED" in column.encodings if delta else "RLE_DICTIONARY" in column.encodings or "PLAIN_DICTIONARY" in column.encodings)
+    assert column.has_offset_index and column.has_column_index
+    none = str(tmp_path / "none")
+    token_files.write_ids(empty(spark), none, ranges=2)
+    assert token_files.starts(spark, none).count() == 0
+
+
+# op3
+
+
+def brute_contamination(text, items):
+    words = lambda t: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t or "").split(" ") if w]
+    w, hit, named = words(text), set(), set()
+    for name, t in items:
+        i = words(t)
+        n = min(13, len(i))
+        for k in range(len(i) - n + 1 if i else 0):
+            for p in range(len(w) - n + 1):
+                if w[p : p + n] == i[k : k + n]:
+                    hit |= set(range(p, p + n))
+                    named.add(name)
+    ids = ",".join(sorted(named))
+    return len(w), len(hit), len(named), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 0])
+def test_contamination(spark, size):
+    words = prose(300, 9).split()
+    items = [("10", " ".join(words[20:60])), ("9", " ".join(words[100:113])), ("2", " ".join(words[100:113])), ("3", "short Item"), ("4", ""), ("5", " ".join(words[200:212])), ("7", "same " * 20), (None, BASE)]
+    texts = [
+        None, "", prose(40, 10), " ".join(words), " ".join(words[30:43]), " ".join(words[30:42]), "A short, item!", "x " * 400 + " ".join(words[100:113]), "same " * 40, " ".join(words[25:50]) + " gap " + " ".join(words[40:58]),
+        prose(20, 11) + " " + " ".join(words[200:212]).upper(), "short item short item",
+    ]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = by_id(winnowing.contamination(frame(spark, texts), bench, broadcast_bytes=size))
+    want = {i: brute_contamination(t, [x for x in items if x[0]]) for i, t in enumerate(texts)}
+    assert {i: tuple(r)[1:] for i, r in got.items()} == want
+    kept = {r.doc_id for r in winnowing.clean(frame(spark, texts), bench, broadcast_bytes=size).collect()}
+    assert kept == {i for i, w in want.items() if not w[4]}
+    assert winnowing.contamination(frame(spark, texts), bench.where("false")).where("contaminated").count() == 0
+    assert winnowing.contamination(empty(spark), bench, broadcast_bytes=size).count() == 0
+
+
+# op5, op8
+
+
+def test_language(spark):
+    other = "üng ßen ver zu äch ieu lich".split()
+    docs = [(i, prose(40, i) if i % 2 else prose(40, i, other), "en" if i % 2 else "de") for i in range(300)] + [(900, None, "en"), (901, "12 !?", "en"), (902, "", None), (903, "the", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    profiles = language.fit(df.where(~language.held_out("doc_id", 5, 0)))
+    got = by_id(language.predict(df, profiles))
+    assert all(got[i].lang_pred == lang for i, t, lang in docs[:300]) and all(0 <= r.score <= 1 for r in got.values())
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].lang_pred == "en"
+    none = language.fit(df.where("false"))
+    assert {r.lang_pred for r in language.predict(df, none).collect()} == {"und"}
+
+
+def test_ngrams_count_padded_words():
+    owner, grams, counts = language.ngrams(["ab ab", None, "é"])
+    assert Counter(owner.tolist())[0] == 2 + 3 + 2 and counts[owner == 0].max() == 2 and 1 not in owner and (owner == 2).sum() == 4
+
+
+def test_quality(spark):
+    noise = lambda i: " | ".join(prose(60, i).split())
+    docs = [(i, noise(i) if i % 3 == 0 else prose(80, i)) for i in range(400)] + [(998, None), (999, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df.where(~language.held_out("doc_id", 3, 1)), labels)
+    got = by_id(quality.score(df, model))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(got) == 402 and np.mean([got[i].predicted == (i % 3 != 0) for i in held]) > 0.97
+    assert 0 <= got[998].score == got[999].score <= 1
+    flat = quality.fit(df, labels.where("false"))
+    assert {r.score for r in quality.score(df, flat).collect()} == {0.5}
+
+
+def test_quality_gradients_are_right():
+    r = np.random.default_rng(0)
+    m = quality.Model()
+    x, first, y, w = r.normal(size=(7, quality.FEATURES)), np.array([0, 3, 4, 7]), np.array([1.0, 0, 1]), np.ones(3)
+    loss = lambda: -np.mean(y * np.log(p := m.forward(x, first)[0]) + (1 - y) * np.log(1 - p))
+    p, kept = m.forward(x, first)
+    for name, grad in m.gradients(p, y, w, kept).items():
+        at = tuple(0 for _ in grad.shape)
+        m.w[name][at] += 1e-5
+        up = loss()
+        m.w[name][at] -= 2e-5
+        down = loss()
+        m.w[name][at] += 1e-5
+        assert grad[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+# op6
+
+
+def luhn(digits):
+    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_surrogates(spark):
+    texts = [
+        None, "", "plain text 3.14, 2024-01-02, v 1.2.3.4.5 and 12345678901234567890123", "Ask Mr. John Smith and Mrs. Ann Lee. MAIL A.B@X.COM or a.b@x.com, +1 (017) 555-7713!",
+        'Card 4111 1111 1111 1111 is 4111111111111111; host 10.20.30.40; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "Again a.b@x.com and 10.20.30.40 by Mr. John Smith", "Господин Иван Петров; ssn 123-45-6789; DE89 3704 0044 0532 0130 00",
+        "Again a.b@x.com and 10.20.30.40 by Mr. John Smith",
+    ]
+    got = by_id(pii.surrogates(frame(spark, texts)))
+    assert [got[i].n_entities for i in range(8)] == [0, 0, 0, 5, 4, 3, 3, 3]
+    assert [got[i].text for i in range(3)] == texts[:3] and got[3].lang == "en" and got[5].text == got[7].text
+    for i, gone in ((3, ["John", "Smith", "Ann", "A.B@", "a.b@", "555-7713"]), (4, ["4111 1111", "10.20.30.40", "04dbebab"]), (6, ["Иван", "Петров", "123-45-6789", "DE89 3704"])):
+        assert not [g for g in gone if g in got[i].text]
+    words = got[3].text.split()
+    mail = [w.strip(",.") for w in words if "@" in w]
+    assert mail[0] == mail[1].upper() and mail[1] in got[5].text
+    assert words[2] in pii.NAMES["latin"]["male"] and words[6] in pii.NAMES["latin"]["female"] and " ".join(words[2:4]).strip(".") in got[5].text
+    assert got[4].text[5:24].replace(" ", "") == got[4].text[28:44] and luhn(got[4].text[28:44]) and got[4].text[9] == " "
+    assert got[6].text.startswith("Господин ") and got[6].text.split()[1] in pii.NAMES["cyrillic"]["male"]
+    assert by_id(pii.surrogates(frame(spark, texts), key="other"))[5].text != got[5].text
+    assert pii.surrogates(empty(spark)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    monkeypatch.setattr(pii, "NAMES", {s: {"male": v["male"][:1], "female": v["female"][:1], "family": v["family"][:2]} for s, v in pii.NAMES.items()})
+    names = [f"{a}{b}" for a in ("Al", "Bo", "Cy", "Di") for b in ("ton", "rek", "mund", "gar", "wick")]
+    entities = spark.createDataFrame([("name", n.lower(), "male") for n in names] + [("ip", f"1.2.3.{i}", None) for i in range(200)], "kind string, plain string, gender string")
+    rows = pii.dictionary(entities, "k").collect()
+    assert len(rows) == 220 and len({r.replacement.lower() for r in rows}) == 220 and not {r.replacement.lower() for r in rows} & {r.plain for r in rows}
+
+
+def test_surrogate_plan_runs_no_python(spark):
+    plan = pii.surrogates(frame(spark, ["a@b.cc"]))._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+# op7
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+        sets.append({tuple(w)} if 0 < len(w) < 4 else {tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    low = list(range(len(texts)))
+    for _ in texts:
+        for a, b in combinations(range(len(texts)), 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low[a] = low[b] = min(low[a], low[b])
+    return [(len(s), c) for s, c in zip(sets, low, strict=True)]
+
+
+def edited(text, rate, seed):
+    r = random.Random(seed)
+    return " ".join("zz%d" % r.randrange(9**6) if r.random() < rate else w for w in text.split())
+
+
+def test_near_duplicates(spark):
+    texts = [*ODD, *(edited(BASE, 0.02, s) for s in range(60)), *(edited(edited(BASE, 0.03, 99), 0.01, s) for s in range(100, 115)), *(prose(80, s) for s in range(200, 215)), "one two", "ONE  two", "one two three"]
+    got = by_id(near_dedup.near_duplicates(frame(spark, texts)))
+    want = brute_components(texts)
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_near_duplicates_without_ids_and_with_repeats(spark):
+    rows = near_dedup.near_duplicates(frame(spark, [BASE, BASE, BASE, prose(30, 8), BASE + " end"], ids=[7, 7, None, 3, 9])).collect()
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows)
+    assert got == [(-1, -1, True), (3, 3, True), (7, 7, True), (7, 7, True), (9, 7, False)]
+
+
+# op10
+
+
+def brute_repeats(texts):
+    raws, count = [(t or "").encode() for t in texts], Counter()
+    for r in raws:
+        count.update(r[i : i + 200] for i in range(len(r) - 199))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r) + 1, bool)
+        for i in range(len(r) - 199):
+            if count[r[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        kept = bytes(b for b, g in zip(r, gone, strict=False) if not g)
+        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(r) else 0
+        out.append((len(r), int(gone[:-1].sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("run", "size"), [(30_000, 100_000), (50, 40)])
+def test_repeats(spark, monkeypatch, run, size):
+    monkeypatch.setattr(suffix_dedup, "RUN", run)
+    monkeypatch.setattr(suffix_dedup, "RANGE", size)
+    passage, a, b = prose(70, 50)[:420], prose(200, 51), prose(200, 52)
+    texts = [
+        *ODD, a, a[:300] + b[:300], passage + a[700:900], b[600:900] + passage, prose(30, 53) + passage + prose(30, 54), passage[:199], passage[:200], "ab" * 300, "é" * 100 + passage[50:250] + "é" * 99,
+        a[100:299] + b[100:299], *(edited(prose(300, 55), 0.04, s) for s in range(12)), *(prose(12, 300 + s) + passage[30:330] + prose(12, 400 + s) for s in range(40)),
+        # a context that shares its left side with one document and its right side with another
+        a[:150] + passage[:150] + b[:150], a[50:150] + passage[:110] + "left only", "right only" + passage[20:150] + b[:100],
+    ]
+    got = by_id(suffix_dedup.repeats(frame(spark, texts)))
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute_repeats(texts)
+    assert suffix_dedup.repeats(empty(spark)).count() == 0
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    rows = suffix_dedup.repeats(frame(spark, [BASE, BASE, prose(90, 60), prose(90, 60)[:250] + prose(40, 61)], ids=[4, 4, None, 4])).collect()
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in rows)
+    n = len(BASE)
+    assert got[0][2] == 250 and (4, n, n) in got and sum(g == (4, n, n) for g in got) == 2
