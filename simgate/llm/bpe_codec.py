@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,16 +56,19 @@ def encode(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: s
     return map_texts(df, make, "ids array<int>", id_col, text_col)
 
 
+@lru_cache(4)
+def _decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def decode(df: DataFrame, path: str = RANKS, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes of an ids column; null ids give null. Unknown ids are an error."""
 
     @F.pandas_udf("binary")
-    def run(batches):
-        decoder = Decoder(read_ranks(path))
-        for batch in batches:
-            yield batch.map(lambda x: None if x is None else decoder.decode(list(x)))
+    def run(ids: pd.Series) -> pd.Series:
+        decoder = _decoder(path)
+        return ids.map(lambda x: None if x is None else decoder.decode(list(x)))
 
-    run.__annotations__ = {}
     return df.withColumn(out_col, run(F.col(ids_col)))
 
 

@@ -53,7 +53,8 @@ class Words:
         weight = 1
         for i in range(n):
             weight = weight * 0xD1342543DE82EF95 % (1 << 64)
-            total[: len(total) - i] += self.hashes[i:] * np.uint64(weight)
+            m = max(len(total) - i, 0)
+            total[:m] += self.hashes[i : i + m] * np.uint64(weight)
         return mix(total + np.uint64(n))
 
     def word(self, i: int) -> bytes:

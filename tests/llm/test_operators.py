@@ -362,7 +362,7 @@ def test_repeats(spark, monkeypatch, run, size):
 
 
 def test_repeated_rows_and_missing_ids(spark):
-    rows = suffix_dedup.repeats(frame(spark, [BASE, BASE, prose(90, 60), prose(90, 60)[:250] + prose(40, 61)], ids=[4, 4, None, 4])).collect()
+    rows = suffix_dedup.repeats(frame(spark, [BASE, BASE, prose(90, 60), prose(90, 60)[:250] + "#" + prose(40, 61)], ids=[4, 4, None, 4])).collect()
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in rows)
     n = len(BASE)
     assert got[0][2] == 250 and (4, n, n) in got and sum(g == (4, n, n) for g in got) == 2
