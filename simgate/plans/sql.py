@@ -32,7 +32,7 @@ scored AS (
 setup AS (SELECT *, score_max AS score FROM scored WHERE role IN ('calibration', 'setup')),
 test AS (SELECT *, score_max AS score FROM scored WHERE role = 'test'),
 bounds AS (SELECT min(score) AS low, max(score) AS high FROM setup),
-grid AS (SELECT round(k * {STEP}, 10) AS cutoff FROM (SELECT unnest(range(CAST(floor(low / {STEP}) AS BIGINT), CAST(ceil(high / {STEP}) AS BIGINT) + 1)) AS k FROM bounds))
+grid AS (SELECT round(k * CAST({STEP} AS DOUBLE), 10) AS cutoff FROM (SELECT unnest(range(CAST(floor(low / {STEP}) AS BIGINT), CAST(ceil(high / {STEP}) AS BIGINT) + 1)) AS k FROM bounds))
 """
 
 _STATS = "count(score) AS n, round(avg(score), 9) AS mean, round(min(score), 12) AS min, round(quantile_cont(score, 0.5), 12) AS p50, round(quantile_cont(score, 0.95), 12) AS p95, round(max(score), 12) AS max"
@@ -129,7 +129,7 @@ SELECT image_id, count(name) AS crops, coalesce(bool_or(score_max >= {THRESHOLD}
   CASE WHEN count(name) = 0 THEN 'no_crop' WHEN bool_or(score_max >= {THRESHOLD}) THEN 'hit' ELSE 'miss' END AS status
 FROM (SELECT unnest(range(0, 60)) AS image_id) LEFT JOIN scored ON name % 50 = image_id GROUP BY image_id""",
     "variant_key": """
-SELECT p_brand AS model_id, p_size % 2 = 0 AS detect, CASE WHEN p_size % 2 = 0 THEN p_size % 3 * 0.1 END AS margin, count(*) AS n FROM part GROUP BY ALL""",
+SELECT p_brand AS model_id, p_size % 2 = 0 AS detect, CASE WHEN p_size % 2 = 0 THEN p_size % 3 * CAST(0.1 AS DOUBLE) END AS margin, count(*) AS n FROM part GROUP BY ALL""",
     "status_counts": "SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'ok' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1",
 }
 SQL["aggregation_winner"] = BASE + f""",

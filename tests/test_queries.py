@@ -1,6 +1,7 @@
 """Every registered query against its SQL, over whole small tables."""
 
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -24,7 +25,7 @@ def duck():
 
 
 def plain(value):
-    return round(value, 8) if isinstance(value, float) else value
+    return round(float(value), 8) if isinstance(value, float | Decimal) else value
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
