@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -139,27 +140,33 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def look_up(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (for ``ids_of``) and numbers of ids for each span of the text."""
-        if len(self.place) > self.most:
+        if len(self.keys) > self.most:
             self.clear()
         codes, unique = pd.factorize(span_hashes(points, starts, ends))
-        where = np.fromiter((self.place.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
+        where = np.full(len(unique), -1, np.int64)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+            known = self.keys[near] == unique
+            where[known] = self.places[near[known]]
         new = np.flatnonzero(where < 0)
         if len(new):
             at = np.zeros(len(unique), np.int64)
             at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            made = self.encode([text[starts[i] : ends[i]] for i in at[new]])
+            made = self.encode([text[starts[i] : ends[i]] for i in at[new].tolist()])
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             offsets = len(self.ids) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            self.ids = np.concatenate((self.ids, np.fromiter((x for m in made for x in m), np.int32, int(lengths.sum()))))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))))
             where[new] = len(self.starts) + np.arange(len(new))
             self.starts, self.lengths = np.concatenate((self.starts, offsets)), np.concatenate((self.lengths, lengths))
-            self.place.update(zip(unique[new].tolist(), where[new].tolist(), strict=True))
+            order = np.argsort(unique[new])
+            to = np.searchsorted(self.keys, unique[new][order])
+            self.keys, self.places = np.insert(self.keys, to, unique[new][order]), np.insert(self.places, to, where[new][order])
         place = where[codes]
         return place, self.lengths[place]
 

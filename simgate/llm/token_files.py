@@ -33,8 +33,6 @@ from simgate.llm.tables import documents, slices
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
-#: Text that one file's range gets, about; the number of ranges follows the input.
-RANGE_BYTES = 32 << 20
 
 
 def normalized(text: str) -> str:
@@ -52,9 +50,23 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         self.special_ids = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
+        #: A pre-token's last id ends a word, and no other does; so many words go through one call.
+        final = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            final[i] = token.endswith("</w>")
+
         def encode(pieces: list[str]) -> list[list[int]]:
             pieces = [p.encode("utf-8", "replace").decode() for p in pieces]
-            return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            out: list[list[int]] = []
+            for k in range(0, len(pieces), 4096):
+                own = pieces[k : k + 4096]
+                ids = tokenizer.encode(" ".join(own), add_special_tokens=False).ids
+                ends = (np.flatnonzero(final[ids]) + 1).tolist()
+                if len(ends) == len(own):
+                    out += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                else:
+                    out += [e.ids for e in tokenizer.encode_batch(own, add_special_tokens=False)]
+            return out
 
         self.memo = Memo(encode)
 
@@ -97,9 +109,7 @@ def write_ids(
     text_col: str = "text",
 ) -> None:
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if ranges is None:
-        size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        ranges = int(size // RANGE_BYTES) + 1
+    ranges = ranges or picked.rdd.getNumPartitions()  # as many as the input's own, so it follows its size
     dealt = picked.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     out = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -142,7 +152,7 @@ def starts(spark: SparkSession, folder: str) -> DataFrame:
 def _crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(4)
-        raw, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+        raw, at = lists.values.to_numpy().astype("<i4", copy=False).view(np.uint8).data, (lists.offsets.to_numpy() * 4).tolist()
         crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
