@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one call of a batch function gets (one row may be longer).
@@ -32,6 +34,17 @@ def slices(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def byte_slices(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """The same over an Arrow column, by bytes, so that only a slice at a time becomes Python strings."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(upto[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + limit, "right")))
+        yield start, stop
+        start = stop
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list], dict]],

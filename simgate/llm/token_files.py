@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from simgate.llm.pretokens import Memo, cut, joined
 from simgate.llm.shared import shared_folder
-from simgate.llm.tables import documents, slices
+from simgate.llm.tables import byte_slices, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -117,9 +117,8 @@ def write_ids(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = Encoder(path), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids, at = encoder.encode(texts[a:b], end)
+            for a, b in byte_slices(batch.column(1)):
+                ids, at = encoder.encode(batch.column(1).slice(a, b - a).to_pylist(), end)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(before + at[:-1]), pa.array(np.diff(at)), lists]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
