@@ -67,19 +67,16 @@ def each(fn: Callable) -> Callable:
 
 
 def _anchor_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    types = {"gram": pa.int64(), "tight": pa.int64(), "id": pa.int64(), "c": pa.int64(), "k": pa.int32()}
-    held, n = [], 0
+    types = {"id": pa.int64(), "c": pa.int64(), "gram": pa.list_(pa.int64()), "tight": pa.list_(pa.int64())}
+    held = []
     for name, c, raw in rows:
         at, gram, lo, hi = sx.anchors(raw)
-        if len(at):
-            tight = sx.tight_hashes(raw, at, lo, hi)
-            held.append((gram, tight, np.full(len(at), name), np.full(len(at), c), np.arange(len(at))))
-            n += len(at)
-        if n > 50_000:
-            yield table_of(dict(zip(types, map(np.concatenate, zip(*held, strict=True)), strict=True)), types)
-            held, n = [], 0
+        held.append((name, c, gram, sx.tight_hashes(raw, at, lo, hi)))
+        if len(held) == 500:
+            yield table_of(dict(zip(types, zip(*held, strict=True), strict=True)), types)
+            held = []
     if held:
-        yield table_of(dict(zip(types, map(np.concatenate, zip(*held, strict=True)), strict=True)), types)
+        yield table_of(dict(zip(types, zip(*held, strict=True), strict=True)), types)
 
 
 def _packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +250,14 @@ def _entries(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    types = {"window": pa.binary(), "id": pa.int64(), "c": pa.int64(), "k": pa.int32(), "o": pa.int32(), "times": pa.int32()}
-    for name, c, k, alone, right, left, context, spans in rows:
+    """Digests of the windows that are in question at a gram; ``asked``: this very one is."""
+    types = {"window": pa.binary(), "id": pa.int64(), "c": pa.int64(), "k": pa.int32(), "o": pa.int32(), "times": pa.int32(), "asked": pa.bool_()}
+    for name, c, k, alone, right, left, context, spans, own in rows:
+        asked = {o for s in own or () for o in range(s["lo"], s["hi"] + 1)}
         out = []
-        for o in sorted({o for s in spans for o in range(s["lo"], s["hi"] + 1)}):
-            if sx.LENGTH - right <= o <= left:
-                before = context[sx.LENGTH : sx.LENGTH + o][::-1]
-                out.append((hashlib.md5(before + context[: sx.LENGTH - o]).digest(), name, c, k, o, 1 if alone else 2))
+        for o in sorted({o for s in spans for o in range(max(s["lo"], sx.LENGTH - right), min(s["hi"], left) + 1)}):
+            before = context[sx.LENGTH : sx.LENGTH + o][::-1]
+            out.append((hashlib.md5(before + context[: sx.LENGTH - o]).digest(), name, c, k, o, 1 if alone else 2, o in asked))
         if out:
             yield table_of(dict(zip(types, zip(*out, strict=True), strict=True)), types)
 
@@ -321,12 +319,14 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """name (the id), n_bytes, n_removed, n_spans, kept_sha256 and kept (null: all bytes) of every row."""
     docs = keyed(df, id_col, text_col)
     long_enough = docs.where(F.octet_length("raw") >= sx.LENGTH).select("id", "c", "raw")
-    marks = long_enough.mapInArrow(each(_anchor_rows), "gram long, tight long, id long, c long, k int")
-    grams = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("tight").alias("t0"), F.max("tight").alias("t1")).where("n > 1")
-    grams = grams.select("gram", (F.col("t0") != F.col("t1")).cast("int").alias("mixed"))
-    held = marks.select("gram", "id", "c", "k").join(grams, "gram").groupBy(*KEY).agg(F.collect_list(F.col("k") * 2 + F.col("mixed")).alias("marks"))
+    marks = written(long_enough.mapInArrow(each(_anchor_rows), "id long, c long, gram array<long>, tight array<long>"), "anchors")
+    pairs = marks.select(F.explode(F.arrays_zip("gram", "tight")).alias("x")).select("x.gram", "x.tight")
+    grams = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("tight").alias("t0"), F.max("tight").alias("t1")).where("n > 1")
+    grams = written(grams.select("gram", (F.col("t0") != F.col("t1")).cast("int").alias("mixed")), "grams")  # a table, so that the join can split common grams
+    each_gram = marks.select("id", "c", F.posexplode("gram").alias("k", "gram"))
+    held = each_gram.join(grams.hint("merge"), "gram").groupBy(*KEY).agg(F.collect_list(F.col("k") * 2 + F.col("mixed")).alias("marks"))
     packed = long_enough.mapInArrow(each(_packed), "id long, c long, z binary")
-    candidates = written(packed.join(held, KEY).select("id", "c", "z", "marks"), "candidates")
+    candidates = written(packed.join(held.hint("merge"), KEY).select("id", "c", "z", "marks"), "candidates")
     total = candidates.agg(F.sum(F.size(F.filter("marks", lambda m: m % 2 == 1)))).first()[0] or 0
 
     judged = None
@@ -347,10 +347,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if not open_.isEmpty():
             wanted = open_.groupBy("gram").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # distances up to LEFT, so a bounded set
             entries = candidates.mapInArrow(each(_entries), "gram long, id long, c long, k int, alone boolean, right int, left int, context binary")
-            windows = entries.join(wanted, "gram").select("id", "c", "k", "alone", "right", "left", "context", "spans")
-            windows = written(windows.mapInArrow(each(_windows), "window binary, id long, c long, k int, o int, times int"), "windows")
-            twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-            judged = judged.union(windows.where("times = 1").join(twice, "window").select("id", "c", "k", F.col("o").alias("lo"), F.col("o").alias("hi")))
+            asked = open_.groupBy("id", "c", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
+            windows = entries.join(wanted, "gram").join(asked, ["id", "c", "k"], "left").select("id", "c", "k", "alone", "right", "left", "context", "spans", "own")
+            windows = written(windows.mapInArrow(each(_windows), "window binary, id long, c long, k int, o int, times int, asked boolean"), "windows")
+            twice = windows.groupBy("window").agg(F.sum("times").alias("n"), F.bool_or("asked").alias("any")).where("n > 1 AND any").select("window")
+            judged = judged.union(windows.where("asked").join(twice, "window").select("id", "c", "k", F.col("o").alias("lo"), F.col("o").alias("hi")))
         judged = judged.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("k", "lo", "hi")).alias("judged"))
     joined = candidates.join(judged, KEY, "left") if judged is not None else candidates.withColumn("judged", F.lit(None).cast("array<struct<k:int,lo:int,hi:int>>"))
     found = joined.select("id", "c", "z", "marks", "judged").mapInArrow(each(_kept), "id long, c long, n_removed long, n_spans long, kept_sha256 string, kept binary")
