@@ -5,8 +5,12 @@ make a signature of 128 values, compared in 32 bands of four. Documents of equal
 class; of each class one document goes on. Buckets of up to eight give all their pairs; a larger
 bucket gives a pair of each member with its most central member (the one whose buckets are fullest),
 and its members are compared again by longer keys (8, then 12 values), which divide large groups.
-So no group gives all its pairs. Every pair is confirmed on the full shingle sets, and components
-of the confirmed links are found in rounds of joins.
+Every pair is confirmed on the full shingle sets, and components of the confirmed links are found in
+rounds of joins. What these pairs leave apart is settled at last: in each larger bucket that holds
+several components, every member is compared on the full sets with every member of another one, in
+pairs of blocks, of which only links that join components come back. So two documents that share a
+bucket and are similar enough are in one component, however large the bucket is, and no group gives
+rows for all its pairs.
 
 Defined results: a null or empty text, or one without words, has no shingles and stands alone; a
 text of fewer words than a shingle is one shingle; repeated rows get equal results; rows that share
@@ -16,6 +20,8 @@ columns are dropped by ``near_duplicates``; ``kept`` is true for the smallest id
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +34,8 @@ from simgate.llm.tables import documents, map_texts
 SMALL = 8
 #: A link: 100 * intersection >= LINK * union.
 LINK = 80
+#: Shingles of one block of a bucket; two blocks meet in a task.
+BLOCK = 400_000
 
 
 def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,6 +62,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     return both.where(100 * shared >= link * (F.size("own") + F.size("other") - shared)).select("a", "b").distinct()
 
 
+def joining_links(docs: list, labels: list, values: np.ndarray, sizes: np.ndarray, link: int) -> list[tuple]:
+    """Links between documents of different labels, enough of them to join all labels that any such link joins."""
+    label, ids = np.unique(labels, return_inverse=True)[1], np.unique(values, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    begins, inside = ends - sizes, np.zeros(int(ids.max()) + 1, np.int32)
+    out = []
+    for d in np.flatnonzero(label != np.bincount(label).argmax()).tolist():  # a pair of two labels has an end outside the fullest
+        own = ids[begins[d] : ends[d]]
+        inside[own] = 1
+        shared = np.add.reduceat(inside[ids], begins)
+        inside[own] = 0
+        near = np.flatnonzero((label != label[d]) & (100 * shared >= link * (sizes + sizes[d] - shared)))
+        for other in near[np.unique(label[near], return_index=True)[1]].tolist():
+            out.append((docs[d], docs[other]))
+            label[label == label[other]] = label[d]
+    return out
+
+
+def links_across(rows: DataFrame, large: DataFrame, sets: DataFrame, found: DataFrame, link: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket over SMALL."""
+    label = F.coalesce("component", "doc").alias("label")
+    held = sets.join(large.hint("merge"), "doc", "left_semi").select("doc", F.size("shingles").cast("long").alias("size"))
+    held = held.join(found.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("doc", "size", label)
+    held = written(rows.join(held.hint("merge"), "doc"), "labelled")
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = sizes.where(f"n > {SMALL} AND low <> high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    placed = held.drop("size").join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR own <> other")
+    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "label")
+    met = placed.hint("merge").join(sets.select("doc", "shingles").hint("merge"), "doc")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lists = group.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        links = joining_links(group.column("doc").to_pylist(), group.column("label").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False), sizes, link)
+        return pa.table([[min(p) for p in links], [max(p) for p in links]], schema=out)
+
+    return met.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -66,6 +116,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     pairs, large = bucket_pairs(rows)
     pairs, large = written(pairs, "pairs"), written(large, "large")
+    first_large = large
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     columns = "shingles array<long>" + "".join(f", keys_{r} array<long>" for r, _ in minmax.LEVELS)
     sets = written(map_texts(docs.join(needed.hint("merge"), "doc", "left_semi"), lambda: minmax.sets, columns, "doc"), "sets")
@@ -73,9 +124,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keyed = sets.join(large, "doc", "left_semi").select("doc", F.explode(f"keys_{level}").alias("bucket")).distinct()
         deeper, large = bucket_pairs(keyed)
         pairs, large = pairs.union(written(deeper, "pairs")), written(large, "large")
-    links = confirmed(pairs.distinct(), sets, link)
+    links = written(confirmed(pairs.distinct(), sets, link).union(crossing(members)), "links")
 
-    found = components(links.union(crossing(members)))
+    found = components(links)
+    across = written(links_across(rows, first_large, sets, found, link), "across")
+    if not across.isEmpty():
+        found = components(links.union(across))
     whole = members.join(found, F.col("class") == F.col("node"), "left").select("doc", F.coalesce("component", "class").alias("component_id"))
     whole = whole.groupBy("doc").agg(F.min("component_id").alias("component_id"))
     out = first.select(F.col("doc"), "n_shingles").join(whole, "doc", "left")

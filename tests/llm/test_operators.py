@@ -320,6 +320,36 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def slot_edited(n, seed):
+    """Copies of a text, each with 17 words of its own at one place: only those with slots at nearly the same place are similar."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    for k in range(n):
+        at = r.randrange(184)
+        yield " ".join([*words[:at], *(f"own{k}x{i}" for i in range(17)), *words[at + 17 :]])
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 5_000])
+def test_near_duplicates_of_a_large_group_of_slot_edits(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = [*slot_edited(700, 1), *(prose(80, s) for s in range(3))]
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in words]
+    want, left = {}, set(range(len(texts)))
+    while left:
+        low = min(left)
+        left.remove(low)
+        reach = [low]
+        for a in reach:
+            want[a] = low
+            near = [b for b in left if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            reach += near
+            left -= set(near)
+    got = by_id(near_dedup.near_duplicates(frame(spark, texts)))
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r.kept} == set(want.values())
+
+
 def test_near_duplicates_without_ids_and_with_repeats(spark):
     rows = near_dedup.near_duplicates(frame(spark, [BASE, BASE, BASE, prose(30, 8), BASE + " end"], ids=[7, 7, None, 3, 9])).collect()
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows)
