@@ -9,6 +9,10 @@ script of the original. The same entity has the same replacement everywhere (cor
 Replacements that two entities share, or that are an entity of the corpus themselves, are drawn again
 with the next attempt number until all are distinct. Punctuation and case of each mention stay.
 
+Titles and keywords are found in any case, and a keyword also behind other characters (client_secret,
+accessToken), which stay. A name is what has capitals behind a title, up to three words; where all is
+in capitals, that can take in a word after the name.
+
 Defined results: a null text stays null and an empty one empty, with no entities; an entity that
 overlaps another is the one that begins first; repeated rows give repeated rows; null ids and all
 other columns are kept as they are; texts are searched whole.
@@ -28,15 +32,15 @@ from simgate.llm.tables import documents
 KEY = "simgate-demo-key"
 
 #: What stands before a name, by gender, and before a secret.
-MALE_TITLES = "Mr|Mister|Herr|Monsieur|Señor|Господин"
-FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
-SECRET_WORDS = "token|secret|password|passwd|api_key|apikey|access_key"
+MALE_TITLES = "(?iu:Mr|Mister|Herr|Monsieur|Señor|Господин)"
+FEMALE_TITLES = "(?iu:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)"
+SECRET_WORDS = "(?i:token|secret|password|passwd|api_key|apikey|access_key)"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind and pattern, in order of preference at one place. No group captures. A secret's match begins
 #: with its keyword and a name's with its title; both stay.
 PATTERNS = {
-    "secret": rf"(?:{SECRET_WORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?[A-Za-z0-9_/+-]{{8,}}",
+    "secret": rf"(?:{SECRET_WORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?(?=(?:\.?[A-Za-z0-9_/+=-]){{8}})[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]*(?:\.[A-Za-z0-9_/+=-]+)*",
     "name": rf"(?:{MALE_TITLES}|{FEMALE_TITLES})\.?\s\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
     "mail": r"[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": rf"{OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
@@ -45,8 +49,8 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d){7,12}(?!\d)",
     "account": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
 }
-#: Nothing begins inside a word or number, so most places are passed by their first test.
-ANY = r"(?<![\p{L}\p{N}._%+-])(?=[\p{L}\p{N}._%+(-])(?:" + "|".join(PATTERNS.values()) + ")"
+#: Nothing but a secret's keyword begins inside a word or number, so most places are passed by their first test.
+ANY = rf"(?:(?=[tspaTSPA]){PATTERNS['secret']}|(?<![\p{{L}}\p{{N}}._%+-])(?=[\p{{L}}\p{{N}}._%+(-])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "secret") + "))"
 BEFORE = rf"^(?:(?:{SECRET_WORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?|(?:{MALE_TITLES}|{FEMALE_TITLES})\.?\s)"
 
 #: Parts of replacement names by script.

@@ -277,6 +277,22 @@ def test_surrogates(spark):
     assert pii.surrogates(empty(spark)).count() == 0
 
 
+def test_surrogates_of_keywords_and_titles_in_any_form(spark):
+    secret = "9233A8ECbebab91ab8568"
+    forms = ["TOKEN = \"%s\"", "Token: %s", "PASSWORD=%s", "client_secret=%s", "aws_secret_access_key = '%s'", "app.token: %s", "db-password=%s", "accessToken=%s", "token=%s"]
+    parts = "eyJhbGci.eyJzdWIi.SflKxw=="
+    texts = [*(f"see {f % secret} here." for f in forms), f"token: {parts}. Next", "Ask MR. JOHN SMITH", "ask mrs. Ann Lee", "Ask Mr. John Smith", "СПРОСИ ГОСПОДИН ИВАН ПЕТРОВ", "token: a.b.c and secret = short; brokentoken"]
+    got = by_id(pii.surrogates(frame(spark, texts)))
+    assert [got[i].n_entities for i in range(len(texts))] == [1] * 14 + [0]
+    replaced = {got[i].text[len(f"see {f[: f.index('%')]}") :][: len(secret)] for i, f in enumerate(forms)}
+    assert len(replaced) == 1 and secret not in replaced
+    assert all(got[i].text == texts[i].replace(secret, min(replaced)) for i in range(len(forms)))
+    assert got[9].text.endswith("==. Next") and not [p for p in ("eyJhbGci", "eyJzdWIi", "SflKxw") if p in got[9].text]
+    assert got[10].text[8:] == got[12].text[8:].upper() and "JOHN" not in got[10].text and got[10].text.startswith("Ask MR. ")
+    assert got[11].text.split()[2] in pii.NAMES["latin"]["female"] and "Ann" not in got[11].text
+    assert "ИВАН" not in got[13].text and got[14].text == texts[14]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     monkeypatch.setattr(pii, "NAMES", {s: {"male": v["male"][:1], "female": v["female"][:1], "family": v["family"][:2]} for s, v in pii.NAMES.items()})
     names = [f"{a}{b}" for a in ("Al", "Bo", "Cy", "Di") for b in ("ton", "rek", "mund", "gar", "wick")]
