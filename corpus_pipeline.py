@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each a filter or a rewrite over all documents.
 
 Stages take and return the columns of ``documents`` (extra columns pass through); the last returns
-token ids. Documents without a letter go, of each group of near duplicates the smallest id stays,
+token ids. Documents without a letter or in no learned language go, of each group of near duplicates the smallest id stays,
 contaminated documents go, personal data get surrogates, and what is left is encoded.
 """
 
@@ -16,9 +16,9 @@ from simgate.llm.tables import documents, filter_texts, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a learned language; those without any letter (``und``) go."""
+    """Keep documents that share an n-gram with a learned language; where none was learned, those with a letter."""
     profiles = spark.sparkContext.broadcast(language.fit(docs.where(~language.held_out("doc_id", 5, 0))))
-    return filter_texts(docs, lambda: lambda texts: [x != "und" for x in profiles.value.judge(texts)["lang_pred"]])
+    return filter_texts(docs, lambda: profiles.value.keeps)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

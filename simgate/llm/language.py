@@ -94,6 +94,13 @@ class Profiles:
         return {"lang_pred": [self.names[b] if s else "und" for b, s in zip(best.tolist(), sizes.tolist(), strict=True)], "score": np.where(sizes > 0, 1 - far.min(0), 0.0)}
 
 
+    def keeps(self, texts: list) -> list[bool]:
+        """Whether a text shares an n-gram with a learned language; where none was learned, whether it has a letter."""
+        if not self.names:
+            return (np.bincount(ngrams(texts)[0], minlength=len(texts)) > 0).tolist()
+        return (self.judge(texts)["score"] > 0).tolist()
+
+
 def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from simgate.llm import queries
@@ -30,6 +31,14 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 3, 8, 9}
 
 
+def test_language_stage_drops_what_was_not_learned_and_keeps_all_letters_without_languages(spark, tmp_path):
+    texts = [*(prose(50, s) for s in range(10)), "漢字かな漢字", "123 !!", None]
+    docs = spark.createDataFrame([(i, t, "en" if i < 10 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    ids = lambda df: {r.doc_id for r in corpus_pipeline.identify(spark, df, str(tmp_path)).collect()}
+    assert ids(docs) == set(range(10))
+    assert ids(docs.withColumn("lang", F.lit(None).cast("string"))) == set(range(11))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
