@@ -20,9 +20,13 @@ LETTER, NUMBER, SPACE, REST, SPECIAL = 1, 2, 3, 0, 4
 MARK = "\udc00"
 #: The contractions that the patterns name.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Modulus of the rolling hashes, a Mersenne prime, and two bases below it. (Modulo a power of two, words such as
+#: those of Thue and Morse collide for every base.)
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (1_288_490_189, 773_094_113)
+#: Characters of a span whose key is the span itself.
+SHORT = 7
+HASHED = np.uint64(1 << 63)
 
 
 @lru_cache(1)
@@ -37,17 +41,32 @@ def classes() -> np.ndarray:
     return table
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same modulo PRIME, and smaller."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = _fold(_fold(_fold(x)))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo PRIME for i < n."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        made = []
+        for b in (base, pow(base, -1, int(PRIME))):
+            own = np.ones(1, np.uint64)
+            while len(own) < max(n, 1 << 16):
+                own = np.concatenate((own, _reduced(own * np.uint64(pow(b, len(own), int(PRIME))))))
+            made.append(own)
+        _powers[base] = made[0], made[1]
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,11 +79,58 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], equal for equal spans."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of values[start:end], equal for equal spans: polynomials at two bases modulo a prime."""
+    n = len(values)
+    plus = values.astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(n + 1, np.uint64)
+    lanes = []
+    for base in BASES:
+        up, down = powers(base, n + 1)
+        terms = plus * up[:n]
+        if values.dtype.itemsize > 1 or n > 1 << 24:  # else no span's sum reaches 2**64
+            terms = _fold(terms)
+        np.cumsum(terms, out=sums[1:])
+        lanes.append(_reduced(_reduced(sums[ends] - sums[starts]) * down[starts]))
+    return mix((lanes[0] << np.uint64(31) | lanes[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` bytes."""
+    n = len(values)
+    plus, sums, out = values.astype(np.uint64) + np.uint64(1), np.zeros(n + 1, np.uint64), np.zeros(n - width + 1, np.uint64)
+    for base in BASES:
+        up, down = powers(base, n + 1)
+        np.cumsum(plus * up[:n], out=sums[1:])
+        out = out << np.uint64(31) | _reduced(_reduced(sums[width:] - sums[:-width]) * down[: n - width + 1])
+    return mix(out)
+
+
+def span_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A key of each span of code points: the characters themselves of up to SHORT below U+0100, else a hash with HASHED set."""
+    sizes = ends - starts
+    wide = np.flatnonzero(points > 255)
+    plain = sizes <= SHORT
+    if len(wide):
+        plain &= np.searchsorted(wide, starts) == np.searchsorted(wide, ends)
+    data = np.concatenate((points.astype(np.uint8), np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(points) + 1,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    masks = np.array([(1 << 8 * i) - 1 for i in range(SHORT + 1)], np.uint64)
+    short = np.minimum(sizes, SHORT)
+    keys = eights[starts] & masks[short] | short.astype(np.uint64) << np.uint64(56)
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        own, upto = gather(points, starts[rest], sizes[rest]), np.cumsum(sizes[rest])
+        keys[rest] = span_hashes(own, upto - sizes[rest], upto) | HASHED
+    return keys
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether a and b hold the same ``sizes`` values from each pair of places on."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    differ = np.concatenate(([0], np.cumsum(gather(a, a_starts, sizes) != gather(b, b_starts, sizes))))
+    upto = np.cumsum(sizes)
+    return differ[upto] == differ[upto - sizes]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -132,6 +198,57 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[at]
 
 
+class Strings:
+    """Distinct strings as arrays of code points; ``find`` compares the text itself, not hashes alone."""
+
+    def __init__(self):
+        self.keys, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.points, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def find(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each span's string, -1 where it is none of them."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = np.where(self.keys[near] == keys, self.order[near], -1)
+        doubt = np.flatnonzero((found >= 0) & (keys >= HASHED))
+        equal = self.sizes[found[doubt]] == sizes[doubt]
+        found[doubt[~equal]] = -1
+        doubt = doubt[equal]
+        found[doubt[~same_spans(self.points, self.starts[found[doubt]], points, starts[doubt], sizes[doubt])]] = -1
+        return found
+
+    def add(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new strings. Of two with one key only one is found again."""
+        numbers = len(self) + np.arange(len(keys))
+        self.starts = np.concatenate((self.starts, len(self.points) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.points = np.concatenate((self.points, gather(points, starts, sizes)))
+        order = np.argsort(keys, kind="stable")
+        to = np.searchsorted(self.keys, keys[order])
+        self.keys, self.order = np.insert(self.keys, to, keys[order]), np.insert(self.order, to, numbers[order])
+        return numbers
+
+
+def grouped(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each span the number of its text, and of each distinct text its key and the first span that has it."""
+    sizes, keys = ends - starts, span_keys(points, starts, ends)
+    codes, unique = pd.factorize(keys)
+    first = np.zeros(len(unique), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    doubt = np.flatnonzero((keys >= HASHED) & (first[codes] != np.arange(len(codes))))
+    like = first[codes[doubt]]
+    odd = sizes[like] != sizes[doubt]
+    same = np.flatnonzero(~odd)
+    odd[same] = ~same_spans(points, starts[like[same]], points, starts[doubt[same]], sizes[doubt[same]])
+    odd = doubt[odd]  # another text with the same hash: a text of its own each
+    codes[odd] = len(unique) + np.arange(len(odd))
+    return codes, np.concatenate((unique, keys[odd])), np.concatenate((first, odd))
+
+
 class Memo:
     """Token ids of pre-tokens, each worked out once; emptied when it holds too many."""
 
@@ -140,33 +257,25 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.strings = Strings()
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def look_up(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (for ``ids_of``) and numbers of ids for each span of the text."""
-        if len(self.keys) > self.most:
+        if len(self.strings) > self.most or len(self.strings.points) > 16 * self.most:
             self.clear()
-        codes, unique = pd.factorize(span_hashes(points, starts, ends))
-        where = np.full(len(unique), -1, np.int64)
-        if len(self.keys):
-            near = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
-            known = self.keys[near] == unique
-            where[known] = self.places[near[known]]
+        codes, keys, first = grouped(points, starts, ends)
+        sizes = ends[first] - starts[first]
+        where = self.strings.find(keys, points, starts[first], sizes)
         new = np.flatnonzero(where < 0)
         if len(new):
-            at = np.zeros(len(unique), np.int64)
-            at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            made = self.encode([text[starts[i] : ends[i]] for i in at[new].tolist()])
+            made = self.encode([text[starts[i] : ends[i]] for i in first[new].tolist()])
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             offsets = len(self.ids) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
             self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))))
-            where[new] = len(self.starts) + np.arange(len(new))
             self.starts, self.lengths = np.concatenate((self.starts, offsets)), np.concatenate((self.lengths, lengths))
-            order = np.argsort(unique[new])
-            to = np.searchsorted(self.keys, unique[new][order])
-            self.keys, self.places = np.insert(self.keys, to, unique[new][order]), np.insert(self.places, to, where[new][order])
+            where[new] = self.strings.add(keys[new], points, starts[first[new]], sizes[new])
         place = where[codes]
         return place, self.lengths[place]
 

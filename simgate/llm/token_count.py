@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from simgate.llm.bpe import merge_one
-from simgate.llm.pretokens import MARK, Memo, cut, joined, span_hashes
+from simgate.llm.pretokens import MARK, Memo, Strings, cut, grouped, joined, span_keys
 from simgate.llm.tables import documents, map_texts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,9 +73,10 @@ def whole_tokens(merges: Merges) -> list[str]:
 def count_tokens(df: DataFrame, path: str = TOKENIZER, limit: int = CONTEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every text."""
     proven = whole_tokens(Merges(path))
-    text, points, bounds = joined(proven)
-    hashes = np.sort(span_hashes(points, bounds[:-1], bounds[1:]))
-    shared = df.sparkSession.sparkContext.broadcast(hashes)  # 8 bytes for each string of the vocabulary
+    _, points, bounds = joined(proven)
+    whole = Strings()
+    whole.add(span_keys(points, bounds[:-1], bounds[1:]), points, bounds[:-1], np.diff(bounds))
+    shared = df.sparkSession.sparkContext.broadcast(whole)  # as large as the vocabulary
 
     def make() -> Callable[[list], dict]:
         merges, single = Merges(path), shared.value
@@ -89,9 +90,9 @@ def count_tokens(df: DataFrame, path: str = TOKENIZER, limit: int = CONTEXT, id_
             starts, ends = cut(points, bounds, spaced=True)
             counts = np.ones(len(starts), np.int64)
             if len(starts):
-                h = span_hashes(points, starts, ends)
-                near = np.minimum(np.searchsorted(single, h), len(single) - 1)
-                rest = np.flatnonzero(single[near] != h)
+                codes, keys, first = grouped(points, starts, ends)
+                known = single.find(keys, points, starts[first], ends[first] - starts[first]) >= 0
+                rest = np.flatnonzero(~known[codes])
                 if len(rest):
                     counts[rest] = memo.look_up(text, points, starts[rest], ends[rest])[1]
             upto = np.concatenate(([0], np.cumsum(counts)))

@@ -24,9 +24,18 @@ def prose(n, seed=0, syllables=SYLLABLES):
 
 
 BASE = prose(120, 1)
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+THUE = thue_morse(1024)
+EUHT = THUE.translate(str.maketrans("ab", "ba"))
 ODD = [
     None, "", " ", "a", "\n \n", "it's 's  x''s I'LL don't <|endoftext|> b<|endoftext|><|endoftext|>", "x" * 3000 + "ab" * 700, "漢字かな test—dash… 😀👍🏽 é ΣΑΣ ½² 12345",
-    "  lead\t", "trail \n", BASE, BASE, BASE.replace("an", "AN"), BASE + " extra words at the end", prose(5, 2), prose(3000, 3), "'v", "e", prose(60, 4) + " " + BASE[:400] + " " + prose(60, 6),
+    "  lead\t", "trail \n", BASE, BASE, BASE.replace("an", "AN"), BASE + " extra words at the end", prose(5, 2), prose(3000, 3), "'v", "e", prose(60, 4) + " " + BASE[:400] + " " + prose(60, 6), THUE, EUHT,
 ]
 
 
