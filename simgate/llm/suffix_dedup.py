@@ -4,17 +4,19 @@ A byte goes if a string of 200 bytes that covers it also starts anywhere else. W
 are judged at their anchors (see ``suffixes``), by the tight context: the bytes of all windows that
 have that anchor. Steps, each a Spark job over tables in the shared folder:
 
-1. Anchors by gram. Grams that stand once are done: nothing there repeats. Grams whose contexts
-   are all equal are done too: all of their windows repeat. Both are told by counts, so common
-   passages are added up before they move.
-2. The other contexts are sorted, each run in its task, equal ones once. Runs are front-coded
-   (only what a suffix does not share with the one before it is sent), cut at the splitters, and
-   exchanged by range, forwards and backwards from the anchor.
-3. Each range's runs are merged by a tree of losers that never compares known prefixes again. What
+1. Anchors by gram. Grams that stand once are done: nothing there repeats.
+2. Of equal contexts (gram and context have a 64-bit hash each) two go on, the first and the last;
+   what lies between them repeats wholly. So a passage of many copies moves twice, not each time.
+3. Contexts are sorted, each run in its task. Runs are front-coded (only what a suffix does not
+   share with the one before it is sent), cut at the splitters, and exchanged by range, forwards and
+   backwards from the anchor.
+4. Each range's runs are merged by a tree of losers that never compares known prefixes again. What
    a suffix shares with its neighbours in both orders gives windows that certainly repeat and bounds
    of those that may; neighbours across ranges are compared too.
-4. Windows between the two (a context shares its left side with one and its right side with
-   another) are looked up as strings, for their grams alone.
+5. Windows between the two (a context shares its left side with one and its right side with
+   another) are looked up as strings (a digest of 128 bits), for their grams alone.
+
+The driver holds the splitters: about four sampled contexts a range of RANGE suffixes.
 
 Defined results: a null text is empty; a text under 200 bytes keeps all its bytes; repeated rows
 are different documents, so both lose what they share; a null id stays null; rows of one id with
@@ -37,117 +39,114 @@ from simgate.llm import suffixes as sx
 from simgate.llm.shared import written
 from simgate.llm.tables import documents
 
-#: Suffixes of one sorted run, and of one range of the merge (occurrences, before equal ones meet).
-RUN, RANGE = 30_000, 100_000
-#: Places in the sample from which splitters are taken.
-SAMPLE = 8_000
+#: Suffixes of one sorted run, and of one range of the merge.
+RUN, RANGE = 30_000, 60_000
+#: Sampled contexts for each range, and the least of them in all.
+SAMPLES, SAMPLE = 4, 4_000
+#: Rows that are Python objects at a time, and rows of one output batch.
+ROWS, BATCH = 100, 500
 KEY = ["id", "c"]
-RESULT = "id long, c long, k int, gram long, forward boolean, up int, lo int, hi int, edge boolean, range int, blob binary"
+NEIGHBOUR = {
+    "id": "long", "c": "long", "k": "int", "gram": "long", "right": "int", "left": "int", "forward": "boolean", "up": "int",
+    "lo": "int", "hi": "int", "lo2": "int", "hi2": "int", "edge": "boolean", "range": "int", "blob": "binary",
+}
+RESULT = ", ".join(f"{k} {v}" for k, v in NEIGHBOUR.items())
+ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "longs": pa.list_(pa.int64())}
+ARROW_RESULT = pa.schema([(k, ARROW[v]) for k, v in NEIGHBOUR.items()])
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows by id and checksum of the text; of a null id the text's hash stands in."""
+    """Rows by id and a hash of the text; of a null id another hash of the text stands in."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("name"), text.alias("raw"))
-    return rows.select("name", F.coalesce("name", F.xxhash64("raw")).alias("id"), F.crc32("raw").alias("c"), "raw")
-
-
-def table_of(columns: dict, types: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in types.items()], names=list(types))
+    return rows.select("name", F.coalesce("name", F.xxhash64("raw")).alias("id"), F.xxhash64("raw", F.lit(1)).alias("c"), "raw")
 
 
 def each(fn: Callable) -> Callable:
-    """A mapInArrow function from one of rows (tuples) to batches."""
+    """A mapInArrow function from one of rows (tuples); few rows are Python objects at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from fn(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for k in range(0, batch.num_rows, ROWS):
+                yield from zip(*(c.to_pylist() for c in batch.slice(k, ROWS).columns), strict=True)
 
-    return run
+    return lambda batches: fn(rows(batches))
 
 
-def _anchor_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    types = {"id": pa.int64(), "c": pa.int64(), "gram": pa.list_(pa.int64()), "tight": pa.list_(pa.int64())}
-    held = []
-    for name, c, raw in rows:
-        at, gram, lo, hi = sx.anchors(raw)
-        held.append((name, c, gram, sx.tight_hashes(raw, at, lo, hi)))
-        if len(held) == 500:
-            yield table_of(dict(zip(types, zip(*held, strict=True), strict=True)), types)
-            held = []
+def batched(rows: Iterator[tuple], types: dict, most: int = BATCH, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of rows, of bounded length and size (of the last column's values)."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, t in zip(zip(*held, strict=True), types.values(), strict=True)], names=list(types))
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) if isinstance(row[-1], bytes | np.ndarray) else 0
+        if len(held) == most or size > most_bytes:
+            yield flush()
+            held, size = [], 0
     if held:
-        yield table_of(dict(zip(types, zip(*held, strict=True), strict=True)), types)
+        yield flush()
+
+
+def _anchor_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    def made() -> Iterator[tuple]:
+        for name, c, raw in rows:
+            at, gram, lo, hi = sx.anchors(raw)
+            yield name, c, gram, sx.tight_hashes(raw, at, lo, hi)
+
+    return batched(made(), {"id": "long", "c": "long", "gram": "longs", "tight": "longs"}, most_bytes=1 << 20)
 
 
 def _packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    types = {"id": pa.int64(), "c": pa.int64(), "z": pa.binary()}
-    held = []
-    for name, c, raw in rows:
-        held.append((name, c, zstandard.compress(raw, 1)))
-        if len(held) == 500:
-            yield table_of(dict(zip(types, zip(*held, strict=True), strict=True)), types)
-            held = []
-    if held:
-        yield table_of(dict(zip(types, zip(*held, strict=True), strict=True)), types)
+    return batched(((name, c, zstandard.compress(raw, 1)) for name, c, raw in rows), {"id": "long", "c": "long", "z": "binary"})
 
 
-def mixed_contexts(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and tails of a candidate document's anchors that must be sorted, and their grams."""
+def chosen_contexts(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and tails of a candidate document's anchors that are to be sorted."""
     name, c, z, marks = row
     raw, marks = zstandard.decompress(z), np.array(sorted(marks), np.int64)
     k = marks[marks & 1 == 1] >> 1
+    if not len(k):
+        return np.zeros((0, sx.WIDTH), np.uint8), np.zeros(0, sx.TAIL)
     at, gram, lo, hi = sx.anchors(raw)
     at, gram, lo, hi = at[k], gram[k], lo[k], hi[k]
     tails = np.zeros(len(k), sx.TAIL)
-    tails["id"], tails["c"], tails["k"], tails["right"], tails["left"] = name, c, k, hi + sx.LENGTH - at, at - lo
-    return sx.contexts(raw, at, tails["right"].astype(np.int64), tails["left"].astype(np.int64)), tails, gram
+    tails["id"], tails["c"], tails["k"], tails["gram"], tails["right"], tails["left"] = name, c, k, gram, hi + sx.LENGTH - at, at - lo
+    return sx.contexts(raw, at, tails["right"].astype(np.int64), tails["left"].astype(np.int64)), tails
 
 
-def sorted_runs(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of distinct contexts, with the tail of one occurrence and ``alone`` where there is no other in the run."""
+def gathered(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and tails of about RUN suffixes at a time."""
     held, n = [], 0
-
-    def flush() -> tuple:
-        contexts, tails, grams = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = sx.order_of(contexts)
-        contexts, tails, grams = contexts[order], tails[order], grams[order]
-        first = np.flatnonzero(np.concatenate(([True], (contexts[1:] != contexts[:-1]).any(1))))
-        tails = tails[first]
-        tails["alone"] = np.diff(np.append(first, len(contexts))) == 1
-        return contexts[first], tails, grams[first]
-
     for row in rows:
-        own = mixed_contexts(row)
-        if len(own[0]):
-            held.append(own)
-            n += len(own[0])
-        if n > RUN:
-            yield flush()
-            held, n = [], 0
+        own = chosen_contexts(row)
+        for k in range(0, len(own[0]), RUN):
+            held.append((own[0][k : k + RUN], own[1][k : k + RUN]))
+            n += len(held[-1][0])
+            if n >= RUN:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
     if held:
-        yield flush()
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _segments(forward: list[bytes], backward: list[bytes]) -> Callable:
-    """Cut each run at the splitters, in both orders, and pack the segments."""
+def _segments(forward: np.ndarray, backward: np.ndarray) -> Callable:
+    """Sort each run in both orders, cut it at the splitters, and pack the segments."""
 
     def fn(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        types = {"range": pa.int32(), "blob": pa.binary()}
-        for contexts, tails, _ in sorted_runs(rows):
-            out = {"range": [], "blob": []}
-            for base, splitters in ((0, forward), (len(forward) + 1, backward)):
-                keys, own = contexts, tails
-                if base:
-                    keys = sx.backward(contexts)
-                    order = sx.order_of(keys)
-                    keys, own = keys[order], tails[order]
-                view = np.ascontiguousarray(keys).view(f"S{sx.WIDTH}").ravel()
-                cuts = [0, *np.searchsorted(view, np.array(splitters, f"S{sx.WIDTH}")).tolist(), len(keys)] if splitters else [0, len(keys)]
+        for contexts, tails in gathered(rows):
+            ranges, blobs = [], []
+            for base, splitters, keys in ((0, forward, contexts), (len(forward) + 1, backward, sx.backward(contexts))):
+                order = sx.order_of(keys)
+                keys, own = keys[order], tails[order]
+                cuts = [0, *np.searchsorted(keys.view(f"S{sx.WIDTH}").ravel(), splitters).tolist(), len(keys)]
                 for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if b > a:
-                        out["range"].append(base + i)
-                        out["blob"].append(sx.pack(keys[a:b], own[a:b]))
-            yield table_of(out, types)
+                        ranges.append(base + i)
+                        blobs.append(sx.pack(keys[a:b], own[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "blob"])
 
     return fn
 
@@ -162,18 +161,16 @@ def shares(keys: np.ndarray, tails: np.ndarray, known: np.ndarray | None, forwar
     return np.minimum(right, least("right")), np.minimum(left, least("left"))
 
 
-def _judged(keys: np.ndarray, tails: np.ndarray, right: np.ndarray, left: np.ndarray, forward: bool) -> pd.DataFrame:
-    """A row for each neighbour of each suffix that is alone in its run: its windows, and the bound of its side."""
-    parts = []
-    grams = sx.gram_hashes(keys if forward else sx.forward(keys))
-    for own in (slice(1, None), slice(None, -1)):
-        t, hit = tails[own], right + left >= sx.LENGTH
-        rows = pd.DataFrame({
-            "id": t["id"], "c": t["c"], "k": t["k"], "gram": grams[own], "forward": forward, "up": right if forward else left,
-            "lo": np.where(hit, sx.LENGTH - right, 1), "hi": np.where(hit, left, 0), "edge": False, "range": 0, "blob": None,
-        })
-        parts.append(rows[t["alone"] == 1])
-    return pd.concat(parts)
+def _judged(tails: np.ndarray, right: np.ndarray, left: np.ndarray, forward: bool) -> pd.DataFrame:
+    """A row for each suffix: the windows that each of its two neighbours has too, and the bound of its side."""
+    hit, up = right + left >= sx.LENGTH, right if forward else left
+    lo, hi = np.where(hit, sx.LENGTH - right, 1), np.where(hit, left, 0)
+    before = lambda x, none: np.concatenate(([none], x))
+    after = lambda x, none: np.concatenate((x, [none]))
+    return pd.DataFrame({
+        **{n: tails[n] for n in ("id", "c", "k", "gram", "right", "left")}, "forward": forward, "up": np.maximum(before(up, 0), after(up, 0)),
+        "lo": before(lo, 1), "hi": before(hi, 0), "lo2": after(lo, 1), "hi2": after(hi, 0), "edge": False, "range": 0, "blob": None,
+    })
 
 
 def _merge(ranges: int) -> Callable:
@@ -181,20 +178,16 @@ def _merge(ranges: int) -> Callable:
         number = int(group["range"].iloc[0])
         forward = number < ranges
         runs = [sx.Run(b) for b in group["blob"]]
-        keys, tails, known = [], [], []
-        for r, i, shared in sx.merged(runs):
-            keys.append(runs[r].key)
-            tails.append(runs[r].tails[i : i + 1])
-            known.append(shared)
-        keys, tails = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, sx.WIDTH), np.concatenate(tails)
-        right, left = shares(keys, tails, np.array(known[1:], np.int64), forward)
-        out = _judged(keys, tails, right, left, forward)
-        ends = [0, len(keys) - 1]
-        edge = pd.DataFrame({"id": 0, "c": 0, "k": 0, "gram": 0, "forward": forward, "up": 0, "lo": 1, "hi": 0, "edge": True, "range": [number], "blob": [sx.pack(keys[ends], tails[ends])]})
-        # also a row for each suffix alone, so that one without neighbours is known to have been judged
-        alone = tails[tails["alone"] == 1]
-        seen = pd.DataFrame({"id": alone["id"], "c": alone["c"], "k": alone["k"], "gram": 0, "forward": forward, "up": 0, "lo": 1, "hi": 0, "edge": False, "range": 0, "blob": None})
-        return pd.concat([out, seen, edge])
+        n = sum(r.n for r in runs)
+        keys, tails, known = np.empty((n, sx.WIDTH), np.uint8), np.empty(n, sx.TAIL), np.empty(n, np.int64)
+        for at, (r, i, shared) in enumerate(sx.merged(runs)):
+            keys[at] = np.frombuffer(runs[r].key, np.uint8)
+            tails[at], known[at] = runs[r].tails[i], shared
+        parts = [shares(keys[k : k + RUN + 1], tails[k : k + RUN + 1], known[k + 1 : k + RUN + 1], forward) for k in range(0, max(n - 1, 1), RUN)]
+        out = _judged(tails, *(np.concatenate(x) for x in zip(*parts, strict=True)), forward)
+        ends = [0, n - 1]
+        edge = {c: [0] for c in NEIGHBOUR} | {"forward": [forward], "lo": [1], "lo2": [1], "edge": [True], "range": [number], "blob": [sx.pack(keys[ends], tails[ends])]}
+        return pd.concat([out, pd.DataFrame(edge)])
 
     return fn
 
@@ -208,13 +201,7 @@ def _edges(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         two.next()
         keys = np.frombuffer(one.key + two.key, np.uint8).reshape(2, sx.WIDTH)
         tails = np.concatenate((one.tails[1:], two.tails[:1]))
-        yield pa.RecordBatch.from_pandas(_judged(keys, tails, *shares(keys, tails, None, forward), forward), schema=ARROW_RESULT, preserve_index=False)
-
-
-ARROW_RESULT = pa.schema([
-    ("id", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), ("gram", pa.int64()), ("forward", pa.bool_()), ("up", pa.int32()),
-    ("lo", pa.int32()), ("hi", pa.int32()), ("edge", pa.bool_()), ("range", pa.int32()), ("blob", pa.binary()),
-])
+        yield pa.RecordBatch.from_pandas(_judged(tails, *shares(keys, tails, None, forward), forward), schema=ARROW_RESULT, preserve_index=False)
 
 
 def uncovered(lo: int, hi: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -233,84 +220,70 @@ def uncovered(lo: int, hi: int, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 def _open(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Windows (by distance before the anchor) that may repeat and are not known to."""
-    types = {"id": pa.int64(), "c": pa.int64(), "k": pa.int32(), "gram": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
-    out: list[tuple] = []
-    for name, c, k, gram, right, left, spans in rows:
-        if right + left >= sx.LENGTH:
-            out += [(name, c, k, gram, a, b) for a, b in uncovered(sx.LENGTH - right, left, [(s["lo"], s["hi"]) for s in spans if s["lo"] <= s["hi"]])]
-    if out:
-        yield table_of(dict(zip(types, zip(*out, strict=True), strict=True)), types)
 
+    def made() -> Iterator[tuple]:
+        for name, c, k, gram, right, left, spans in rows:
+            if right + left >= sx.LENGTH:
+                for a, b in uncovered(sx.LENGTH - right, left, [(s["lo"], s["hi"]) for s in spans if s["lo"] <= s["hi"]]):
+                    yield name, c, k, gram, a, b
 
-def _entries(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    types = {"gram": pa.int64(), "id": pa.int64(), "c": pa.int64(), "k": pa.int32(), "alone": pa.bool_(), "right": pa.int32(), "left": pa.int32(), "context": pa.binary()}
-    for contexts, tails, grams in sorted_runs(rows):
-        columns = {"gram": grams, "context": [x.tobytes() for x in contexts], "alone": tails["alone"] == 1} | {n: tails[n] for n in ("id", "c", "k", "right", "left")}
-        yield table_of(columns, types)
+    return batched(made(), {"id": "long", "c": "long", "k": "int", "gram": "long", "lo": "int", "hi": "int"}, 5_000)
 
 
 def _windows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Digests of the windows that are in question at a gram; ``asked``: this very one is."""
-    types = {"window": pa.binary(), "id": pa.int64(), "c": pa.int64(), "k": pa.int32(), "o": pa.int32(), "times": pa.int32(), "asked": pa.bool_()}
-    for name, c, k, alone, right, left, context, spans, own in rows:
-        asked = {o for s in own or () for o in range(s["lo"], s["hi"] + 1)}
-        out = []
-        for o in sorted({o for s in spans for o in range(max(s["lo"], sx.LENGTH - right), min(s["hi"], left) + 1)}):
-            before = context[sx.LENGTH : sx.LENGTH + o][::-1]
-            out.append((hashlib.md5(before + context[: sx.LENGTH - o]).digest(), name, c, k, o, 1 if alone else 2, o in asked))
-        if out:
-            yield table_of(dict(zip(types, zip(*out, strict=True), strict=True)), types)
+    """Digests of a document's windows that are in question: those before anchor ``m >> 9`` by ``m >> 1 & 255``; ``m & 1``: this very one is asked for."""
+
+    def made() -> Iterator[tuple]:
+        for name, c, z, wanted in rows:
+            raw = zstandard.decompress(z)
+            at, _, lo, hi = sx.anchors(raw)
+            for m in sorted(wanted):
+                k, o = m >> 9, m >> 1 & 255
+                start = int(at[k]) - o
+                if lo[k] <= start <= hi[k]:
+                    yield name, c, k, o, bool(m & 1), hashlib.blake2b(raw[start : start + sx.LENGTH], digest_size=16).digest()
+
+    return batched(made(), {"id": "long", "c": "long", "k": "int", "o": "int", "asked": "boolean", "window": "binary"}, 5_000)
 
 
 def _kept(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Removed bytes, spans and the digest of the rest, for candidate documents."""
-    types = {"id": pa.int64(), "c": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-    out: list[tuple] = []
-    for name, c, z, marks, judged in rows:
-        raw = zstandard.decompress(z)
-        at, _, lo, hi = sx.anchors(raw)
-        known: dict[int, list] = {}
-        for j in judged or ():
-            known.setdefault(j["k"], []).append((j["lo"], j["hi"]))
-        edge = np.zeros(len(raw) + 1, np.int64)
-        for mark in set(marks):
-            k = mark >> 1
-            # without a row it was done before the sort, or has its equal in its own run: all of its windows repeat
-            for a, b in known.get(k, ()) if mark & 1 and k in known else [(int(at[k] - hi[k]), int(at[k] - lo[k]))]:
-                if a <= b:
-                    edge[at[k] - b] += 1
-                    edge[at[k] - a + sx.LENGTH] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
-        rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-        out.append((name, c, int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest))
-        if len(out) == 200:
-            yield table_of(dict(zip(types, zip(*out, strict=True), strict=True)), types)
-            out = []
-    if out:
-        yield table_of(dict(zip(types, zip(*out, strict=True), strict=True)), types)
-
-
-def splitters_of(candidates: DataFrame, total: int) -> tuple[list[bytes], list[bytes]]:
-    """Keys at which ranges begin, in both orders, from a sample of about SAMPLE contexts."""
+
+    def made() -> Iterator[tuple]:
+        for name, c, z, marks, judged in rows:
+            raw = zstandard.decompress(z)
+            at, _, lo, hi = sx.anchors(raw)
+            edge = np.zeros(len(raw) + 1, np.int64)
+            spans = [(m >> 1, int(at[m >> 1] - hi[m >> 1]), int(at[m >> 1] - lo[m >> 1])) for m in set(marks) if not m & 1]  # between two equal ones
+            for k, a, b in spans + [(j["k"], j["lo"], j["hi"]) for j in judged or ()]:
+                edge[at[k] - b] += 1
+                edge[at[k] - a + sx.LENGTH] -= 1
+            gone = np.cumsum(edge[:-1]) > 0
+            rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            yield name, c, int(gone.sum()), runs, hashlib.sha256(rest).hexdigest(), rest
+
+    return batched(made(), {"id": "long", "c": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}, 200)
+
+
+def splitters_of(candidates: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys at which ranges begin, in both orders, from a sample of contexts."""
     ranges = total // RANGE + 1
-    if ranges == 1:
-        return [], []
-    share = max(1, total // SAMPLE)
-
-    def sampled(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        types = {"f": pa.binary(), "b": pa.binary()}
-        for row in rows:
-            own, _, _ = mixed_contexts(row)
-            if len(own):
-                yield table_of({"f": [x.tobytes() for x in own], "b": [x.tobytes() for x in sx.backward(own)]}, types)
-
-    some = candidates.where(F.pmod(F.xxhash64(*KEY), F.lit(share)) == 0)  # only where ranges begin depends on it
-    found = some.mapInArrow(each(sampled), "f binary, b binary").limit(4 * SAMPLE).collect()
+    found = []
+    if ranges > 1:
+        share = max(1, total // max(SAMPLE, SAMPLES * ranges))
+        picked = F.filter("marks", lambda m: (m % 2 == 1) & (F.pmod(F.xxhash64("id", "c", m), F.lit(share)) == 0))  # only where ranges begin depends on it
+        some = candidates.withColumn("marks", picked).where(F.size("marks") > 0).select("id", "c", "z", "marks")
+
+        def sampled(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            return batched(((x.tobytes(),) for row in rows for x in chosen_contexts(row)[0]), {"f": "binary"})
+
+        found = [bytes(r[0]) for r in some.mapInArrow(each(sampled), "f binary").collect()]
+    contexts = np.frombuffer(b"".join(found), np.uint8).reshape(-1, sx.WIDTH)
     out = []
-    for i in range(2):
-        keys = sorted({bytes(r[i]) for r in found})
-        out.append(sorted({keys[len(keys) * j // ranges] for j in range(1, ranges)} if keys else set()))
+    for keys in (contexts, sx.backward(contexts)):
+        ordered = np.unique(np.ascontiguousarray(keys).view(f"S{sx.WIDTH}").ravel())
+        out.append(np.unique(ordered[[len(ordered) * j // ranges for j in range(1, ranges)]] if len(ordered) else ordered))
     n = min(map(len, out))
     return out[0][:n], out[1][:n]
 
@@ -320,42 +293,51 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     docs = keyed(df, id_col, text_col)
     long_enough = docs.where(F.octet_length("raw") >= sx.LENGTH).select("id", "c", "raw")
     marks = written(long_enough.mapInArrow(each(_anchor_rows), "id long, c long, gram array<long>, tight array<long>"), "anchors")
-    pairs = marks.select(F.explode(F.arrays_zip("gram", "tight")).alias("x")).select("x.gram", "x.tight")
-    grams = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("tight").alias("t0"), F.max("tight").alias("t1")).where("n > 1")
-    grams = written(grams.select("gram", (F.col("t0") != F.col("t1")).cast("int").alias("mixed")), "grams")  # a table, so that the join can split common grams
-    each_gram = marks.select("id", "c", F.posexplode("gram").alias("k", "gram"))
-    held = each_gram.join(grams.hint("merge"), "gram").groupBy(*KEY).agg(F.collect_list(F.col("k") * 2 + F.col("mixed")).alias("marks"))
-    packed = long_enough.mapInArrow(each(_packed), "id long, c long, z binary")
+    grams = marks.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    grams = written(grams, "grams")  # a table, so that the join can split common grams
+    places = marks.select("id", "c", F.posexplode(F.arrays_zip("gram", "tight")).alias("k", "x")).select("id", "c", "k", "x.gram", "x.tight")
+    places = written(places.join(grams.hint("merge"), "gram"), "places")
+    own = F.struct("id", "c", "k")
+    classes = places.groupBy("gram", "tight").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("low"), F.max(own).alias("high"))
+    goes = (F.col("n") == 1) | (F.col("low") != F.col("high")) & ((own == F.col("low")) | (own == F.col("high")))
+    held = places.join(classes.hint("merge"), ["gram", "tight"]).groupBy(*KEY).agg(F.collect_set(F.col("k").cast("long") * 2 + goes.cast("int")).alias("marks"))
+    packed = long_enough.mapInArrow(each(_packed), "id long, c long, z binary").groupBy(*KEY).agg(F.first("z").alias("z"))
     candidates = written(packed.join(held.hint("merge"), KEY).select("id", "c", "z", "marks"), "candidates")
     total = candidates.agg(F.sum(F.size(F.filter("marks", lambda m: m % 2 == 1)))).first()[0] or 0
 
     judged = None
     if total:
         forward, backward = splitters_of(candidates, total)
-        runs = candidates.mapInArrow(each(_segments(forward, backward)), "range int, blob binary")
-        sorted_ = written(runs.groupBy("range").applyInPandas(_merge(len(forward) + 1), RESULT), "merged")
-        ends = sorted_.where("edge").select("forward", "range", "blob")
+        sorting = candidates.where(F.exists("marks", lambda m: m % 2 == 1))
+        runs = sorting.mapInArrow(each(_segments(forward, backward)), "range int, blob binary")
+        merged = written(runs.groupBy("range").applyInPandas(_merge(len(forward) + 1), RESULT), "merged")
+        ends = merged.where("edge").select("forward", "range", "blob")
         following = ends.withColumn("next", F.lead("blob").over(Window.partitionBy("forward").orderBy("range"))).where("next IS NOT NULL")  # a row for each range
         across = following.select("forward", "blob", "next").mapInArrow(each(_edges), RESULT)
-        rows = written(sorted_.where("NOT edge").union(across).select("id", "c", "k", "gram", "forward", "up", "lo", "hi"), "neighbours")
-        bounds = rows.groupBy("id", "c", "k").agg(
-            F.max(F.when(F.col("gram") != 0, F.col("gram"))).alias("gram"), F.max(F.when(F.col("forward"), F.col("up")).otherwise(0)).alias("right"),
-            F.max(F.when(F.col("forward"), 0).otherwise(F.col("up"))).alias("left"), F.collect_set(F.struct("lo", "hi")).alias("spans"),
+        rows = merged.where("NOT edge").union(across)
+        span = lambda a, b: F.struct(F.col(a).alias("lo"), F.col(b).alias("hi"))
+        rows = rows.groupBy("id", "c", "k", "gram").agg(
+            F.max(F.when(F.col("forward"), F.col("up")).otherwise(0)).alias("right"), F.max(F.when(F.col("forward"), 0).otherwise(F.col("up"))).alias("left"),
+            F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(span("lo", "hi"), span("lo2", "hi2")), lambda s: s["lo"] <= s["hi"])))).alias("spans"),
         )
-        open_ = written(bounds.mapInArrow(each(_open), "id long, c long, k int, gram long, lo int, hi int"), "open")
-        judged = rows.select("id", "c", "k", "lo", "hi")
+        rows = written(rows, "neighbours")
+        open_ = written(rows.select("id", "c", "k", "gram", "right", "left", "spans").mapInArrow(each(_open), "id long, c long, k int, gram long, lo int, hi int"), "open")
+        judged = rows.select("id", "c", "k", F.explode("spans").alias("s")).select("id", "c", "k", "s.lo", "s.hi")
         if not open_.isEmpty():
-            wanted = open_.groupBy("gram").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # distances up to LEFT, so a bounded set
-            entries = candidates.mapInArrow(each(_entries), "gram long, id long, c long, k int, alone boolean, right int, left int, context binary")
-            asked = open_.groupBy("id", "c", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
-            windows = entries.join(wanted, "gram").join(asked, ["id", "c", "k"], "left").select("id", "c", "k", "alone", "right", "left", "context", "spans", "own")
-            windows = written(windows.mapInArrow(each(_windows), "window binary, id long, c long, k int, o int, times int, asked boolean"), "windows")
-            twice = windows.groupBy("window").agg(F.sum("times").alias("n"), F.bool_or("asked").alias("any")).where("n > 1 AND any").select("window")
-            judged = judged.union(windows.where("asked").join(twice, "window").select("id", "c", "k", F.col("o").alias("lo"), F.col("o").alias("hi")))
-        judged = judged.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("k", "lo", "hi")).alias("judged"))
-    joined = candidates.join(judged, KEY, "left") if judged is not None else candidates.withColumn("judged", F.lit(None).cast("array<struct<k:int,lo:int,hi:int>>"))
+            asked = open_.select("id", "c", "k", "gram", F.explode(F.sequence("lo", "hi")).alias("o"))
+            wanted = written(asked.groupBy("gram").agg(F.collect_set("o").alias("os")), "wanted")  # distances up to LEFT, so a bounded set
+            others = rows.select("id", "c", "k", "gram").join(wanted.hint("merge"), "gram").select("id", "c", "k", F.explode("os").alias("o"), F.lit(0).alias("own"))
+            codes = others.union(asked.select("id", "c", "k", "o", F.lit(1))).select("id", "c", (F.col("k").cast("long") * 512 + F.col("o") * 2 + F.col("own")).alias("m"))
+            codes = codes.groupBy("id", "c", F.shiftright("m", 1).alias("w")).agg(F.max("m").alias("m")).groupBy(*KEY).agg(F.collect_list("m").alias("wanted"))
+            looked = written(candidates.select("id", "c", "z").join(codes.hint("merge"), KEY).select("id", "c", "z", "wanted"), "looked")
+            windows = written(looked.mapInArrow(each(_windows), "id long, c long, k int, o int, asked boolean, window binary"), "windows")
+            twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asked").alias("any")).where("n > 1 AND any").select("window")
+            hits = windows.where("asked").join(twice, "window").select("id", "c", "k", F.col("o").alias("lo"), F.col("o").alias("hi"))
+            judged = judged.union(hits)
+        judged = judged.groupBy(*KEY).agg(F.collect_list(F.struct("k", "lo", "hi")).alias("judged"))
+    joined = candidates.join(judged.hint("merge"), KEY, "left") if judged is not None else candidates.withColumn("judged", F.lit(None).cast("array<struct<k:int,lo:int,hi:int>>"))
     found = joined.select("id", "c", "z", "marks", "judged").mapInArrow(each(_kept), "id long, c long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    found = found.where("n_removed > 0").dropDuplicates(KEY)
+    found = written(found.where("n_removed > 0"), "shortened")
     whole = docs.select("name", "id", "c", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("whole_sha256"))
     both = whole.join(found, KEY, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

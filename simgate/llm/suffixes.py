@@ -13,13 +13,13 @@ import struct
 import numpy as np
 import zstandard
 
-from simgate.llm.pretokens import mix, powers, span_hashes
+from simgate.llm.pretokens import mix, rolling, span_hashes
 
 LENGTH, GRAM = 200, 64
 LEFT = LENGTH - GRAM  # most bytes of a window before its anchor
 WIDTH = LENGTH + LEFT
 #: Window starts of one document that are looked at together; longer documents are cut, with overlaps.
-PIECE = 2_000_000
+PIECE = 500_000
 POSITION = np.uint64((1 << 22) - 1)
 #: Stands where a document ends; no byte of UTF-8.
 END = 0xFF
@@ -38,10 +38,7 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _piece_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1] + np.uint64(GRAM * 0xD6E8FEB86659FD93 % (1 << 64)))
+    grams = rolling(data, GRAM)
     place = POSITION - np.arange(len(grams), dtype=np.uint64)
     chosen = (POSITION - (least_in_windows(grams & ~POSITION | place, LEFT + 1) & POSITION)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
@@ -76,17 +73,6 @@ def contexts(raw: bytes, at: np.ndarray, right: np.ndarray, left: np.ndarray) ->
     return np.where(inside, rows, np.uint8(END))
 
 
-def gram_hashes(rows: np.ndarray) -> np.ndarray:
-    """Of each context's gram, never 0."""
-    flat = np.ascontiguousarray(rows[:, :GRAM]).ravel()
-    starts = np.arange(len(rows)) * GRAM
-    return span_hashes(flat, starts, starts + GRAM).view(np.int64)
-
-
-def forward(rows: np.ndarray) -> np.ndarray:
-    return np.concatenate((rows[:, LEFT:], rows[:, :LEFT]), 1)
-
-
 def backward(rows: np.ndarray) -> np.ndarray:
     """Contexts with the part before the anchor first."""
     return np.concatenate((rows[:, LENGTH:], rows[:, :LENGTH]), 1)
@@ -102,8 +88,8 @@ def order_of(rows: np.ndarray) -> np.ndarray:
     return np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
 
 
-#: What goes with each suffix: document, number of the anchor, real lengths after and before it.
-TAIL = np.dtype([("id", "<i8"), ("c", "<i8"), ("k", "<i4"), ("right", "<u2"), ("left", "<u2"), ("alone", "u1")])
+#: What goes with each suffix: document, number and gram of the anchor, real lengths after and before it.
+TAIL = np.dtype([("id", "<i8"), ("c", "<i8"), ("gram", "<i8"), ("k", "<i4"), ("right", "<u2"), ("left", "<u2")])
 
 
 def pack(rows: np.ndarray, tails: np.ndarray) -> bytes:
