@@ -90,11 +90,26 @@ def batched(rows: Iterator[tuple], types: dict, most: int = BATCH, most_bytes: i
         yield flush()
 
 
+def groups(rows: Iterator[tuple], packed: bool) -> Iterator[list[tuple]]:
+    """Rows (id, hash, text, more) of about a piece of text together, each with its text and anchors."""
+    held, raws, size = [], [], 0
+    for row in rows:
+        raw = zstandard.decompress(row[2]) if packed else row[2]
+        if held and size + len(raw) > sx.PIECE:
+            yield list(zip(held, raws, sx.anchors_of(raws), strict=True))
+            held, raws, size = [], [], 0
+        held.append(row)
+        raws.append(raw)
+        size += len(raw)
+    if held:
+        yield list(zip(held, raws, sx.anchors_of(raws), strict=True))
+
+
 def _anchor_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     def made() -> Iterator[tuple]:
-        for name, c, raw in rows:
-            at, gram, lo, hi = sx.anchors(raw)
-            yield name, c, gram, sx.tight_hashes(raw, at, lo, hi)
+        for group in groups(rows, False):
+            tight = sx.tight_hashes([raw for _, raw, _ in group], [a for _, _, a in group])
+            yield from ((row[0], row[1], a[1], t) for (row, _, a), t in zip(group, tight, strict=True))
 
     return batched(made(), {"id": "long", "c": "long", "gram": "longs", "tight": "longs"}, most_bytes=1 << 20)
 
@@ -103,32 +118,30 @@ def _packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     return batched(((name, c, zstandard.compress(raw, 1)) for name, c, raw in rows), {"id": "long", "c": "long", "z": "binary"})
 
 
-def chosen_contexts(row: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and tails of a candidate document's anchors that are to be sorted."""
-    name, c, z, marks = row
-    raw, marks = zstandard.decompress(z), np.array(sorted(marks), np.int64)
-    k = marks[marks & 1 == 1] >> 1
-    if not len(k):
-        return np.zeros((0, sx.WIDTH), np.uint8), np.zeros(0, sx.TAIL)
-    at, gram, lo, hi = sx.anchors(raw)
-    at, gram, lo, hi = at[k], gram[k], lo[k], hi[k]
-    tails = np.zeros(len(k), sx.TAIL)
-    tails["id"], tails["c"], tails["k"], tails["gram"], tails["right"], tails["left"] = name, c, k, gram, hi + sx.LENGTH - at, at - lo
-    return sx.contexts(raw, at, tails["right"].astype(np.int64), tails["left"].astype(np.int64)), tails
+def chosen_contexts(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and tails of the anchors of candidate documents that are to be sorted."""
+    for group in groups(rows, True):
+        for (name, c, _, marks), raw, (at, gram, lo, hi) in group:
+            marks = np.array(sorted(marks), np.int64)
+            k = marks[marks & 1 == 1] >> 1
+            at, gram, lo, hi = at[k], gram[k], lo[k], hi[k]
+            tails = np.zeros(len(k), sx.TAIL)
+            tails["id"], tails["c"], tails["k"], tails["gram"], tails["right"], tails["left"] = name, c, k, gram, hi + sx.LENGTH - at, at - lo
+            for i in range(0, len(k), RUN):
+                own = tails[i : i + RUN]
+                yield sx.contexts(raw, at[i : i + RUN], own["right"].astype(np.int64), own["left"].astype(np.int64)), own
 
 
 def gathered(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Contexts and tails of about RUN suffixes at a time."""
     held, n = [], 0
-    for row in rows:
-        own = chosen_contexts(row)
-        for k in range(0, len(own[0]), RUN):
-            held.append((own[0][k : k + RUN], own[1][k : k + RUN]))
-            n += len(held[-1][0])
-            if n >= RUN:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, n = [], 0
-    if held:
+    for own in chosen_contexts(rows):
+        held.append(own)
+        n += len(own[0])
+        if n >= RUN:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
@@ -234,14 +247,13 @@ def _windows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Digests of a document's windows that are in question: those before anchor ``m >> 9`` by ``m >> 1 & 255``; ``m & 1``: this very one is asked for."""
 
     def made() -> Iterator[tuple]:
-        for name, c, z, wanted in rows:
-            raw = zstandard.decompress(z)
-            at, _, lo, hi = sx.anchors(raw)
-            for m in sorted(wanted):
-                k, o = m >> 9, m >> 1 & 255
-                start = int(at[k]) - o
-                if lo[k] <= start <= hi[k]:
-                    yield name, c, k, o, bool(m & 1), hashlib.blake2b(raw[start : start + sx.LENGTH], digest_size=16).digest()
+        for group in groups(rows, True):
+            for (name, c, _, wanted), raw, (at, _, lo, hi) in group:
+                for m in sorted(wanted):
+                    k, o = m >> 9, m >> 1 & 255
+                    start = int(at[k]) - o
+                    if lo[k] <= start <= hi[k]:
+                        yield name, c, k, o, bool(m & 1), hashlib.blake2b(raw[start : start + sx.LENGTH], digest_size=16).digest()
 
     return batched(made(), {"id": "long", "c": "long", "k": "int", "o": "int", "asked": "boolean", "window": "binary"}, 5_000)
 
@@ -250,18 +262,18 @@ def _kept(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Removed bytes, spans and the digest of the rest, for candidate documents."""
 
     def made() -> Iterator[tuple]:
-        for name, c, z, marks, judged in rows:
-            raw = zstandard.decompress(z)
-            at, _, lo, hi = sx.anchors(raw)
-            edge = np.zeros(len(raw) + 1, np.int64)
-            spans = [(m >> 1, int(at[m >> 1] - hi[m >> 1]), int(at[m >> 1] - lo[m >> 1])) for m in set(marks) if not m & 1]  # between two equal ones
-            for k, a, b in spans + [(j["k"], j["lo"], j["hi"]) for j in judged or ()]:
-                edge[at[k] - b] += 1
-                edge[at[k] - a + sx.LENGTH] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            yield name, c, int(gone.sum()), runs, hashlib.sha256(rest).hexdigest(), rest
+        for group in groups(rows, True):
+            for (name, c, _, marks, spans), raw, (at, _, lo, hi) in group:
+                between = np.array([m >> 1 for m in marks if not m & 1], np.int64)  # two equal ones
+                k = np.array([j["k"] for j in spans or ()], np.int64)
+                first = np.array([j["hi"] for j in spans or ()], np.int64)
+                last = np.array([j["lo"] for j in spans or ()], np.int64)
+                starts, ends = np.concatenate((lo[between], at[k] - first)), np.concatenate((hi[between], at[k] - last)) + sx.LENGTH
+                n = len(raw) + 1
+                gone = np.cumsum(np.bincount(starts, minlength=n) - np.bincount(ends, minlength=n))[:-1] > 0
+                rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                yield name, c, int(gone.sum()), runs, hashlib.sha256(rest).hexdigest(), rest
 
     return batched(made(), {"id": "long", "c": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}, 200)
 
@@ -276,7 +288,7 @@ def splitters_of(candidates: DataFrame, total: int) -> tuple[np.ndarray, np.ndar
         some = candidates.withColumn("marks", picked).where(F.size("marks") > 0).select("id", "c", "z", "marks")
 
         def sampled(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-            return batched(((x.tobytes(),) for row in rows for x in chosen_contexts(row)[0]), {"f": "binary"})
+            return batched(((x.tobytes(),) for own in chosen_contexts(rows) for x in own[0]), {"f": "binary"})
 
         found = [bytes(r[0]) for r in some.mapInArrow(each(sampled), "f binary").collect()]
     contexts = np.frombuffer(b"".join(found), np.uint8).reshape(-1, sx.WIDTH)
@@ -299,6 +311,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     places = written(places.join(grams.hint("merge"), "gram"), "places")
     own = F.struct("id", "c", "k")
     classes = places.groupBy("gram", "tight").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("low"), F.max(own).alias("high"))
+    classes = written(classes, "classes")  # as grams
     goes = (F.col("n") == 1) | (F.col("low") != F.col("high")) & ((own == F.col("low")) | (own == F.col("high")))
     held = places.join(classes.hint("merge"), ["gram", "tight"]).groupBy(*KEY).agg(F.collect_set(F.col("k").cast("long") * 2 + goes.cast("int")).alias("marks"))
     packed = long_enough.mapInArrow(each(_packed), "id long, c long, z binary").groupBy(*KEY).agg(F.first("z").alias("z"))

@@ -9,11 +9,12 @@ up to LENGTH bytes from it on and, backwards, up to LENGTH - GRAM bytes before i
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import zstandard
 
-from simgate.llm.pretokens import mix, rolling, span_hashes
+from simgate.llm.pretokens import mix, span_hashes
 
 LENGTH, GRAM = 200, 64
 LEFT = LENGTH - GRAM  # most bytes of a window before its anchor
@@ -26,43 +27,90 @@ END = 0xFF
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every run of ``width`` values, by running minima of blocks from both sides."""
-    n = len(values) - width + 1
-    blocks = -(-len(values) // width)
-    padded = np.full(blocks * width, np.iinfo(values.dtype).max, values.dtype)
-    padded[: len(values)] = values
-    padded = padded.reshape(blocks, width)
-    after = np.minimum.accumulate(padded, 1).ravel()
-    before = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(before[:n], after[width - 1 : width - 1 + n])
-
-
-def _piece_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    grams = rolling(data, GRAM)
+    """Minimum of every run of ``width`` values, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    return np.minimum(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
+
+
+#: Odd multiplier of the hash by which anchors are chosen, its inverse modulo 2**64, and a number for each byte.
+#: Equal grams have equal hashes; nothing is decided by two grams' having the same.
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64, as far as a piece goes."""
+    steps = [np.full(PIECE + 2 * LENGTH, b, np.uint64) for b in (BASE, BASE_INVERSE)]
+    for s in steps:
+        s[0] = 1
+    return np.multiply.accumulate(steps[0]), np.multiply.accumulate(steps[1])
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Of the GRAM bytes from each place on."""
+    up, down = _powers()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
+
+
+def _group_anchors(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts of LENGTH bytes at least that lie one after another."""
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    sizes = np.array([len(r) for r in raws])
+    begins = np.cumsum(sizes) - sizes
+    grams = gram_hashes(data)
     place = POSITION - np.arange(len(grams), dtype=np.uint64)
     chosen = (POSITION - (least_in_windows(grams & ~POSITION | place, LEFT + 1) & POSITION)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    return chosen[first], grams[chosen[first]], first
-
-
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a document: place, gram hash, and the first and last start of the windows it is the anchor of."""
-    n = len(raw) - LENGTH + 1
-    if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
-    data = np.frombuffer(raw, np.uint8)
-    parts = []
-    for k in range(0, n, PIECE):
-        at, gram, first = _piece_anchors(data[k : min(k + PIECE, n) + LENGTH - 1])
-        last = np.append(first[1:], min(PIECE, n - k)) - 1
-        parts.append((at + k, gram.view(np.int64), first + k, last + k))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def tight_hashes(raw: bytes, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of all bytes of an anchor's windows, and of where the anchor is among them."""
-    both = span_hashes(np.frombuffer(raw, np.uint8), lo, hi + LENGTH)
-    return mix(both + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    owner = np.repeat(np.arange(len(raws)), sizes)[: len(chosen)]
+    start = np.flatnonzero(np.arange(len(chosen)) <= (begins + sizes - LENGTH)[owner])  # windows that don't cross an end
+    chosen, owner = chosen[start], owner[start]
+    first = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1]))))
+    last = np.append(first[1:], len(start)) - 1
+    at, cuts = chosen[first], np.searchsorted(owner[first], np.arange(len(raws) + 1)).tolist()
+    columns = at, grams[at].view(np.int64), start[first], start[last]
+    return [(columns[0][a:b] - k, columns[1][a:b], columns[2][a:b] - k, columns[3][a:b] - k) for a, b, k in zip(cuts[:-1], cuts[1:], begins.tolist(), strict=True)]
+
+
+def anchors_of(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors of each document: place, gram hash, and the first and last start of the windows it is the anchor of."""
+    out = [tuple(np.zeros(0, np.int64) for _ in range(4))] * len(raws)
+    held, size = [], 0
+
+    def flush() -> None:
+        for i, found in zip(held, _group_anchors([raws[i] for i in held]), strict=True):
+            out[i] = found
+
+    for i, raw in enumerate(raws):
+        n = len(raw) - LENGTH + 1
+        if n > PIECE:
+            parts = []
+            for k in range(0, n, PIECE):
+                at, gram, lo, hi = _group_anchors([raw[k : min(k + PIECE, n) + LENGTH - 1]])[0]
+                parts.append((at + k, gram, lo + k, hi + k))
+            out[i] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        elif n > 0:
+            if held and size + len(raw) > PIECE:
+                flush()
+                held, size = [], 0
+            held.append(i)
+            size += len(raw)
+    if held:
+        flush()
+    return out
+
+
+def tight_hashes(raws: list[bytes], anchors: list[tuple]) -> list[np.ndarray]:
+    """Hash of all bytes of each anchor's windows, and of where the anchor is among them."""
+    begins = np.cumsum([0, *map(len, raws)])
+    at, _, lo, hi = (np.concatenate([a[i] + k for a, k in zip(anchors, begins.tolist(), strict=False)]) for i in range(4))
+    both = span_hashes(np.frombuffer(b"".join(raws), np.uint8), lo, hi + LENGTH)
+    return np.split(mix(both + (at - lo).astype(np.uint64) * np.uint64(BASE)).view(np.int64), np.cumsum([len(a[0]) for a in anchors])[:-1])
 
 
 def contexts(raw: bytes, at: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:

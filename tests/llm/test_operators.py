@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from simgate.llm import bpe, bpe_codec, flac, flac_media, language, near_dedup, pii, quality, suffix_dedup, token_count, token_files, winnowing
+from simgate.llm import bpe, bpe_codec, flac, flac_media, language, near_dedup, pii, quality, suffix_dedup, suffixes, token_count, token_files, winnowing
 
 random.seed(5)
 SYLLABLES = "an re the in or ed is on at en ti es st hea ble tion".split()
@@ -400,9 +400,20 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize(("run", "size"), [(30_000, 100_000), (50, 40)])
-def test_repeats(spark, monkeypatch, run, size):
-    monkeypatch.setattr(suffix_dedup, "RUN", run)
+def test_anchors_of_pieces_and_groups_stand_alike(monkeypatch):
+    raws = [prose(n, n).encode() for n in (30, 35, 200, 900, 40)] + [b"", b"ab" * 300, prose(900, 900).encode()[500:3000]]
+    place = {}
+    for piece in (suffixes.PIECE, 1_700):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        for raw, (at, _, lo, hi) in zip(raws, suffixes.anchors_of(raws), strict=True):
+            starts = [i for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for i in range(a, b + 1)]
+            assert starts == list(range(max(len(raw) - 199, 0)))  # every window has one anchor
+            for k, i in zip(np.repeat(at, hi - lo + 1).tolist(), starts, strict=True):
+                assert place.setdefault(raw[i : i + 200], k - i) == k - i  # at the same place in equal ones
+
+
+@pytest.mark.parametrize("size", [100_000, 40])
+def test_repeats(spark, monkeypatch, size):
     monkeypatch.setattr(suffix_dedup, "RANGE", size)
     passage, a, b = prose(70, 50)[:420], prose(200, 51), prose(200, 52)
     texts = [
@@ -410,6 +421,7 @@ def test_repeats(spark, monkeypatch, run, size):
         a[100:299] + b[100:299], *(edited(prose(300, 55), 0.04, s) for s in range(12)), *(prose(12, 300 + s) + passage[30:330] + prose(12, 400 + s) for s in range(40)),
         # a context that shares its left side with one document and its right side with another
         a[:150] + passage[:150] + b[:150], a[50:150] + passage[:110] + "left only", "right only" + passage[20:150] + b[:100],
+        prose(20_000, 56) + passage + prose(90_000, 57) + a[:260],  # longer than a piece
     ]
     got = by_id(suffix_dedup.repeats(frame(spark, texts)))
     assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute_repeats(texts)
