@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simgate.llm.pretokens import LETTER, classes, joined, mix
-from simgate.llm.tables import documents, map_texts, slices
+from simgate.llm.tables import byte_slices, documents, map_texts
 
 PROFILE = 300
 #: Rows a language from which profiles are learned, in expectation; the bound of the fit.
 SAMPLE_ROWS = 2_000
-LOW, MOST = np.int64((1 << 23) - 1), (1 << 20) - 1
+LOW = np.int64((1 << 23) - 1)
 
 
 def ngrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +56,7 @@ def ngrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def ranked(owner: np.ndarray, grams: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent n-grams of each text with their ranks; equal counts in order of hash."""
-    down = MOST - np.minimum(counts, MOST)
-    order = np.argsort(owner << 43 | down << 23 | (grams & LOW), kind="stable")
+    order = np.lexsort((grams & LOW, -counts, owner))
     owner, grams = owner[order], grams[order]
     begins = np.searchsorted(owner, owner)
     rank = np.arange(len(owner)) - begins
@@ -93,7 +92,6 @@ class Profiles:
         best = far.argmin(0)
         return {"lang_pred": [self.names[b] if s else "und" for b, s in zip(best.tolist(), sizes.tolist(), strict=True)], "score": np.where(sizes > 0, 1 - far.min(0), 0.0)}
 
-
     def keeps(self, texts: list) -> list[bool]:
         """Whether a text shares an n-gram with a learned language; where none was learned, whether it has a letter."""
         if not self.names:
@@ -118,10 +116,10 @@ def fit(df: DataFrame, size: int = PROFILE, sample_rows: int = SAMPLE_ROWS, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for lang in sorted(set(langs[a:b])):
-                    _, grams, counts = ngrams(["\n".join(t for t, own in zip(texts[a:b], langs[a:b], strict=True) if own == lang and t)])
+            for a, b in byte_slices(batch.column(1)):
+                langs, texts = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
+                for lang in sorted(set(langs)):
+                    _, grams, counts = ngrams(["\n".join(t for t, own in zip(texts, langs, strict=True) if own == lang and t)])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], schema=out)
 
     summed = picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

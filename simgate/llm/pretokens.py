@@ -94,17 +94,6 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((lanes[0] << np.uint64(31) | lanes[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` bytes."""
-    n = len(values)
-    plus, sums, out = values.astype(np.uint64) + np.uint64(1), np.zeros(n + 1, np.uint64), np.zeros(n - width + 1, np.uint64)
-    for base in BASES:
-        up, down = powers(base, n + 1)
-        np.cumsum(plus * up[:n], out=sums[1:])
-        out = out << np.uint64(31) | _reduced(_reduced(sums[width:] - sums[:-width]) * down[: n - width + 1])
-    return mix(out)
-
-
 def span_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A key of each span of code points: the characters themselves of up to SHORT below U+0100, else a hash with HASHED set."""
     sizes = ends - starts

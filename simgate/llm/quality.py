@@ -3,9 +3,10 @@
 A text is a bag of passages of 400 characters. Every passage is encoded from what its characters
 are (shares of character kinds, of pairs of kinds, of repeated words), a gated attention
 network weighs the passages, and the weighted passage representation is scored. All weights are
-learned together from labels of documents alone, by gradient descent in numpy on at most about
-``SAMPLE_ROWS`` labelled documents (of up to ``SAMPLE_PASSAGES`` passages each), chosen by a hash
-of the id; every document is scored, over all of its passages.
+learned together from labels of documents alone, by gradient descent in numpy on a sample of labelled
+documents: about ``SAMPLE_ROWS`` at most, and so few that they hold about ``SAMPLE_PASSAGES`` passages
+in all. A hash of the id chooses them, whatever their length, and each is learned from whole; every
+document is scored, over all of its passages.
 
 Defined results: a null or empty text is one empty passage and gets a score like any other; a
 null id stays null, is not held out and not learned from; of several labels of one document the
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from simgate.llm.language import held_out
 from simgate.llm.pretokens import LETTER, NUMBER, classes, joined, span_hashes
-from simgate.llm.tables import documents, map_texts, slices, table
+from simgate.llm.shared import written
+from simgate.llm.tables import byte_slices, documents, map_texts, table
 
 PASSAGE = 400
-SAMPLE_ROWS, SAMPLE_PASSAGES = 6_000, 512
+SAMPLE_ROWS, SAMPLE_PASSAGES = 6_000, 200_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 64, 0.01, 1e-4
 #: Kinds of characters: each ASCII mark for itself, then the rest.
 MARKS = 33
@@ -139,7 +141,7 @@ class Model:
 
     def learn(self, bags: list[np.ndarray], y: np.ndarray) -> Model:
         rng = np.random.default_rng(11)
-        everything = np.concatenate(bags)
+        everything = np.concatenate(bags)  # SAMPLE_PASSAGES rows of FEATURES floats, about
         self.mean, self.spread = everything.mean(0), everything.std(0) + 0.02
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         m, v, step = {k: 0 * w for k, w in self.w.items()}, {k: 0 * w for k, w in self.w.items()}, 0
@@ -167,20 +169,22 @@ class Model:
         return {"score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
 
-def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_passages: int = SAMPLE_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from the labelled rows of df."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
-    n = known.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))  # about sample_rows rows
+    place, whole = F.pmod(F.xxhash64("id"), F.lit(1 << 20)), 1 << 20
+    share = min(1.0, sample_rows / max(known.count(), 1))
+    picked = known.where(place < int(share * whole))  # about sample_rows rows
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
-    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= PASSAGE * SAMPLE_PASSAGES).select("id", "y", "text")
+    rows = written(rows.select("id", "y", "text"), "labelled")
+    held = rows.agg(F.sum(F.greatest(F.ceil(F.coalesce(F.length("text"), F.lit(0)) / PASSAGE), F.lit(1)))).first()[0] or 0
+    if held > sample_passages:
+        rows = rows.where(place < int(share * sample_passages / held * whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                x, first = passages(texts[a:b])
+            for a, b in byte_slices(batch.column(2)):
+                x, first = passages(batch.column(2).slice(a, b - a).to_pylist())
                 bags = [x[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, one machine), a temporary folder."""
+    """spark.checkpoint.dir of the session. Without it nothing is written: a folder of one machine would lose rows on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not folder and (master == "local" or master.startswith("local[")):
+        folder = f"file://{tempfile.gettempdir()}/simgate-shared"  # one process
     if not folder:
-        folder = f"file://{tempfile.gettempdir()}/simgate-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

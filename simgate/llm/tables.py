@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that one call of a batch function gets (one row may be longer).
-CHUNK_CHARS = 1_500_000
+#: Bytes of text that one call of a batch function gets (one row may be longer).
+CHUNK_BYTES = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,21 +21,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def slices(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive rows that hold about ``limit`` characters; a longer row stands alone."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if i > start and held + n > limit:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def byte_slices(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """The same over an Arrow column, by bytes, so that only a slice at a time becomes Python strings."""
+def byte_slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive rows that hold about ``limit`` bytes, so that only so much becomes Python strings; a longer row stands alone."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
@@ -62,9 +49,9 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                cols = fn(texts[a:b])
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in byte_slices(texts):
+                cols = fn(texts.slice(a, b - a).to_pylist())
                 arrays = [ids.slice(a, b - a)] + [pa.array(cols[f.name], f.type) for f in list(out_type)[1:]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out_type)
 
@@ -85,8 +72,8 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = [bool(x) for a, b in slices(texts) for x in fn(texts[a:b])]
+            texts = batch.column(at)
+            keep = [bool(x) for a, b in byte_slices(texts) for x in fn(texts.slice(a, b - a).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

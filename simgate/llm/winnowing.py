@@ -8,18 +8,21 @@ each window of 13 words around them is compared word by word with the windows of
 Items of fewer than 13 words are one window each; they are looked up by the hash of all their words.
 
 ``contamination`` reads a benchmark of up to ``BROADCAST_BYTES`` of text as one broadcast index and
-documents in one pass without a shuffle. A larger benchmark is joined by fingerprint (``by_join``),
-and each document gets only the items that share a fingerprint with it.
+documents in one pass without a shuffle. A larger benchmark is joined (``by_join``): fingerprints
+of documents with the distinct ones of the items, then the windows around those that both have with
+the items' windows, a row for each window with the list of its items. Both give the same rows.
 
 Defined results: a null or empty text has no words and no hits, and its item list is empty; a text
 of fewer words than a window can only match short items; items without id or words are ignored;
-items of equal text all count; repeated rows give repeated rows; a null id stays null; other
-columns are dropped; an empty benchmark leaves all documents clean.
+items of equal text all count; every row is judged by its own text, whatever its id: repeated rows
+give repeated rows, a null id stays null; ``contamination`` drops other columns and ``clean`` keeps
+them, whatever their names; an empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgate.llm.tables import documents, filter_texts, map_texts, slices, table
+from simgate.llm.shared import written
+from simgate.llm.tables import byte_slices, documents, filter_texts, map_texts, table
 from simgate.llm.words import ALPHANUMERIC, Words
 
 WINDOW, GRAM = 13, 5
 #: Text of a benchmark that is sent to every executor; a larger one is joined.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -79,19 +83,22 @@ class Index:
 
     def hits(self, words: Words) -> list[tuple[int, int, frozenset]]:
         """(first word, number of words, items) of all windows that occur."""
-        found = []
-        if len(self.long):
-            at, grams = winnow(words)
-            at = at[among(grams[at], self.long)]
-            spread = np.unique((at[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())  # extend to all windows around
-            spread = spread[spread >= 0]
-            spread = spread[words.left[spread] >= WINDOW]
-            found += [(i, WINDOW, h) for i in spread.tolist() if (h := self.holders.get(words.window(i, WINDOW)))]
-        for size, hashes in self.short.items():
-            at = np.flatnonzero(words.left >= size)
-            at = at[among(words.grams(size)[at], hashes)]
-            found += [(i, size, h) for i in at.tolist() if (h := self.holders.get(words.window(i, size)))]
-        return found
+        return [(i, size, h) for i, size in candidates(words, self.long, self.short) if (h := self.holders.get(words.window(i, size)))]
+
+
+def candidates(words: Words, long: np.ndarray, short: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(first word, number of words) of the windows to compare: around known fingerprints, and at hashes of short items."""
+    if len(long):
+        at, grams = winnow(words)
+        at = at[among(grams[at], long)]
+        spread = np.unique((at[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())  # extend to all windows around
+        spread = spread[spread >= 0]
+        for i in spread[words.left[spread] >= WINDOW].tolist():
+            yield i, WINDOW
+    for size, hashes in short.items():
+        at = np.flatnonzero(words.left >= size)
+        for i in at[among(words.grams(size)[at], hashes)].tolist():
+            yield i, size
 
 
 def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -124,13 +131,23 @@ def named_items(benchmark: DataFrame) -> DataFrame:
     return picked.dropna()
 
 
+def broadcast_index(df: DataFrame, items: DataFrame, broadcast_bytes: int):
+    """The index of the items, sent to every executor; None if they are too large for that."""
+    size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    if size > broadcast_bytes:
+        return None
+    return df.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.toLocalIterator()]))
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns for every document."""
     items = named_items(benchmark)
-    size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    if size > broadcast_bytes:
-        return by_join(df, items, id_col, text_col)
-    index = df.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.toLocalIterator()]))
+    index = broadcast_index(df, items, broadcast_bytes)
+    if index is None:
+        rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+        rows = written(rows, "rows")
+        judged = rows.select("id", "row").join(by_join(rows.select("row", "text"), items).withColumnRenamed("row", "judged"), F.col("row") == F.col("judged"))
+        return judged.select(F.col("id").alias(id_col), *(f.split()[0] for f in SCHEMA.split(", ")))
 
     def make() -> Callable[[list], dict]:
         def fn(texts: list) -> dict:
@@ -142,14 +159,15 @@ def contamination(df: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BR
     return map_texts(df, make, SCHEMA, id_col, text_col)
 
 
-def clean(df: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, that aren't contaminated."""
     items = named_items(benchmark)
-    size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    if size > broadcast_bytes:
-        bad = by_join(df, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("bad")).distinct()
-        return df.join(bad, df[id_col].eqNullSafe(F.col("bad")), "left_anti")
-    index = df.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.toLocalIterator()]))
+    index = broadcast_index(df, items, broadcast_bytes)
+    if index is None:
+        row = f"row_{uuid.uuid4().hex}"
+        rows = written(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+        judged = by_join(rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), items)
+        return rows.join(judged.where("contaminated").select(F.col("row").alias(row)), row, "left_anti").select(*(f"`{c}`" for c in df.columns))
 
     def make() -> Callable[[list], list]:
         def fn(texts: list) -> list:
@@ -161,14 +179,23 @@ def clean(df: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_
     return filter_texts(df, make, text_col)
 
 
-def by_join(df: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same, for a benchmark that is too large to send everywhere."""
-    lengths = items.select(F.col("item").alias("text"), F.lit(0).alias("doc_id"))
+def lists(owner: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct values of each of n owners."""
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(n + 1))
+    values = values[order]
+    return [np.unique(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def by_join(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """row and the contract's columns for every (row, text), for a benchmark that is too large to send everywhere."""
+    numbered = items.select(F.lit(0).alias("row"), F.col("item").alias("text"), F.col("item_id").alias("name"))
 
     def sizes() -> Callable[[list], dict]:
         return lambda texts: {"size": Words(texts, ALPHANUMERIC).sizes}
 
-    short = sorted(r[0] for r in map_texts(lengths, sizes, "size long").select("size").where(F.col("size").between(1, WINDOW - 1)).distinct().collect())  # at most 12
+    short = map_texts(numbered, sizes, "size long", "row").select("size").where(F.col("size").between(1, WINDOW - 1)).distinct()
+    short = sorted(r[0] for r in short.collect())  # at most 12
 
     def prints(own: bool) -> Callable[[], Callable[[list], dict]]:
         def fn(texts: list) -> dict:
@@ -181,38 +208,61 @@ def by_join(df: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Data
                     begins = words.first[:-1][words.sizes == size]
                 owner.append(words.owner[begins])
                 value.append(words.grams(size)[begins])
-            owner, value = np.concatenate(owner), np.concatenate(value).view(np.int64)
-            order = np.argsort(owner, kind="stable")
-            at = np.searchsorted(owner[order], np.arange(len(texts) + 1))
-            value = value[order]
-            return {"prints": [np.unique(value[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]}
+            return {"prints": lists(np.concatenate(owner), np.concatenate(value).view(np.int64), len(texts))}
 
         return lambda: fn
 
-    keyed = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    doc_prints = map_texts(keyed, prints(False), "prints array<long>").select("doc_id", F.explode("prints").alias("print"))
-    numbered = items.select(F.xxhash64("item_id", "item").alias("doc_id"), F.col("item").alias("text"), "item_id")
-    item_prints = map_texts(numbered, prints(True), "prints array<long>").select(F.col("doc_id").alias("item_key"), F.explode("prints").alias("print"))
-    pairs = doc_prints.join(item_prints, "print").select("doc_id", "item_key").distinct()
-    offered = pairs.join(numbered.select(F.col("doc_id").alias("item_key"), "item_id", F.col("text").alias("item")), "item_key")
-    offered = offered.groupBy(F.col("doc_id").alias("to")).agg(F.collect_set(F.struct("item_id", "item")).alias("items"))
-    both = keyed.join(offered, F.col("doc_id").eqNullSafe(F.col("to")), "left").select("doc_id", "text", "items")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    known = written(map_texts(numbered, prints(True), "prints array<long>", "row").select(F.explode("prints").alias("print")).distinct(), "prints")
+    own = map_texts(rows, prints(False), "prints array<long>", "row").select("row", F.explode("prints").alias("print"))
+    own = own.join(known.hint("merge"), "print", "left_semi").groupBy("row").agg(F.collect_set("print").alias("prints"))  # of one text
+    offered = rows.join(own.hint("merge"), "row").select("row", "text", "prints")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, items = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                cols: dict[str, list] = {n: [] for n in names}
-                for text, own in zip(texts[a:b], items[a:b], strict=True):
+            for a, b in byte_slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                out: dict[str, list] = {"row": [], "first": [], "size": [], "window": []}
+                for row, text, own in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words, wanted = Words([text], ALPHANUMERIC), np.unique(np.array(own, np.int64).view(np.uint64))
+                    for i, size in candidates(words, wanted, dict.fromkeys(short, wanted)):
+                        for name, value in zip(out, (row, i, size, words.window(i, size).decode()), strict=True):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "window" else pa.int64()) for k, v in out.items()], names=list(out))
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in byte_slices(batch.column(0)):
+                part = batch.slice(a, b - a)
+                found = []
+                for text, name in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     words = Words([text], ALPHANUMERIC)
-                    found = Index([(x["item_id"], x["item"]) for x in own]).hits(words) if own else []
-                    for n, v in judge(words, found).items():
-                        cols[n].append(v[0])
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(cols[n], t) for n, t in zip(names, types, strict=True))], names=["doc_id", *names])
-
-    return both.mapInArrow(run, "doc_id long, " + SCHEMA).withColumnRenamed("doc_id", id_col)
+                    n = min(WINDOW, len(words.starts))
+                    found += [(words.window(i, n).decode(), name) for i in range(len(words.starts) - n + 1)] if n else []
+                columns = list(zip(*found, strict=True)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["window", "name"])
+
+    holders = numbered.select("text", "name").mapInArrow(item_windows, "window string, name string").groupBy("window").agg(F.collect_set("name").alias("names"))
+    tried = offered.mapInArrow(windows, "row long, first long, size long, window string")
+    hits = tried.join(written(holders, "windows").hint("merge"), "window").groupBy("row").agg(
+        F.array_sort(F.collect_set(F.struct("first", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names")
+    )
+    # words covered: spans in order, each from where those before it end
+    covered = F.aggregate(
+        "spans", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda acc, s: F.struct(F.greatest(acc["end"], s["first"] + s["size"]).alias("end"), (acc["n"] + F.greatest(s["first"] + s["size"] - F.greatest(acc["end"], s["first"]), F.lit(0))).alias("n")),
+        lambda acc: acc["n"],
+    )
+
+    def counts() -> Callable[[list], dict]:
+        return lambda texts: {"n_words": Words(texts, ALPHANUMERIC).sizes}
+
+    both = map_texts(rows, counts, "n_words long", "row").join(hits.hint("merge").select("row", covered.alias("hit"), "names"), "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    n_hit = zero(F.col("hit"))
+    return both.select(
+        "row", "n_words", n_hit.alias("n_hit"), zero(F.size("names")).alias("n_items"), F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

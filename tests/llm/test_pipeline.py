@@ -14,7 +14,7 @@ from .test_operators import BASE, edited, prose
 
 def test_stages(spark, tmp_path):
     item = prose(30, 900)
-    texts = [BASE, BASE, edited(BASE, 0.01, 1), prose(50, 902), item + " " + prose(40, 903), "123 456 !!", None, "", prose(40, 904) + " mail me.you@there.org", prose(500, 905) + " " + " ".join(item.split()[:14])]
+    texts = [BASE, BASE, BASE + " and an end", prose(50, 902), item + " " + prose(40, 903), "123 456 !!", None, "", prose(40, 904) + " mail me.you@there.org", prose(500, 905) + " " + " ".join(item.split()[:14])]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int, extra string")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
