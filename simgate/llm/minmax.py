@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-from simgate.llm.pretokens import mix, span_hashes
+from simgate.llm.pretokens import mix
 from simgate.llm.words import NOT_SPACE, Words
 
 SHINGLE = 4
@@ -13,8 +15,6 @@ HASHES = 64
 #: Signature values that make one band: 128 values in bands of 4 are 32 bands. Two sets of Jaccard
 #: similarity 0.8 agree in none of them with probability (1 - 0.8**4)**32 = 5e-8.
 ROWS = 4
-#: (values of a key, keys) by which members of large groups are compared further.
-LEVELS = ((8, 64), (12, 128))
 
 
 def _multipliers() -> np.ndarray:
@@ -22,7 +22,7 @@ def _multipliers() -> np.ndarray:
     return mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's shingles (repeats included), one text after another, and where each begins, with the end.
 
     A text of fewer than n words has one shingle, all its words; one without words has none.
@@ -66,36 +66,21 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def longer_keys(signature: np.ndarray, rows: int, keys: int) -> np.ndarray:
-    """Keys of more signature values each, chosen by a fixed rule: they divide large groups of sets that agree in a band."""
-    order = np.argsort(mix(np.arange(keys * signature.shape[1], dtype=np.uint64) + np.uint64(rows << 32)).reshape(keys, -1), 1)[:, :rows]
-    key = np.broadcast_to(np.arange(1, keys + 1, dtype=np.uint64) + np.uint64(rows << 32), (len(signature), keys)).copy()
-    for r in range(rows):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, order[:, r]])
-    return key.view(np.int64)
+def sequence_keys(texts: list) -> np.ndarray:
+    """Two longs of each text's word sequence, from one digest of 128 bits."""
+    digests = (hashlib.blake2b(b" ".join((t or "").encode("utf-8", "replace").lower().split()), digest_size=16).digest() for t in texts)
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
-def described(texts: list) -> dict:
-    """Columns of the first pass: size of the set, two keys of the word sequence, band keys."""
-    words = Words(texts, NOT_SPACE)
-    hashes, at = shingles(words)
+def described(texts: list, n: int = SHINGLE) -> dict:
+    """Columns of the first pass: size of the set, the key of the word sequence, band keys."""
+    hashes, at = shingles(Words(texts, NOT_SPACE), n)
     sizes = [len(np.unique(hashes[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    first, last = words.first[:-1], words.first[1:]
-    keys = bands(signatures(hashes, at))
-    return {
-        "n_shingles": sizes,
-        "key_a": span_hashes(words.hashes, first, last).view(np.int64),
-        "key_b": span_hashes(mix(words.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first, last).view(np.int64),
-        "bands": list(keys),
-    }
-
-
-def sets(texts: list) -> dict:
-    """Columns of the second pass: the shingle set in order, and keys that divide large groups."""
-    words = Words(texts, NOT_SPACE)
-    hashes, at = shingles(words)
-    signature = signatures(hashes, at)
-    return {
-        "shingles": [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
-        **{f"keys_{rows}": list(longer_keys(signature, rows, keys)) for rows, keys in LEVELS},
-    }
+    keys = sequence_keys(texts)
+    return {"n_shingles": sizes, "key_a": keys[:, 0], "key_b": keys[:, 1], "bands": list(bands(signatures(hashes, at)))}
+
+
+def sets(texts: list, n: int = SHINGLE) -> dict:
+    """The column of the second pass: the shingle set in order."""
+    hashes, at = shingles(Words(texts, NOT_SPACE), n)
+    return {"shingles": [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]}
