@@ -22,9 +22,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document (of the smallest id) of each group of near duplicates, on shingles of five words."""
+    return near_dedup.deduplicated(docs, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates in the place of personal data."""
-    changed = pii.surrogates(docs).select(*docs.columns)
+    changed = pii.surrogates(docs, pii.session_key(spark)).select(*docs.columns)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
