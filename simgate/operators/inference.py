@@ -2,7 +2,8 @@
 
 ``load`` runs once in each task and returns the model: a function of a list of bytes that returns a
 list of vectors (embedders) or of lists of boxes (detectors), None for an input it can't decode.
-Nothing is dropped: a row says ok, no_detection or corrupt.
+Nothing is dropped: a row says ok, no_detection or corrupt; a model that raises makes the input corrupt
+that it raises for, and no other.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from simgate.operators.guards import require
 
 BATCH = 32
 DETECTION = "confidence double, x1 int, y1 int, x2 int, y2 int, area_fraction double"
@@ -24,13 +28,23 @@ def batches(items: list, size: int) -> Iterator[list]:
         yield items[k : k + size]
 
 
+def guarded(model: Callable[[list], list], items: list) -> list:
+    """The model's results; where it raises for a batch, for each item alone, None for those it raises for."""
+    try:
+        return model(items)
+    except Exception:
+        if len(items) == 1:
+            return [None]
+        return [guarded(model, [x])[0] for x in items]
+
+
 def embed(images: DataFrame, key: str, content: str, load: Load, batch: int = BATCH) -> DataFrame:
     """(key, embedding, status): status is ok, or corrupt where the model returns None."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in frames:
-            found = [v for part in batches(frame[content].tolist(), batch) for v in model(part)]
+            found = [v for part in batches(frame[content].tolist(), batch) for v in guarded(model, part)]
             yield pd.DataFrame({key: frame[key], "embedding": found, "status": ["ok" if v is not None else "corrupt" for v in found]})
 
     kind = images.schema[key].dataType.simpleString()
@@ -44,7 +58,7 @@ def detect(images: DataFrame, key: str, content: str, load: Load, min_confidence
         model = load()
         for frame in frames:
             found, status = [], []
-            for boxes in model(frame[content].tolist()):
+            for boxes in (b for part in batches(frame[content].tolist(), BATCH) for b in guarded(model, part)):
                 kept = sorted((b for b in boxes or () if b["confidence"] >= min_confidence), key=lambda b: -b["confidence"])
                 found.append(kept)
                 status.append("corrupt" if boxes is None else "ok" if kept else "no_detection")
@@ -54,6 +68,41 @@ def detect(images: DataFrame, key: str, content: str, load: Load, min_confidence
     return images.select(key, content).mapInPandas(run, f"`{key}` {kind}, status string, detections array<struct<{DETECTION.replace(' ', ':').replace(',:', ',')}>>")
 
 
+def detect_and_crop(images: DataFrame, key: str, content: str, load: Load, cut: Callable[[bytes, tuple], bytes], margin: float = 0.1, min_confidence: float = 0.25, top_only: bool = False) -> DataFrame:
+    """(key, status, detection_index, confidence, x1, y1, x2, y2, area_fraction, crop): a row for each crop, the surest first.
+
+    An image without detections, or that cannot be read, keeps a row without a crop. ``cut`` gives the bytes of a box
+    (left, top, right, bottom) of an image, widened by the margin; it clamps to the picture. Only whole boxes are cut.
+    """
+    require(margin >= 0, f"a margin must not be negative: {margin}")
+    found = detect(images, key, content, load, min_confidence)
+    boxes = F.slice("detections", 1, 1) if top_only else F.col("detections")
+    rows = found.select(key, "status", F.posexplode_outer(boxes).alias("at", "d")).select(key, "status", (F.col("at") + 1).alias("detection_index"), "d.*")
+    whole = F.col("x1").isNull() | ((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    rows = rows.withColumn("x1", F.when(whole, F.col("x1")).otherwise(F.raise_error(F.lit("a box must have positive sides"))))
+    both = rows.join(images.select(key, content), key)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            crops = []
+            for raw, x1, y1, x2, y2 in zip(frame[content], frame.x1, frame.y1, frame.x2, frame.y2, strict=True):
+                dx, dy = (0, 0) if pd.isna(x1) else (round((x2 - x1) * margin), round((y2 - y1) * margin))
+                crops.append(None if pd.isna(x1) else cut(bytes(raw), (int(x1 - dx), int(y1 - dy), int(x2 + dx), int(y2 + dy))))
+            yield frame.drop(columns=[content]).assign(crop=crops)
+
+    kind = images.schema[key].dataType.simpleString()
+    return both.select(key, "status", "detection_index", "confidence", "x1", "y1", "x2", "y2", "area_fraction", content).mapInPandas(run, f"`{key}` {kind}, status string, detection_index int, {DETECTION}, crop binary")
+
+
+def embedded_crops(images: DataFrame, key: str, content: str, detector: Load, cut: Callable[[bytes, tuple], bytes], embedder: Load, margin: float = 0.1, min_confidence: float = 0.25) -> DataFrame:
+    """The surest crop of each image and its embedding: what a cache of embeddings holds; skipped images keep their status."""
+    crops = detect_and_crop(images, key, content, detector, cut, margin, min_confidence, top_only=True)
+    done = crops.where("crop IS NOT NULL")
+    vectors = embed(done, key, "crop", embedder).withColumnRenamed("status", "embedded")
+    both = crops.drop("crop").join(vectors, key, "left")
+    return both.withColumn("status", F.coalesce("embedded", "status")).drop("embedded")
+
+
 def stub_embedder(dim: int = 8) -> Callable[[list], list]:
     """A deterministic stand-in for a model: a vector from the digest of the content."""
 

@@ -1,7 +1,8 @@
 """Score statistics, rates at cutoffs, per-group tables, confusion counts and error lists.
 
 ``scored`` has role (positive or negative, column ``kind``), name, score, best_match and group. A
-rate over no rows is null. NaN scores never pass a cutoff.
+rate over no rows is null. NaN scores never pass a cutoff. Percentiles come from counts of distinct
+scores, numbered by ranges, so that no group's scores meet in one buffer.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simgate.functions.scalars import group_or_unknown, is_hard, passes
+from simgate.operators import ranges
 from simgate.operators.guards import require
+from simgate.operators.ranges import running
+from simgate.sources.shared import kept
 
 POSITIVE, NEGATIVE = "positive", "negative"
 #: Digits of figures; of means fewer, as sums of doubles differ in their last digits with order.
@@ -24,18 +28,26 @@ def rounded(c: Column) -> Column:
     return F.round(c, ROUND)
 
 
-def summary_columns(score: Column | str = "score") -> list[Column]:
-    score = F.col(score) if isinstance(score, str) else score
-    exact = lambda p: rounded(F.percentile(score, F.lit(p)))
-    return [
-        F.count(score).alias("n"), F.round(F.avg(score), MEAN_ROUND).alias("mean"), rounded(F.min(score)).alias("min"),
-        exact(0.5).alias("p50"), exact(0.95).alias("p95"), rounded(F.max(score)).alias("max"),
-    ]
-
-
 def summarize(scored: DataFrame, *by: str) -> DataFrame:
-    """n, mean, min, p50, p95, max of the scores; percentiles are exact and interpolated."""
-    return scored.groupBy(*by).agg(*summary_columns())
+    """n, mean, min, p50, p95, max of the scores by columns without nulls; percentiles are exact and interpolated."""
+    counts = scored.where("score IS NOT NULL").groupBy(*by, "score").agg(F.count(F.lit(1)).alias("count"))
+    upto = running(counts, {name: F.col(name) for name in (*by, "score")}, {"upto": F.col("count")})
+    upto = kept(upto, "upto")
+    groups = upto.groupBy(*by).agg(F.sum("count").alias("n"), F.min(F.col("upto") - F.col("count")).alias("start"))
+    both = upto.join(groups, list(by)) if by else upto.crossJoin(F.broadcast(groups))
+    end = F.col("upto") - F.col("start")  # places of a score in its group: from end - count, to before end
+
+    def percentile(p: float) -> Column:
+        at = (F.max("n") - 1) * F.lit(p)
+        value = {}
+        for side, place in (("low", F.floor((F.col("n") - 1) * F.lit(p))), ("high", F.ceil((F.col("n") - 1) * F.lit(p)))):
+            value[side] = F.max(F.when((end - F.col("count") <= place) & (place < end), F.col("score")))
+        return rounded(value["low"] + (value["high"] - value["low"]) * (at - F.floor(at)))
+
+    return both.groupBy(*by).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.round(F.try_divide(F.sum(F.col("score") * F.col("count")), F.sum("count")), MEAN_ROUND).alias("mean"),
+        rounded(F.min("score")).alias("min"), percentile(0.5).alias("p50"), percentile(0.95).alias("p95"), rounded(F.max("score")).alias("max"),
+    )
 
 
 def rate(score: Column, cutoff: Column | float, where: Column | None = None) -> Column:
@@ -60,11 +72,6 @@ def sweep_grid(scored: DataFrame, step: float) -> DataFrame:
     return bounds.select(F.explode(ks).alias("k")).select(F.round(F.col("k") * F.lit(step), 10).alias("cutoff"))
 
 
-def _at_cutoffs(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Scored rows against cutoffs. The cutoffs (a grid, or distinct scores of a sweep's bucket) are few."""
-    return scored.crossJoin(F.broadcast(cutoffs))
-
-
 def bucketed(scored: DataFrame, cutoffs: DataFrame, by: list[Column]) -> DataFrame:
     """Counts of scores by how many cutoffs they reach; ``by`` names further columns.
 
@@ -134,13 +141,13 @@ def hard_easy_stats(scored: DataFrame, hard: list[str]) -> DataFrame:
     """mean, p95, max and number of groups (null counts as one) of hard and easy negatives."""
     neg = scored.where(F.col("kind") == NEGATIVE).withColumn("is_hard", is_hard(F.col("group"), hard))
     groups = F.countDistinct("group") + F.max(F.when(F.col("group").isNull(), 1).otherwise(0))
-    return neg.groupBy("is_hard").agg(*summary_columns(), groups.cast("long").alias("groups"))
+    return summarize(neg, "is_hard").join(neg.groupBy("is_hard").agg(groups.cast("long").alias("groups")), "is_hard")
 
 
 def group_stats(scored: DataFrame) -> DataFrame:
     """Statistics of each group of negatives; shown by descending max."""
     neg = scored.where(F.col("kind") == NEGATIVE)
-    return neg.groupBy(group_or_unknown(F.col("group")).alias("group")).agg(*summary_columns())
+    return summarize(neg.withColumn("group", group_or_unknown(F.col("group"))), "group")
 
 
 def overlap(scored: DataFrame) -> DataFrame:
@@ -197,7 +204,7 @@ def export(scored: DataFrame, threshold: float | None = None) -> DataFrame:
 
 
 def placed(exported: DataFrame) -> DataFrame:
-    """Number the rows of an export from 1. A report's rows only: one task numbers them."""
+    """Number the rows of an export from 1, by ranges."""
     rank = F.when(F.col("kind") == NEGATIVE, 0).otherwise(1)
     signed = F.when(F.col("kind") == NEGATIVE, -F.col("score")).otherwise(F.col("score"))
-    return exported.withColumn("place", F.row_number().over(Window.orderBy(rank, signed, "ord")).cast("long"))
+    return ranges.placed(exported, {"rank": rank, "signed": signed, "ord": F.col("ord")}, "place")

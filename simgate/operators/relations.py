@@ -25,6 +25,18 @@ def with_attributes(rows: DataFrame, attributes: DataFrame, key: str, ord_: str,
     return rows.join(last_by(attributes, key, ord_).drop(ord_), key, "left")
 
 
+def with_notes(detections: DataFrame, notes: DataFrame, key: str) -> DataFrame:
+    """Detections with the notes of their image: a row for each note of a repeated key, one without notes where there is none."""
+    return detections.join(notes.select(key, "notes"), key, "left")
+
+
+def zipped(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """(key, place, left, right): two arrays by place; arrays of different lengths are an error."""
+    sizes = F.coalesce(F.size(left), F.lit(0)) == F.coalesce(F.size(right), F.lit(0))
+    checked = F.when(sizes, F.arrays_zip(F.col(left).alias("left"), F.col(right).alias("right"))).otherwise(F.raise_error(F.concat(F.lit(f"{left} and {right} differ in length for "), F.col(key).cast("string"))))
+    return rows.select(key, F.posexplode(checked).alias("at", "both")).select(key, (F.col("at") + 1).alias("place"), "both.left", "both.right")
+
+
 def select_role(roles: DataFrame, cache: DataFrame, key: str = "name") -> DataFrame:
     """Cache rows of the names that roles list, an output for each listing; a missing name is an error."""
     all_present(roles, cache, key, "the embeddings cache")
@@ -73,6 +85,21 @@ def detection_rollup(detections: DataFrame, images: DataFrame, key: str) -> Data
     )
 
 
+def detection_text(rows: DataFrame) -> DataFrame:
+    """(name, text): what a person reads about each image of (name, detections, crops), in words.
+
+    The detections are in order of confidence; ``crops`` names the file of each, or is null where none was saved.
+    """
+    flags = lambda d: F.concat(F.when(d["confidence"] < LOW_CONFIDENCE, ", LOW CONFIDENCE").otherwise(""), F.when(d["area_fraction"] > FULL_FRAME, ", NEARLY FULL FRAME").otherwise(""))
+    share = lambda d: F.bround(d["area_fraction"] * 100, 0).cast("int").cast("string")
+    line = lambda d, c: F.concat(F.lit("confidence "), F.format_string("%.2f", d["confidence"]), F.lit(", "), share(d), F.lit("% of frame"), flags(d), F.coalesce(F.concat(F.lit(" -> "), c), F.lit(" (crop not saved)")))
+    n = F.coalesce(F.size("detections"), F.lit(0))
+    same = F.when(n == F.size("crops"), F.zip_with("detections", "crops", line)).otherwise(F.raise_error(F.lit("detections and crops differ in length")))
+    several = F.concat(F.col("name"), F.lit(": MULTIPLE CATS ("), n.cast("string"), F.lit(")\n"), F.array_join(F.transform(same, lambda x: F.concat(F.lit("  "), x)), "\n"))
+    text = F.when(n < 1, F.concat("name", F.lit(": NO CAT DETECTED"))).when(n == 1, F.concat("name", F.lit(": 1 cat, "), F.element_at(same, 1))).otherwise(several)
+    return rows.select("name", text.alias("text"))
+
+
 def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
     """How many rows were used or skipped, by status."""
     return rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))

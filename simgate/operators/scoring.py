@@ -1,13 +1,14 @@
 """Cosine scores of queries against a reference set.
 
-The reference set is cut into blocks of at most ``BLOCK`` vectors, each packed in one row. One block
-(the usual case) is broadcast and every query is scored inside its own row, without a shuffle; more
-blocks are scored one by one and a query's partial results are merged by its key.
+A reference set of up to ``BLOCK`` vectors (the usual case, checked by reading so many) is one row,
+broadcast, and every query is scored inside its own row, without a shuffle. A larger one is cut into
+blocks, dealt out with the queries by block and salt, and a query's partial results are merged by its
+key: no executor holds more than its blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simgate.functions.vectors import DIGITS, l2_normalize, similarity
@@ -19,16 +20,24 @@ TOP = 3
 AGGREGATIONS = ("max", "mean-top3")
 
 
-def reference_set(vectors: DataFrame, name: str = "name", embedding: str = "embedding", ord_: str = "ord") -> DataFrame:
-    """(block, refs): unit vectors in order of ``ord``. Empty sets and null vectors are errors."""
+#: Parts into which queries are dealt for each block of a large reference set.
+SALTS = 16
+
+
+def reference_set(vectors: DataFrame, name: str = "name", embedding: str = "embedding", ord_: str = "ord") -> tuple[DataFrame, int]:
+    """(block, refs), unit vectors in order of ``ord``, and the number of blocks. Empty sets and null vectors are errors."""
     rows = vectors.select(F.col(ord_).alias("ord"), F.col(name).alias("name"), l2_normalize(F.col(embedding)).alias("unit"))
-    n, whole = rows.agg(F.count(F.lit(1)), F.count("unit")).first()
+    first = rows.limit(BLOCK + 1).collect()  # bounded by BLOCK
+    if len(first) <= BLOCK:
+        n, whole = len(first), sum(r["unit"] is not None for r in first)
+        rows, blocks = rows.sparkSession.createDataFrame(first, rows.schema), 1
+    else:
+        n, whole = rows.agg(F.count(F.lit(1)), F.count("unit")).first()
+        blocks = -(-n // BLOCK)
     if not n or n != whole:
         raise GuardError(f"the reference set must be non-empty and row-aligned: {n} names, {whole} vectors")
-    # a small set: its size is its number of rows, checked here; a large one is numbered by range
-    blocks = -(-n // BLOCK)
     block = F.lit(0) if blocks == 1 else F.pmod(F.xxhash64("name", "ord"), F.lit(blocks)).cast("int")
-    return rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("ord", "name", "unit"))).alias("refs"))
+    return rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("ord", "name", "unit"))).alias("refs")), blocks
 
 
 def _top(sims: Column) -> Column:
@@ -46,9 +55,15 @@ def score(queries: DataFrame, reference: DataFrame, key: list[str], embedding: s
     ``key`` names the columns that tell queries apart; it matters with several blocks only.
     """
     units = queries.withColumn("unit", l2_normalize(F.col(embedding))).drop(embedding)
+    if blocks == 1:
+        met = units.crossJoin(F.broadcast(reference)).drop("block")
+    else:
+        dealt = units.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        salted = reference.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = dealt.hint("merge").join(salted, ["block", "salt"]).drop("block", "salt")
     sims = F.transform("refs", lambda r: F.struct(similarity(F.col("unit"), r["unit"]).alias("sim"), (-r["ord"]).alias("back"), r["name"].alias("name")))
-    scored = units.crossJoin(F.broadcast(reference)).withColumn("sims", sims).drop("unit", "refs", "block")
-    part = scored.withColumn("best", F.array_max("sims")).withColumn("top", _top(F.transform("sims", lambda s: s["sim"]))).drop("sims")
+    part = met.withColumn("sims", F.slice(F.sort_array(sims, asc=False), 1, TOP)).drop("unit", "refs")  # the best and two more
+    part = part.withColumn("best", F.element_at("sims", 1)).withColumn("top", F.transform("sims", lambda s: s["sim"])).drop("sims")
     if blocks > 1:
         keep = [c for c in part.columns if c not in ("best", "top")]
         part = part.groupBy(*key).agg(*(F.first(c).alias(c) for c in keep if c not in key), F.max("best").alias("best"), _top(F.flatten(F.collect_list("top"))).alias("top"))
@@ -61,8 +76,8 @@ def score(queries: DataFrame, reference: DataFrame, key: list[str], embedding: s
 
 def score_all(queries: DataFrame, vectors: DataFrame, key: list[str], **names: str) -> DataFrame:
     """Build the reference set from vectors and score all queries against it."""
-    reference = reference_set(vectors, **names)
-    return score(queries, reference, key, blocks=reference.count())
+    reference, blocks = reference_set(vectors, **names)
+    return score(queries, reference, key, blocks=blocks)
 
 
 def chosen(scored: DataFrame, aggregation: str) -> DataFrame:
@@ -73,13 +88,10 @@ def chosen(scored: DataFrame, aggregation: str) -> DataFrame:
 
 
 def pairs(queries: DataFrame, vectors: DataFrame, key: str, name: str = "name", embedding: str = "embedding") -> DataFrame:
-    """(key, reference, sim) for every pair: the relational form, for small query sets and inspection."""
-    left = queries.select(F.col(key), l2_normalize(F.col(embedding)).alias("q"))
-    right = vectors.select(F.col(name).alias("reference"), l2_normalize(F.col(embedding)).alias("r"))
-    return left.crossJoin(F.broadcast(right)).select(key, "reference", similarity(F.col("q"), F.col("r")).alias("sim"))
-
-
-def first_best(sims: DataFrame, key: str, ord_: str) -> DataFrame:
-    """Rows that rank first by similarity, the earliest of equal ones."""
-    order = Window.partitionBy(key).orderBy(F.desc("sim"), F.col(ord_))
-    return sims.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    """(key, reference, sim) for every pair: the relational form, for inspection. The reference set is one block at most."""
+    reference, blocks = reference_set(vectors.withColumn("at", F.lit(0)), name=name, embedding=embedding, ord_="at")
+    if blocks > 1:
+        raise GuardError(f"pairs are shown for up to {BLOCK} references")
+    met = queries.select(F.col(key), l2_normalize(F.col(embedding)).alias("q")).crossJoin(F.broadcast(reference))
+    each = met.select(key, "q", F.explode("refs").alias("r"))
+    return each.select(key, F.col("r.name").alias("reference"), similarity(F.col("q"), F.col("r.unit")).alias("sim"))

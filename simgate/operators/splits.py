@@ -1,7 +1,8 @@
 """Reproducible, stratified role membership by the order of a seeded digest.
 
 A name's place depends on seed and name alone, so membership never depends on row order, and the
-test set is drawn first: no later choice changes it.
+test set is drawn first: no later choice changes it. Places are numbered by ranges of digests, so
+neither all names nor a group of most names meet in one task.
 """
 
 from __future__ import annotations
@@ -9,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simgate.operators import guards
+from simgate.operators import guards, ranges
+from simgate.sources.shared import kept
+
+
+#: Parts of a group from which a sample is drawn on its own first.
+SALTS = 64
 
 
 def shuffle_key(seed: int, *parts: Column) -> Column:
@@ -17,26 +23,21 @@ def shuffle_key(seed: int, *parts: Column) -> Column:
 
 
 def test_first(names: DataFrame, seed: int, test: int, key: str = "name") -> DataFrame:
-    """Add shuffle_rank and is_test (the first ``test`` in shuffled order).
-
-    The rank is global; positives are the individual's own few images, so one task orders them.
-    """
-    order = Window.orderBy(shuffle_key(seed, F.col(key)), F.col(key))
-    ranked = names.withColumn("shuffle_rank", F.row_number().over(order))
+    """Add shuffle_rank and is_test (the first ``test`` in shuffled order)."""
+    ranked = ranges.placed(names, {"digest": shuffle_key(seed, F.col(key)), "key": F.col(key)}, "shuffle_rank")
     return ranked.withColumn("is_test", F.col("shuffle_rank") <= test)
 
 
 def prefer(ranked: DataFrame, flag: Column, key: str = "name") -> DataFrame:
     """Reorder what is left after the test draw: preferred rows first, else shuffled order; adds setup_rank."""
     left = ranked.where("NOT is_test")
-    order = Window.orderBy(F.coalesce(flag, F.lit(False)).desc(), "shuffle_rank")
-    return left.withColumn("setup_rank", F.row_number().over(order))
+    return ranges.placed(left, {"later": ~F.coalesce(flag, F.lit(False)), "shuffle_rank": F.col("shuffle_rank")}, "setup_rank")
 
 
 def positive_roles(positives: DataFrame, seed: int, reference: int, calibration: int, test: int, prefer_flag: Column | None = None, key: str = "name") -> DataFrame:
     """(key, role, ord): reference and calibration follow each other in setup order; leftovers have no role."""
-    guards.counts_fit(positives.count(), reference, calibration, test)
-    ranked = test_first(positives, seed, test, key)
+    ranked = kept(test_first(positives, seed, test, key), "ranked")
+    guards.counts_fit(ranked.count(), reference, calibration, test)
     setup = prefer(ranked, prefer_flag if prefer_flag is not None else F.lit(False), key)
     role = F.when(F.col("setup_rank") <= reference, "reference").when(F.col("setup_rank") <= reference + calibration, "calibration")
     ord_ = F.when(F.col("setup_rank") <= reference, F.col("setup_rank")).otherwise(F.col("setup_rank") - reference)
@@ -47,9 +48,7 @@ def positive_roles(positives: DataFrame, seed: int, reference: int, calibration:
 def stratified(negatives: DataFrame, seed: int, test_fraction: float, key: str = "name", group: str = "group") -> DataFrame:
     """(key, group, role, ord): of each group round(n * fraction), half to even, are test."""
     guards.fraction(test_fraction, "the test fraction")
-    order = Window.partitionBy(group).orderBy(shuffle_key(seed, F.col(group), F.col(key)), F.col(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    ranked = negatives.select(key, group, F.row_number().over(order).alias("ord"), n.alias("n"))
+    ranked = ranges.placed_within(negatives.select(key, group), group, {"digest": shuffle_key(seed, F.col(group), F.col(key)), "key": F.col(key)}, "ord")
     take = F.bround(F.col("n") * F.lit(float(test_fraction)), 0)
     return ranked.select(key, group, F.when(F.col("ord") <= take, "test").otherwise("setup").alias("role"), "ord")
 
@@ -58,8 +57,10 @@ def sample_per_group(rows: DataFrame, limit: int, seed: int, key: str = "name",
     """At most ``limit`` rows of each group (0 or less: all)."""
     if limit <= 0:
         return rows
-    order = Window.partitionBy(group).orderBy(shuffle_key(seed, F.col(group), F.col(key)), F.col(key))
-    return rows.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= limit).drop("sample_rank")
+    order = [shuffle_key(seed, F.col(group), F.col(key)), F.col(key)]
+    first = lambda df, *by: df.withColumn("sample_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("sample_rank") <= limit).drop("sample_rank")
+    salted = first(rows.withColumn("sample_salt", F.pmod(F.xxhash64(key), F.lit(SALTS))), group, "sample_salt")  # at most limit * SALTS rows of a group are left
+    return first(salted.drop("sample_salt"), group)
 
 
 def three_way(positives: DataFrame, negatives: DataFrame, seed: int, reference: int, calibration: int, test: int, test_fraction: float, prefer_flag: Column | None = None) -> DataFrame:

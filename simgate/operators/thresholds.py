@@ -1,17 +1,19 @@
 """Candidate cutoffs and the policies that choose one.
 
 Distinct scores are counted per class first; rates at all candidates then come from one running sum
-over them, so no score is compared with every cutoff.
+over them, by ranges, so no score is compared with every cutoff and no task sees all scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simgate.functions.scalars import is_hard
 from simgate.operators import guards
 from simgate.operators.metrics import NEGATIVE, POSITIVE, rounded
+from simgate.operators.ranges import running
+from simgate.sources.shared import kept
 
 PAD = 1e-3
 POLICIES = ("target-fpr", "youdens-j", "equal-error")
@@ -28,16 +30,12 @@ def score_counts(scored: DataFrame, hard: list[str]) -> DataFrame:
 def candidate_rates(scored: DataFrame, hard: list[str]) -> DataFrame:
     """cutoff, recall, fpr_overall and fpr_hard at every candidate cutoff.
 
-    Candidates are the midpoints of neighbouring distinct scores and two beyond the ends. The window
-    runs over distinct scores (rounded to nine digits), after their aggregation.
+    Candidates are the midpoints of neighbouring distinct scores and two beyond the ends.
     """
-    counts = score_counts(scored, hard)
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = counts.select(
-        "score", F.lead("score").over(Window.orderBy("score")).alias("next"), *(F.sum(c).over(up).alias(f"{c}_upto") for c in "pnh")
-    )
+    counts = kept(score_counts(scored, hard), "score_counts")
+    below = running(counts, {"score": F.col("score")}, {f"{c}_upto": F.col(c) for c in "pnh"}, following="score")
     totals = counts.agg(*(F.sum(c).alias(f"{c}_all") for c in "pnh"), F.min("score").alias("low"))
-    inner = below.select(F.coalesce((F.col("score") + F.col("next")) / 2, F.col("score") + PAD).alias("cutoff"), *(f"{c}_upto" for c in "pnh"))
+    inner = below.select(F.coalesce((F.col("score") + F.col("next_score")) / 2, F.col("score") + PAD).alias("cutoff"), *(f"{c}_upto" for c in "pnh"))
     lowest = totals.where("low IS NOT NULL").select((F.col("low") - PAD).alias("cutoff"), *(F.lit(0).cast("long").alias(f"{c}_upto") for c in "pnh"))
     share = lambda c: F.try_divide(F.col(f"{c}_all") - F.col(f"{c}_upto"), F.col(f"{c}_all"))
     return inner.union(lowest).crossJoin(F.broadcast(totals)).select("cutoff", share("p").alias("recall"), share("n").alias("fpr_overall"), share("h").alias("fpr_hard"))

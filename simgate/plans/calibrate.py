@@ -12,11 +12,18 @@ from simgate.operators import guards, metrics, relations, scoring, splits, thres
 from simgate.operators.metrics import NEGATIVE, POSITIVE
 from simgate.sources import artifact as artifacts
 from simgate.sources import split_store
+from simgate.sources.shared import kept
 
 #: Defaults of the split and of the target policy.
 REFERENCE, CALIBRATION, TEST, TEST_FRACTION, TARGET_FPR, SWEEP_STEP = 15, 10, 10, 0.3, 0.05, 0.05
-#: Look-alike groups of the first negatives, and of the external ones.
+#: Look-alike groups of the first negatives, and of the external ones (whose names have spaces).
 HARD_GROUPS = ("Birman", "Maine_Coon", "Persian", "Ragdoll")
+EXTERNAL_HARD_GROUPS = (
+    "Balinese", "Birman", "Domestic Long Hair", "Himalayan", "Maine Coon", "Nebelung", "Norwegian Forest Cat", "Persian", "Ragamuffin", "Ragdoll", "Siberian",
+    "Somali", "Turkish Angora", "Turkish Van",
+)
+#: What reference and calibration members may be preferred by: a flag of the positives' attributes.
+PREFERENCES = ("head", "tail", "both")
 
 
 @dataclass
@@ -31,11 +38,22 @@ class Settings:
     target_fpr: float = TARGET_FPR
     target_group: str = "hard"
     step: float = SWEEP_STEP
+    prefer: str | None = None
     hard: list[str] = field(default_factory=lambda: list(HARD_GROUPS))
 
 
-def make_split(positives: DataFrame, negatives: DataFrame, settings: Settings, prefer=None) -> DataFrame:
-    return splits.three_way(positives, negatives, settings.seed, settings.reference, settings.calibration, settings.test, settings.test_fraction, prefer)
+def preferred(prefer: str | None):
+    """The condition on head_visible and tail_visible that a preference stands for."""
+    if prefer is None:
+        return None
+    guards.one_of(prefer, PREFERENCES, "the preference")
+    head, tail = F.col("head_visible"), F.col("tail_visible")
+    return {"head": head, "tail": tail, "both": head & tail}[prefer]
+
+
+def make_split(positives: DataFrame, negatives: DataFrame, settings: Settings) -> DataFrame:
+    """``positives`` has head_visible and tail_visible where the settings prefer some."""
+    return splits.three_way(positives, negatives, settings.seed, settings.reference, settings.calibration, settings.test, settings.test_fraction, preferred(settings.prefer))
 
 
 def score_roles(roles: DataFrame, positives: DataFrame, negatives: DataFrame, which: str, reference: DataFrame | None = None) -> DataFrame:
@@ -56,11 +74,11 @@ def score_roles(roles: DataFrame, positives: DataFrame, negatives: DataFrame, wh
     return scoring.score_all(queries, reference, ["kind", "name"])
 
 
-def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, identity: dict, settings: Settings, split_dir: str | None = None, artifact_dir: str | None = None, poses: DataFrame | None = None, replay: bool = False) -> dict:
+def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, identity: dict, settings: Settings, split_dir: str | None = None, artifact_dir: str | None = None, poses: DataFrame | None = None, replay: bool = False, records: DataFrame | None = None) -> dict:
     """Draw (or replay) the split, score the setup roles, choose a threshold and freeze it.
 
     Returns the frames and the choice; the test roles are never scored here. ``positives`` and
-    ``negatives`` are caches (name, embedding[, group]).
+    ``negatives`` are caches (name, embedding[, group]); ``records`` has the flags that a preference needs.
     """
     guards.one_of(settings.aggregation, scoring.AGGREGATIONS, "the aggregation")
     guards.require(artifact_dir is None or settings.policy is not None, "an artifact needs a policy")
@@ -69,11 +87,16 @@ def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, i
         roles, header = split_store.read_split(spark, split_dir)
         guards.same_variant(header["identity"], identity, "the split and the caches")
     else:
-        roles = make_split(positives.select("name"), negatives.select("name", "group"), settings)
+        named = positives.select("name")
+        if settings.prefer is not None:
+            guards.require(records is not None, "a preference needs the positives' attributes")
+            guards.all_present(named, records, "name", "the attribute table")
+            named = named.join(records.select("name", "head_visible", "tail_visible"), "name", "left")
+        roles = make_split(named, negatives.select("name", "group"), settings)
         if split_dir is not None:
             split_store.write_split(roles, split_dir, identity, vars(settings))
             roles, _ = split_store.read_split(spark, split_dir)
-    scored = score_roles(roles, positives, negatives, "setup").cache()
+    scored = kept(score_roles(roles, positives, negatives, "setup"), "scored")
     rows = scoring.chosen(scored, settings.aggregation)
     out = {"roles": roles, "scored": rows, "grid": metrics.sweep_grid(rows, settings.step)}
     out["sweep"] = metrics.sweep(rows, out["grid"], settings.hard)
@@ -101,9 +124,11 @@ def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, i
     return out
 
 
-def evaluate(spark: SparkSession, artifact_dir: str, split_dir: str, positives: DataFrame, negatives: DataFrame, identity: dict, external: DataFrame | None = None, single_group: str | None = None) -> dict:
+def evaluate(spark: SparkSession, artifact_dir: str, split_dir: str, positives: DataFrame, negatives: DataFrame, identity: dict, external: DataFrame | None = None, single_group: str | None = None, hard: list[str] | None = None) -> dict:
     """Grade a frozen artifact on the test roles, or on all ``external`` negatives instead of the split's.
 
+    ``hard``: the groups that count as hard; else those of the artifact, or for external negatives their own.
+
     Returns one-row frames (confusion, rates, drift), the group table and the error lists.
     """
     document, reference = artifacts.read_artifact(spark, artifact_dir)
@@ -113,12 +138,14 @@ def evaluate(spark: SparkSession, artifact_dir: str, split_dir: str, positives:
     guards.same_rows(roles.where("role = 'reference'").select("name"), reference.select("name"), "the reference sets of split and artifact")
     if external is not None:
         guards.not_empty(external, "the external cache")
-        members = external.select(F.lit(NEGATIVE).alias("dataset"), F.lit("test").alias("role"), F.monotonically_increasing_id().alias("ord"), F.col("name").cast("string").alias("name"), F.col("group").cast("string").alias("group"))
+        members = external.select(F.lit(NEGATIVE).alias("dataset"), F.lit("test").alias("role"), F.xxhash64("name").alias("ord"), F.col("name").cast("string").alias("name"), F.col("group").cast("string").alias("group"))
         roles, negatives = roles.where(F.col("dataset") == POSITIVE).unionByName(members), external
     for kind in (POSITIVE, NEGATIVE):
         guards.not_empty(roles.where((F.col("dataset") == kind) & (F.col("role") == "test")), f"the test role of {kind}s")
-    hard, threshold = document["provenance"]["hard_groups"], document["threshold"]
-    rows = scoring.chosen(score_roles(roles, positives, negatives, "test", reference), document["aggregation"]).cache()
+    if hard is None:
+        hard = document["provenance"]["hard_groups"] if external is None else list(EXTERNAL_HARD_GROUPS)
+    threshold = document["threshold"]
+    rows = scoring.chosen(kept(score_roles(roles, positives, negatives, "test", reference), "scored"), document["aggregation"])
     rates = metrics.fixed_rates(rows, threshold, hard)
     before = spark.createDataFrame([{k: document["metrics"][k] for k in ("fpr_overall", "fpr_hard", "recall")}], "fpr_overall double, fpr_hard double, recall double")
     out = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from simgate.operators import guards, scoring, thresholds
 from simgate.plans import calibrate as runs
 from simgate.plans import report
-from simgate.sources import cache
+from simgate.sources import cache, files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,14 +36,22 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--target-fpr", type=float, default=runs.TARGET_FPR)
     c.add_argument("--target-group", choices=thresholds.GROUPS, default="hard")
     c.add_argument("--hard", nargs="*", default=list(runs.HARD_GROUPS))
+    c.add_argument("--prefer", choices=runs.PREFERENCES, help="reference and calibration photos that show this come first")
+    c.add_argument("--attributes", help="CSV of the positives' attributes")
+    for own in (c, e):
+        own.add_argument("--model", help="the model that both caches must be made with")
+        own.add_argument("--no-detect", action="store_true")
+        own.add_argument("--margin", type=float)
+        own.add_argument("--figures", help="folder or address of the pictures, for the HTML report")
     c.add_argument("--sweep-step", type=float, default=runs.SWEEP_STEP)
     e.add_argument("--external", action="store_true", help="grade on the whole cache of negatives")
     e.add_argument("--single-group")
+    e.add_argument("--hard", nargs="*", help="hard groups, in place of the artifact's or the external ones")
     return p
 
 
 def settings(args: argparse.Namespace) -> runs.Settings:
-    drawn = {k: getattr(args, k) for k in ("reference", "calibration", "test", "test_fraction", "seed")}
+    drawn = {k: getattr(args, k) for k in ("reference", "calibration", "test", "test_fraction", "seed", "prefer")}
     if args.replay:
         guards.exclusive(drawn | {"random_seed": args.random_seed}, "a replayed split")
     if args.random_seed:
@@ -53,6 +61,19 @@ def settings(args: argparse.Namespace) -> runs.Settings:
     return runs.Settings(**kept, aggregation=args.aggregation, policy=args.policy, target_fpr=args.target_fpr, target_group=args.target_group, step=args.sweep_step, hard=args.hard)
 
 
+def requested(args: argparse.Namespace, identity: dict) -> dict:
+    """The variant that the options ask for; what they leave open is as the cache has it."""
+    asked = dict(identity)
+    if args.model is not None:
+        asked["model_id"] = args.model
+    if args.no_detect:
+        asked |= {"detect": False, "margin": None, "min_confidence": None}
+    if args.margin is not None:
+        guards.require(not args.no_detect, "a margin needs the detector")
+        asked |= {"detect": True, "margin": args.margin}
+    return asked
+
+
 def _named(rows):
     return rows.withColumn("name", F.col("source_filename"))
 
@@ -62,29 +83,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("simgate").getOrCreate()
     try:
         positives, identity = cache.read_cache(spark, args.positives)
+        guards.same_variant(requested(args, identity), identity, "the request and the positives' cache")
         negatives, _ = cache.read_cache(spark, args.negatives, identity)
         positives, negatives = _named(positives), _named(negatives)
         if args.command == "calibrate":
             own = settings(args)
+            records = None
+            if args.attributes:
+                records = files.positive_records(positives, files.attribute_table(spark, args.attributes)).withColumnRenamed("source_filename", "name")
             if args.generate_only:
                 guards.require(args.split is not None, "a split to generate needs a folder")
-                roles = runs.make_split(positives.select("name"), negatives.select("name", "group"), own)
+                guards.require(own.prefer is None or records is not None, "a preference needs the positives' attributes")
+                named = positives.select("name") if own.prefer is None else positives.select("name").join(records, "name")
+                roles = runs.make_split(named, negatives.select("name", "group"), own)
                 runs.split_store.write_split(roles, args.split, identity, vars(own))
                 return 0
-            run = runs.calibrate(spark, positives, negatives, identity, own, args.split, args.artifact, replay=args.replay)
+            run = runs.calibrate(spark, positives, negatives, identity, own, args.split, args.artifact, poses=records, replay=args.replay, records=records)
             header, sections, rows = f"Calibration, seed {own.seed}, {own.aggregation}", report.calibration_sections(run, own.hard), run["scored"]
         else:
             guards.require(bool(args.artifact and args.split), "an evaluation needs an artifact and its split")
             external = negatives if args.external else None
-            run = runs.evaluate(spark, args.artifact, args.split, positives, negatives, identity, external, args.single_group)
+            run = runs.evaluate(spark, args.artifact, args.split, positives, negatives, identity, external, args.single_group, args.hard)
             header, sections, rows = f"Evaluation at {run['document']['threshold']}", report.evaluation_sections(run), run["export"]
         print(report.as_text(header, sections))
         if args.html:
             with open(args.html, "w", encoding="utf-8") as f:
-                f.write(report.as_html(header, sections))
+                f.write(report.as_html(header, sections, args.figures))
         if args.scores_out:
             columns = ["role", F.col("name").alias("source_filename"), F.format_string("%.6f", "score").alias("score"), *(["verdict"] if "verdict" in rows.columns else []), "best_match", "group"]
-            rows.select(*columns).coalesce(1).write.mode("overwrite").csv(args.scores_out, header=True)
+            rows.select(*columns).write.mode("overwrite").csv(args.scores_out, header=True)
         return 0
     except guards.GuardError as error:
         print(f"error: {error}", file=sys.stderr)

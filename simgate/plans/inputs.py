@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from simgate.operators import scoring, splits
 from simgate.operators.metrics import NEGATIVE, POSITIVE
+from simgate.sources.shared import kept
 
 SEED, REFERENCE, CALIBRATION, TEST, TEST_FRACTION = 20240601, 15, 10, 10, 0.3
 HARD = ["1", "2", "3"]
@@ -39,11 +40,11 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, role, ord (the name), name, group, both scores and the best match of all members of query roles."""
-    members = roles(spark, sf_dir)
+    members = kept(roles(spark, sf_dir), "roles")
     cache = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
     vectors = members.where("role = 'reference'").join(cache, "name")
     queries = members.where("role <> 'reference'").join(cache, "name").select(F.col("dataset").alias("kind"), "role", F.col("name").alias("ord"), "name", "group", "embedding")
-    return scoring.score_all(queries, vectors, ["kind", "name"])
+    return kept(scoring.score_all(queries, vectors, ["kind", "name"]), "scored")  # scored once, read by all that follows
 
 
 def setup(spark: SparkSession, sf_dir: str, aggregation: str = "max") -> DataFrame:

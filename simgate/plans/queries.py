@@ -13,6 +13,7 @@ from simgate.operators import inference, metrics, relations, scoring, splits, th
 from simgate.operators.metrics import NEGATIVE, POSITIVE, rounded
 from simgate.plans import inputs
 from simgate.plans.inputs import HARD, SEED, STEP, TEST, TEST_FRACTION, THRESHOLD
+from simgate.sources.shared import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
-    members = inputs.roles(spark, d).select("name", "role")
+    members = kept(inputs.roles(spark, d).select("name", "role"), "roles")
     cache = inputs.read(spark, d, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
     both = members.join(cache, "name")
     return scoring.pairs(both.where("role <> 'reference'"), both.where("role = 'reference'"), "name").withColumn("sim", rounded(F.col("sim")))
@@ -214,10 +215,44 @@ def external_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def same_experiment(spark: SparkSession, d: str) -> DataFrame:
-    """Whether two draws of one split have the same reference set, by anti joins both ways."""
-    first, again = (inputs.roles(spark, d).where("role = 'reference'").select("name") for _ in range(2))
-    differ = first.exceptAll(again).union(again.exceptAll(first)).agg((F.count(F.lit(1)) == 0).alias("same"))
-    return first.agg(F.count(F.lit(1)).alias("n")).crossJoin(differ)
+    """Whether the reference set is that of another draw: the same seed, another seed, and one altered name."""
+    draw = lambda seed: splits.positive_roles(inputs.positives(spark, d).select("name"), seed, inputs.REFERENCE, inputs.CALIBRATION, TEST).where("role = 'reference'").select("name")
+    first = kept(draw(SEED), "reference")
+    altered = first.withColumn("name", F.when(F.col("name") == first.agg(F.min("name")).first()[0], -1).otherwise(F.col("name")))
+    rows = []
+    for case, other in (("same seed", draw(SEED)), ("other seed", draw(SEED + 1)), ("altered", altered)):
+        differ = first.exceptAll(other).union(other.exceptAll(first))
+        rows.append(differ.agg(F.lit(case).alias("case"), (F.count(F.lit(1)) == 0).alias("same"), F.count(F.lit(1)).alias("differ")))
+    return reduce(DataFrame.union, rows)
+
+
+#: Groups of the external negatives that count as hard, apart from those of the split.
+EXTERNAL_HARD = ["4", "5"]
+
+
+@query
+def external_rates(spark: SparkSession, d: str) -> DataFrame:
+    """All negatives as external ones, with hard groups of their own."""
+    rows = scoring.chosen(inputs.scored(spark, d), "max")
+    return metrics.fixed_rates(rows.where(f"kind = '{NEGATIVE}' OR role = 'test'"), THRESHOLD, EXTERNAL_HARD)
+
+
+@query
+def detections_with_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as detections beside the notes of their part's suppliers: an output for each note."""
+    notes = inputs.read(spark, d, "supplier").select(F.col("s_nationkey").alias("image"), F.col("s_name").alias("notes"))
+    found = inputs.read(spark, d, "customer").select(F.col("c_nationkey").alias("image"), "c_custkey")
+    return relations.with_notes(found, notes, "image").select("c_custkey", "notes")
+
+
+@query
+def detections_with_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of each image (lines of an order) and its crops, zipped by place."""
+    lines = inputs.read(spark, d, "lineitem")
+    found = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("detections"))
+    crops = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("crops"))
+    both = relations.zipped(found.join(crops, "image"), "image", "detections", "crops")
+    return both.select("image", "place", F.col("left.l_quantity").cast("double").alias("quantity"), F.col("right").alias("crop"))
 
 
 @query
@@ -233,7 +268,8 @@ def attribute_left_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pose_lookup(spark: SparkSession, d: str) -> DataFrame:
-    poses = inputs.read(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("name"), F.expr("concat('p', vec_id % 5)").alias("position"), F.expr("concat('v', vec_id % 3)").alias("view"))
+    """Poses come from the whole table of parts; a reference without a part of its number has none."""
+    poses = inputs.read(spark, d, "part").select((F.col("p_partkey") * 2).alias("name"), F.col("p_brand").alias("position"), F.col("p_type").alias("view"))
     return relations.pose_of(inputs.scored(spark, d).select("name", "best_match"), poses).select("name", "best_match", "position", "view")
 
 
@@ -252,9 +288,10 @@ def crop_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def detection_rollup(spark: SparkSession, d: str) -> DataFrame:
-    found = inputs.read(spark, d, "lineitem").where("l_linenumber <= 3 AND l_returnflag <> 'R'")
-    found = found.selectExpr("l_orderkey AS image", "1 - l_discount * 4 AS confidence", "l_quantity / 50 AS area_fraction")
-    return relations.detection_rollup(found, inputs.read(spark, d, "orders").select(F.col("o_orderkey").alias("image")), "image")
+    """Lines as detections in the images of parts; parts that no line has are images without any."""
+    found = inputs.read(spark, d, "lineitem").selectExpr("l_orderkey * 7 + l_linenumber AS image", "1 - l_discount * 4 AS confidence", "l_quantity / 50 AS area_fraction")
+    images = inputs.read(spark, d, "lineitem").selectExpr("l_orderkey * 7 + l_linenumber AS image").union(inputs.read(spark, d, "part").selectExpr("-p_partkey AS image"))
+    return relations.detection_rollup(found, images, "image")
 
 
 @query
@@ -270,8 +307,9 @@ def filename_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def any_crop_hit(spark: SparkSession, d: str) -> DataFrame:
-    crops = scoring.chosen(inputs.scored(spark, d), "max").withColumn("image_id", F.col("name") % 50)
-    return relations.any_hit(spark.range(60).withColumnRenamed("id", "image_id"), crops, THRESHOLD).withColumn("best_score", rounded(F.col("best_score")))
+    """Every third query shows the image of its customer; customers that none shows have no crop."""
+    crops = scoring.chosen(inputs.scored(spark, d), "max").withColumn("image_id", F.expr("name div 3"))
+    return relations.any_hit(inputs.read(spark, d, "customer").select(F.col("c_custkey").alias("image_id")), crops, THRESHOLD).withColumn("best_score", rounded(F.col("best_score")))
 
 
 @query
@@ -289,6 +327,6 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as images through the injected stub model: rows only, as models are outside of SQL."""
+    """Pages as images through the injected stub model: an empty page is corrupt."""
     pages = inputs.read(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
     return inference.embed(pages, "page_id", "content", inference.stub_embedder).select("page_id", F.size("embedding").alias("dim"), "status")

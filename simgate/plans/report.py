@@ -95,6 +95,6 @@ def as_html(header: str, sections: list[tuple[str, list[dict], str]], folder: st
     parts = []
     for title, rows, note in sections:
         parts.append(html_table(title, rows, note))
-        if folder is not None and title.startswith("False"):
+        if folder is not None and rows and "best_match" in rows[0]:
             parts.append(figures(rows, len(rows), folder))
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(header)}</title><h1>{html.escape(header)}</h1>" + "".join(parts)

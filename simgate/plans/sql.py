@@ -105,10 +105,17 @@ sides AS (
   UNION ALL SELECT 'fpr_easy', a.fpr_easy, b.fpr_easy FROM a, b UNION ALL SELECT 'recall', a.recall, b.recall FROM a, b)
 SELECT metric, calibration, test, round(test - calibration, 12) AS change FROM sides""",
     "external_confusion": BASE + _confusion(f"(SELECT * FROM test WHERE {_POS} UNION ALL SELECT *, score_max AS score FROM scored WHERE {_NEG})", THRESHOLD),
-    "same_experiment": BASE + "SELECT count(*) AS n, true AS same FROM refs",
+    "same_experiment": BASE + f""",
+other AS (SELECT vec_id AS name FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('{SEED + 1}:' || CAST(vec_id AS VARCHAR)), vec_id) AS rn FROM embeddings WHERE label = 0) WHERE rn BETWEEN {TEST + 1} AND {TEST + REFERENCE}),
+differ AS (SELECT count(*) AS n FROM (SELECT ref AS name FROM refs EXCEPT SELECT name FROM other))
+SELECT 'same seed' AS "case", true AS same, 0 AS differ UNION ALL SELECT 'other seed', n = 0, 2 * n FROM differ UNION ALL SELECT 'altered', false, 2""",
+    "external_rates": BASE + f"SELECT {_rates(str(THRESHOLD)).replace('hard', 'outer_hard').replace('fpr_outer_hard', 'fpr_hard')} FROM (SELECT kind, score_max AS score, coalesce(grp, '') IN ('4', '5') AS outer_hard FROM scored WHERE {_NEG} OR role = 'test')",
+    "detections_with_notes": "SELECT c_custkey, s_name AS notes FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey",
+    "detections_with_crops": "SELECT l_orderkey AS image, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS INTEGER) AS place, CAST(l_quantity AS DOUBLE) AS quantity, l_linenumber AS crop FROM lineitem",
+    "embed_batches": "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN NULL ELSE 8 END AS dim, CASE WHEN html IS NULL OR html = '' THEN 'corrupt' ELSE 'ok' END AS status FROM pages",
     "catalog_misses": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "attribute_left_join": "SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
-    "pose_lookup": BASE + "SELECT name, best_match, CASE WHEN best_match % 2 = 0 THEN 'p' || CAST(best_match % 5 AS VARCHAR) ELSE '' END AS position, CASE WHEN best_match % 2 = 0 THEN 'v' || CAST(best_match % 3 AS VARCHAR) ELSE '' END AS view FROM scored",
+    "pose_lookup": BASE + "SELECT name, best_match, coalesce(p_brand, '') AS position, coalesce(p_type, '') AS view FROM scored LEFT JOIN part ON p_partkey * 2 = best_match",
     "page_of_misses": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY source, doc_id LIMIT 24 OFFSET 24",
     "crop_geometry": """
 WITH b AS (SELECT p_partkey, CAST(p_partkey % 90 AS INTEGER) AS x1, CAST(p_partkey % 70 AS INTEGER) AS y1, CAST(p_partkey % 90 + p_size AS INTEGER) AS x2, CAST(p_partkey % 70 + 2 * p_size AS INTEGER) AS y2 FROM part)
@@ -116,9 +123,9 @@ SELECT p_partkey, greatest(0, x1 - CAST(round_even((x2 - x1) * 0.1, 0) AS INTEGE
   least(120, x2 + CAST(round_even((x2 - x1) * 0.1, 0) AS INTEGER)) AS "right", least(150, y2 + CAST(round_even((y2 - y1) * 0.1, 0) AS INTEGER)) AS bottom,
   round((x2 - x1) * (y2 - y1) / 18000.0, 12) AS area_fraction FROM b""",
     "detection_rollup": """
-WITH d AS (SELECT l_orderkey, 1 - l_discount * 4 AS confidence, l_quantity / 50.0 AS area_fraction FROM lineitem WHERE l_linenumber <= 3 AND l_returnflag <> 'R'),
-per AS (SELECT l_orderkey, count(*) AS n, max(confidence) AS confidence, max(area_fraction) AS area FROM d GROUP BY 1),
-a AS (SELECT o.o_orderkey, coalesce(n, 0) AS n, confidence, area FROM orders o LEFT JOIN per ON l_orderkey = o_orderkey)
+WITH d AS (SELECT l_orderkey * 7 + l_linenumber AS image, 1 - l_discount * 4 AS confidence, l_quantity / 50.0 AS area_fraction FROM lineitem),
+per AS (SELECT image, count(*) AS n, max(confidence) AS confidence, max(area_fraction) AS area FROM d GROUP BY 1),
+a AS (SELECT i.image, coalesce(n, 0) AS n, confidence, area FROM (SELECT image FROM d UNION SELECT -p_partkey FROM part) i LEFT JOIN per USING (image))
 SELECT count(*) AS images, count(*) FILTER (WHERE n = 0) AS none, count(*) FILTER (WHERE n > 1) AS several, count(*) FILTER (WHERE n > 0 AND confidence < 0.8) AS low_confidence,
   count(*) FILTER (WHERE n > 0 AND area > 0.9) AS full_frame, count(*) FILTER (WHERE n = 1 AND NOT confidence < 0.8 AND NOT area > 0.9) AS clean, CAST(sum(n) AS BIGINT) AS crops FROM a""",
     "detection_rank": """
@@ -127,7 +134,7 @@ SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey
     "any_crop_hit": BASE + f"""
 SELECT image_id, count(name) AS crops, coalesce(bool_or(score_max >= {THRESHOLD}), false) AS hit, round(max(score_max), 12) AS best_score,
   CASE WHEN count(name) = 0 THEN 'no_crop' WHEN bool_or(score_max >= {THRESHOLD}) THEN 'hit' ELSE 'miss' END AS status
-FROM (SELECT unnest(range(0, 60)) AS image_id) LEFT JOIN scored ON name % 50 = image_id GROUP BY image_id""",
+FROM (SELECT c_custkey AS image_id FROM customer) LEFT JOIN scored ON name // 3 = image_id GROUP BY image_id""",
     "variant_key": """
 SELECT p_brand AS model_id, p_size % 2 = 0 AS detect, CASE WHEN p_size % 2 = 0 THEN p_size % 3 * CAST(0.1 AS DOUBLE) END AS margin, count(*) AS n FROM part GROUP BY ALL""",
     "status_counts": "SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'ok' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1",

@@ -12,6 +12,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from simgate.functions.scalars import crop_slug
 from simgate.operators import guards
 
 VERSION = 2
@@ -55,3 +56,19 @@ def read_artifact(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
     guards.require({len(v) for v in vectors} == {stored["dim"]}, "reference vectors of another width")
     guards.require(fingerprint(vectors) == stored["sha256"], "the reference vectors were changed")
     return document, rows
+
+
+def find_artifacts(spark: SparkSession, folder: str) -> list[str]:
+    """The artifacts (folders with a document) right below a folder, by name; none where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    inside = [s.getPath() for s in files.listStatus(path) if s.isDirectory()]
+    return sorted(str(p) for p in inside if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "document")))
+
+
+def default_name(kind: str, settings: dict, identity: dict, *rest: str) -> str:
+    """A name that tells kind, seed, role sizes, model and crop settings, so that runs that differ in one do not overwrite one another."""
+    slug = f"{identity['model_id'].replace('/', '--')}-{crop_slug(identity['detect'], identity.get('margin'))}"
+    return "-".join([kind, "three-way", f"seed{settings['seed']}", f"g{settings['reference']}", f"c{settings['calibration']}", f"t{settings['test']}", slug, *rest])

@@ -14,8 +14,8 @@ def score_stream(stream: DataFrame, reference_vectors: DataFrame, threshold: flo
 
     The reference set must fit one block, so no query is merged across rows and no state is kept.
     """
-    reference = scoring.reference_set(reference_vectors)
-    if reference.count() > 1:
+    reference, blocks = scoring.reference_set(reference_vectors)
+    if blocks > 1:
         raise scoring.GuardError(f"a stream is scored against at most {scoring.BLOCK} references")
     rows = scoring.chosen(scoring.score(stream, reference, []), aggregation)
     return rows.withColumn("hit", passes(F.col("score"), threshold))

@@ -60,7 +60,7 @@ def test_empty_reference_is_an_error(spark):
 def test_summary(spark):
     got = one(metrics.summarize(scored(spark, [0.0, 0.5, 1.0], [])))
     assert (got["n"], got["mean"], got["p50"], got["max"]) == (3, 0.5, 0.5, 1.0) and got["p95"] == pytest.approx(0.95)
-    empty = one(scored(spark, [], []).agg(*metrics.summary_columns()))
+    empty = one(metrics.summarize(scored(spark, [], [])))
     assert empty["n"] == 0 and empty["mean"] is None
 
 
@@ -215,3 +215,63 @@ def test_inference_batches_and_status(spark):
 
     found = {r.k: r for r in inference.detect(df.union(spark.createDataFrame([(4, bytearray(b"z"))], df.schema)), "k", "c", detector).collect()}
     assert [d.confidence for d in found[1].detections] == [0.9, 0.5] and found[2].status == "corrupt" and found[4].status == "no_detection"
+
+
+def test_notes_fan_out_and_zip_is_strict(spark):
+    found = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "image string, k int")
+    notes = spark.createDataFrame([("a", "x"), ("a", "y")], "image string, notes string")
+    assert sorted((r.image, r.k, r.notes or "") for r in relations.with_notes(found, notes, "image").collect()) == [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 2, "y"), ("b", 1, "")]
+    rows = spark.createDataFrame([("a", [1, 2], ["p", "q"])], "image string, d array<int>, c array<string>")
+    assert [tuple(r) for r in relations.zipped(rows, "image", "d", "c").collect()] == [("a", 1, 1, "p"), ("a", 2, 2, "q")]
+    with pytest.raises(Exception, match="differ in length"):
+        relations.zipped(rows.withColumn("c", F.array(F.lit("p"))), "image", "d", "c").collect()
+
+
+def test_models_that_raise_and_crops(spark):
+    def load():
+        def model(items):
+            if any(bytes(x) == b"bad" for x in items):
+                raise ValueError("cannot decode")
+            return [[{"confidence": c, "x1": 40, "y1": 40, "x2": 60, "y2": 60, "area_fraction": 0.1} for c in (0.5, 0.9, 0.1)] if bytes(x) != b"none" else [] for x in items]
+
+        return model
+
+    images = spark.createDataFrame([("a", b"img"), ("b", b"bad"), ("c", b"none")], "name string, content binary")
+    cut = lambda raw, box: raw + str(box).encode()
+    got = sorted(((r.name, r.status, r.detection_index, r.confidence, bytes(r.crop) if r.crop else None) for r in inference.detect_and_crop(images, "name", "content", load, cut).collect()), key=str)
+    box = b"img(38, 38, 62, 62)"
+    assert got == [("a", "ok", 1, 0.9, box), ("a", "ok", 2, 0.5, box), ("b", "corrupt", None, None, None), ("c", "no_detection", None, None, None)]
+    top = {r.name: r for r in inference.embedded_crops(images, "name", "content", load, cut, inference.stub_embedder).collect()}
+    assert len(top["a"].embedding) == 8 and [top[n].status for n in "abc"] == ["ok", "corrupt", "no_detection"]
+    with pytest.raises(guards.GuardError):
+        inference.detect_and_crop(images, "name", "content", load, cut, margin=-1)
+
+
+def test_detection_text(spark):
+    kind = "name string, detections array<struct<confidence:double,area_fraction:double>>, crops array<string>"
+    rows = spark.createDataFrame([("a.jpg", [], []), ("b.jpg", [(0.91, 0.25)], ["b.png"]), ("c.jpg", [(0.79, 0.95), (0.5, 0.1)], ["c.png", None])], kind)
+    got = {r.name: r.text for r in relations.detection_text(rows).collect()}
+    assert got == {
+        "a.jpg": "a.jpg: NO CAT DETECTED", "b.jpg": "b.jpg: 1 cat, confidence 0.91, 25% of frame -> b.png",
+        "c.jpg": "c.jpg: MULTIPLE CATS (2)\n  confidence 0.79, 95% of frame, LOW CONFIDENCE, NEARLY FULL FRAME -> c.png\n  confidence 0.50, 10% of frame, LOW CONFIDENCE (crop not saved)",
+    }
+
+
+def test_places_by_ranges(spark):
+    from simgate.operators import ranges
+
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS g", "id * 37 % 1000 AS v")
+    got = ranges.running(rows, {"v": F.col("v")}, {"place": F.lit(1), "total": F.col("v")}, following="v").collect()
+    assert all((r.place, r.total, r.next_v) == (r.v + 1, r.v * (r.v + 1) // 2, r.v + 1 if r.v < 999 else None) for r in got) and len(got) == 1000
+    within = ranges.placed_within(rows, "g", {"v": F.col("v")}, "place").collect()
+    for g in range(7):
+        own = sorted((r.v, r.place) for r in within if r.g == g)
+        assert [p for _, p in own] == list(range(1, len(own) + 1)) and {r.n for r in within if r.g == g} == {len(own)}
+
+
+def test_external_hard_groups(spark):
+    from simgate.plans import calibrate
+
+    df = scored(spark, [0.9], [(0.8, "Norwegian Forest Cat"), (0.6, "Bengal")])
+    got = one(metrics.fixed_rates(df, 0.7, list(calibrate.EXTERNAL_HARD_GROUPS)))
+    assert (got["fpr_overall"], got["fpr_hard"], got["fpr_easy"]) == (0.5, 1.0, 0.0) and len(calibrate.EXTERNAL_HARD_GROUPS) == 14
