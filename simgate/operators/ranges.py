@@ -42,7 +42,12 @@ def placed(rows: DataFrame, order: dict[str, Column], name: str) -> DataFrame:
 
 def placed_within(rows: DataFrame, group: str, order: dict[str, Column], name: str) -> DataFrame:
     """rows with their place, from 1, in their group, and the group's size, ``n``; one group may hold most rows."""
-    all_ = kept(placed(rows, {"group": F.col(group)} | order, "everywhere"), "places")
-    starts = all_.groupBy(F.col(group).alias("of")).agg((F.min("everywhere") - 1).alias("start"), F.count(F.lit(1)).alias("n"))
-    got = all_.join(starts, F.col(group).eqNullSafe(F.col("of")))
-    return got.select(*rows.columns, (F.col("everywhere") - F.col("start")).alias(name), "n")
+    keys = {"order_group": F.col(group)} | {f"order_{n}": c for n, c in order.items()}
+    ranged = kept(rows.withColumns(keys).repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
+    each = ranged.groupBy("range", F.col(group).alias("of")).agg(F.count(F.lit(1)).alias("own"))  # a row for each range and group that meet
+    one = Window.partitionBy("of")
+    before = F.sum("own").over(one.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = each.select(F.col("range").alias("at"), "of", F.coalesce(before, F.lit(0)).alias("start"), F.sum("own").over(one).alias("n"))
+    got = ranged.join(F.broadcast(starts), (F.col("range") == F.col("at")) & F.col(group).eqNullSafe(F.col("of")))
+    inside = F.row_number().over(Window.partitionBy("range", group).orderBy(*keys))
+    return got.select(*rows.columns, (F.col("start") + inside).alias(name), "n")

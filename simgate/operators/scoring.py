@@ -92,6 +92,5 @@ def pairs(queries: DataFrame, vectors: DataFrame, key: str, name: str = "name",
     reference, blocks = reference_set(vectors.withColumn("at", F.lit(0)), name=name, embedding=embedding, ord_="at")
     if blocks > 1:
         raise GuardError(f"pairs are shown for up to {BLOCK} references")
-    met = queries.select(F.col(key), l2_normalize(F.col(embedding)).alias("q")).crossJoin(F.broadcast(reference))
-    each = met.select(key, "q", F.explode("refs").alias("r"))
+    each = queries.select(F.col(key), l2_normalize(F.col(embedding)).alias("q")).crossJoin(F.broadcast(reference.select(F.explode("refs").alias("r"))))
     return each.select(key, F.col("r.name").alias("reference"), similarity(F.col("q"), F.col("r.unit")).alias("sim"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simgate.operators import guards, ranges
-from simgate.sources.shared import kept
 
 
 #: Parts of a group from which a sample is drawn on its own first.
@@ -35,14 +34,22 @@ def prefer(ranked: DataFrame, flag: Column, key: str = "name") -> DataFrame:
 
 
 def positive_roles(positives: DataFrame, seed: int, reference: int, calibration: int, test: int, prefer_flag: Column | None = None, key: str = "name") -> DataFrame:
-    """(key, role, ord): reference and calibration follow each other in setup order; leftovers have no role."""
-    ranked = kept(test_first(positives, seed, test, key), "ranked")
-    guards.counts_fit(ranked.count(), reference, calibration, test)
-    setup = prefer(ranked, prefer_flag if prefer_flag is not None else F.lit(False), key)
-    role = F.when(F.col("setup_rank") <= reference, "reference").when(F.col("setup_rank") <= reference + calibration, "calibration")
-    ord_ = F.when(F.col("setup_rank") <= reference, F.col("setup_rank")).otherwise(F.col("setup_rank") - reference)
-    chosen = setup.select(key, role.alias("role"), ord_.alias("ord")).where("role IS NOT NULL")
-    return chosen.union(ranked.where("is_test").select(key, F.lit("test").alias("role"), F.col("shuffle_rank").alias("ord")))
+    """(key, role, ord): reference and calibration follow each other in setup order; leftovers have no role.
+
+    Only members of roles are taken, the first of each order, so the driver holds as many names as the roles have.
+    """
+    later = ~F.coalesce(prefer_flag, F.lit(False)) if prefer_flag is not None else F.lit(False)
+    keyed = positives.select(key, later.alias("later"), shuffle_key(seed, F.col(key)).alias("digest"))
+    asked = reference + calibration + test
+    first = keyed.orderBy("digest", key).limit(asked).collect()
+    guards.counts_fit(len(first) if len(first) < asked else max(asked, 0), reference, calibration, test)
+    drawn = [r[key] for r in first[:test]]
+    setup = [r[key] for r in first[test:]]
+    if prefer_flag is not None:
+        setup = [r[key] for r in keyed.where(~F.col(key).isin(drawn)).orderBy("later", "digest", key).limit(reference + calibration).collect()]
+    rows = [(n, role, i + 1) for role, names in (("reference", setup[:reference]), ("calibration", setup[reference:]), ("test", drawn)) for i, n in enumerate(names)]
+    kind = positives.schema[key].dataType.simpleString()
+    return positives.sparkSession.createDataFrame(rows, f"`{key}` {kind}, role string, ord int")
 
 
 def stratified(negatives: DataFrame, seed: int, test_fraction: float, key: str = "name", group: str = "group") -> DataFrame:

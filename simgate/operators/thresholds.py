@@ -13,7 +13,6 @@ from simgate.functions.scalars import is_hard
 from simgate.operators import guards
 from simgate.operators.metrics import NEGATIVE, POSITIVE, rounded
 from simgate.operators.ranges import running
-from simgate.sources.shared import kept
 
 PAD = 1e-3
 POLICIES = ("target-fpr", "youdens-j", "equal-error")
@@ -32,9 +31,8 @@ def candidate_rates(scored: DataFrame, hard: list[str]) -> DataFrame:
 
     Candidates are the midpoints of neighbouring distinct scores and two beyond the ends.
     """
-    counts = kept(score_counts(scored, hard), "score_counts")
-    below = running(counts, {"score": F.col("score")}, {f"{c}_upto": F.col(c) for c in "pnh"}, following="score")
-    totals = counts.agg(*(F.sum(c).alias(f"{c}_all") for c in "pnh"), F.min("score").alias("low"))
+    below = running(score_counts(scored, hard), {"score": F.col("score")}, {f"{c}_upto": F.col(c) for c in "pnh"}, following="score")
+    totals = below.agg(*(F.sum(c).alias(f"{c}_all") for c in "pnh"), F.min("score").alias("low"))
     inner = below.select(F.coalesce((F.col("score") + F.col("next_score")) / 2, F.col("score") + PAD).alias("cutoff"), *(f"{c}_upto" for c in "pnh"))
     lowest = totals.where("low IS NOT NULL").select((F.col("low") - PAD).alias("cutoff"), *(F.lit(0).cast("long").alias(f"{c}_upto") for c in "pnh"))
     share = lambda c: F.try_divide(F.col(f"{c}_all") - F.col(f"{c}_upto"), F.col(f"{c}_all"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from simgate.operators import scoring, splits
 from simgate.operators.metrics import NEGATIVE, POSITIVE
-from simgate.sources.shared import kept
 
 SEED, REFERENCE, CALIBRATION, TEST, TEST_FRACTION = 20240601, 15, 10, 10, 0.3
 HARD = ["1", "2", "3"]
@@ -30,21 +29,29 @@ def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").where("label <> 0").select(F.col("vec_id").alias("name"), F.col("label").alias("group"), "embedding")
 
 
+def positive_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = splits.positive_roles(positives(spark, sf_dir).select("name"), SEED, REFERENCE, CALIBRATION, TEST)
+    return rows.select(F.lit(POSITIVE).alias("dataset"), "role", F.col("ord").cast("long").alias("ord"), "name", F.lit(None).cast("string").alias("group"))
+
+
+def negative_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = splits.stratified(negatives(spark, sf_dir).select("name", "group"), SEED, TEST_FRACTION)
+    return rows.select(F.lit(NEGATIVE).alias("dataset"), "role", "ord", "name", F.col("group").cast("string").alias("group"))
+
+
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, role, ord, name, group) of the split with the standard parameters."""
-    pos, neg = positives(spark, sf_dir).select("name"), negatives(spark, sf_dir).select("name", "group")
-    p = splits.positive_roles(pos, SEED, REFERENCE, CALIBRATION, TEST).select(F.lit(POSITIVE).alias("dataset"), "role", "ord", "name", F.lit(None).cast("string").alias("group"))
-    n = splits.stratified(neg, SEED, TEST_FRACTION).select(F.lit(NEGATIVE).alias("dataset"), "role", "ord", "name", F.col("group").cast("string").alias("group"))
-    return p.union(n)
+    return positive_roles(spark, sf_dir).union(negative_roles(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, role, ord (the name), name, group, both scores and the best match of all members of query roles."""
-    members = kept(roles(spark, sf_dir), "roles")
+    own = positive_roles(spark, sf_dir)
     cache = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
-    vectors = members.where("role = 'reference'").join(cache, "name")
-    queries = members.where("role <> 'reference'").join(cache, "name").select(F.col("dataset").alias("kind"), "role", F.col("name").alias("ord"), "name", "group", "embedding")
-    return kept(scoring.score_all(queries, vectors, ["kind", "name"]), "scored")  # scored once, read by all that follows
+    vectors = cache.join(F.broadcast(own.where("role = 'reference'")), "name")  # as many as the role has
+    members = own.where("role <> 'reference'").union(negative_roles(spark, sf_dir))
+    queries = members.join(cache, "name").select(F.col("dataset").alias("kind"), "role", F.col("name").alias("ord"), "name", "group", "embedding")
+    return scoring.score_all(queries, vectors, ["kind", "name"])
 
 
 def setup(spark: SparkSession, sf_dir: str, aggregation: str = "max") -> DataFrame:

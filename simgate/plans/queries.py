@@ -36,10 +36,10 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
-    members = kept(inputs.roles(spark, d).select("name", "role"), "roles")
+    own = inputs.positive_roles(spark, d).select("name", "role")
+    members = own.where("role <> 'reference'").union(inputs.negative_roles(spark, d).select("name", "role"))
     cache = inputs.read(spark, d, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
-    both = members.join(cache, "name")
-    return scoring.pairs(both.where("role <> 'reference'"), both.where("role = 'reference'"), "name").withColumn("sim", rounded(F.col("sim")))
+    return scoring.pairs(members.join(cache, "name"), cache.join(F.broadcast(own.where("role = 'reference'")), "name"), "name").withColumn("sim", rounded(F.col("sim")))
 
 
 @query
@@ -103,7 +103,7 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hard_easy_stats(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.hard_easy_stats(inputs.setup(spark, d), HARD)
+    return metrics.hard_easy_stats(kept(inputs.setup(spark, d), "scored"), HARD)
 
 
 @query
@@ -113,7 +113,7 @@ def group_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overlap_report(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.overlap(inputs.setup(spark, d))
+    return metrics.overlap(kept(inputs.setup(spark, d), "scored"))
 
 
 @query
@@ -123,13 +123,13 @@ def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.setup(spark, d)
+    rows = kept(inputs.setup(spark, d), "scored")
     return metrics.sweep(rows, metrics.sweep_grid(rows, STEP), HARD)
 
 
 @query
 def group_sweep(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.setup(spark, d)
+    rows = kept(inputs.setup(spark, d), "scored")
     return metrics.group_sweep(rows, metrics.sweep_grid(rows, STEP))
 
 
@@ -197,14 +197,15 @@ QUERIES |= {
 
 @query
 def aggregation_winner(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.scored(spark, d).where("role IN ('calibration', 'setup')")
+    rows = kept(inputs.scored(spark, d).where("role IN ('calibration', 'setup')"), "scored")
     heads = [metrics.fixed_rates(scoring.chosen(rows, a), THRESHOLD, HARD).withColumn("aggregation", F.lit(a)) for a in scoring.AGGREGATIONS]
     return thresholds.winner(reduce(DataFrame.union, heads)).select("aggregation", "fpr_overall", "fpr_hard", "fpr_easy", "recall")
 
 
 @query
 def drift_table(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.drift(metrics.fixed_rates(inputs.setup(spark, d), THRESHOLD, HARD), metrics.fixed_rates(inputs.held_out(spark, d), THRESHOLD, HARD))
+    rows = kept(scoring.chosen(inputs.scored(spark, d), "max"), "scored")
+    return metrics.drift(*(metrics.fixed_rates(rows.where(where), THRESHOLD, HARD) for where in ("role <> 'test'", "role = 'test'")))
 
 
 @query
