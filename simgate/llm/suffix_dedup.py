@@ -231,29 +231,53 @@ def uncovered(lo: int, hi: int, spans: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
+#: Distances of windows before their anchor (up to LEFT) are sets of bits, in so many longs.
+BITS = ("b0", "b1", "b2")
+
+
+def to_longs(bits: int) -> tuple[int, ...]:
+    words = (bits >> 64 * i & (1 << 64) - 1 for i in range(len(BITS)))
+    return tuple(w - (w >> 63 << 64) for w in words)
+
+
+def from_longs(*longs: int) -> int:
+    return sum((w & (1 << 64) - 1) << 64 * i for i, w in enumerate(longs))
+
+
+def from_to(lo: int, hi: int) -> int:
+    """The bits lo to hi."""
+    return (1 << hi + 1) - (1 << lo) if lo <= hi else 0
+
+
 def _open(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Windows (by distance before the anchor) that may repeat and are not known to."""
+    """The windows (by distance before the anchor) that may repeat and are not known to."""
 
     def made() -> Iterator[tuple]:
         for name, c, k, gram, right, left, spans in rows:
             if right + left >= sx.LENGTH:
-                for a, b in uncovered(sx.LENGTH - right, left, [(s["lo"], s["hi"]) for s in spans if s["lo"] <= s["hi"]]):
-                    yield name, c, k, gram, a, b
+                bits = sum(from_to(a, b) for a, b in uncovered(sx.LENGTH - right, left, [(s["lo"], s["hi"]) for s in spans if s["lo"] <= s["hi"]]))
+                if bits:
+                    yield name, c, k, gram, *to_longs(bits)
 
-    return batched(made(), {"id": "long", "c": "long", "k": "int", "gram": "long", "lo": "int", "hi": "int"}, 5_000)
+    return batched(made(), {"id": "long", "c": "long", "k": "int", "gram": "long"} | dict.fromkeys(BITS, "long"), 5_000)
 
 
 def _windows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Digests of a document's windows that are in question: those before anchor ``m >> 9`` by ``m >> 1 & 255``; ``m & 1``: this very one is asked for."""
+    """Digests of a document's windows that are in question at their gram, as far as each can repeat, and whether this very one is asked for."""
 
     def made() -> Iterator[tuple]:
         for group in groups(rows, True):
             for (name, c, _, wanted), raw, (at, _, lo, hi) in group:
-                for m in sorted(wanted):
-                    k, o = m >> 9, m >> 1 & 255
-                    start = int(at[k]) - o
-                    if lo[k] <= start <= hi[k]:
-                        yield name, c, k, o, bool(m & 1), hashlib.blake2b(raw[start : start + sx.LENGTH], digest_size=16).digest()
+                asked = {w["k"]: from_longs(*(w[b] for b in BITS)) for w in wanted if w["own"]}
+                for w in wanted:
+                    k = w["k"]
+                    if w["own"]:
+                        continue
+                    bits = from_longs(*(w[b] for b in BITS)) & from_to(max(sx.LENGTH - w["right"], 0), w["left"])
+                    for o in range(int(at[k] - hi[k]), int(at[k] - lo[k]) + 1):
+                        if bits >> o & 1:
+                            start = int(at[k]) - o
+                            yield name, c, k, o, bool(asked.get(k, 0) >> o & 1), hashlib.blake2b(raw[start : start + sx.LENGTH], digest_size=16).digest()
 
     return batched(made(), {"id": "long", "c": "long", "k": "int", "o": "int", "asked": "boolean", "window": "binary"}, 5_000)
 
@@ -334,14 +358,14 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(span("lo", "hi"), span("lo2", "hi2")), lambda s: s["lo"] <= s["hi"])))).alias("spans"),
         )
         rows = written(rows, "neighbours")
-        open_ = written(rows.select("id", "c", "k", "gram", "right", "left", "spans").mapInArrow(each(_open), "id long, c long, k int, gram long, lo int, hi int"), "open")
+        open_ = written(rows.select("id", "c", "k", "gram", "right", "left", "spans").mapInArrow(each(_open), "id long, c long, k int, gram long, b0 long, b1 long, b2 long"), "open")
         judged = rows.select("id", "c", "k", F.explode("spans").alias("s")).select("id", "c", "k", "s.lo", "s.hi")
         if not open_.isEmpty():
-            asked = open_.select("id", "c", "k", "gram", F.explode(F.sequence("lo", "hi")).alias("o"))
-            wanted = written(asked.groupBy("gram").agg(F.collect_set("o").alias("os")), "wanted")  # distances up to LEFT, so a bounded set
-            others = rows.select("id", "c", "k", "gram").join(wanted.hint("merge"), "gram").select("id", "c", "k", F.explode("os").alias("o"), F.lit(0).alias("own"))
-            codes = others.union(asked.select("id", "c", "k", "o", F.lit(1))).select("id", "c", (F.col("k").cast("long") * 512 + F.col("o") * 2 + F.col("own")).alias("m"))
-            codes = codes.groupBy("id", "c", F.shiftright("m", 1).alias("w")).agg(F.max("m").alias("m")).groupBy(*KEY).agg(F.collect_list("m").alias("wanted"))
+            wanted = open_.groupBy("gram").agg(*(F.bit_or(b).alias(b) for b in BITS))
+            part = lambda own: F.struct("k", "right", "left", *BITS, F.lit(own).alias("own")).alias("w")
+            others = rows.select("id", "c", "k", "gram", "right", "left").join(written(wanted, "wanted").hint("merge"), "gram").where(F.col("right") + F.col("left") >= sx.LENGTH)
+            asked = open_.withColumns({"right": F.lit(0), "left": F.lit(0)})
+            codes = others.select("id", "c", part(False)).union(asked.select("id", "c", part(True))).groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
             looked = written(candidates.select("id", "c", "z").join(codes.hint("merge"), KEY).select("id", "c", "z", "wanted"), "looked")
             windows = written(looked.mapInArrow(each(_windows), "id long, c long, k int, o int, asked boolean, window binary"), "windows")
             twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asked").alias("any")).where("n > 1 AND any").select("window")
