@@ -415,6 +415,15 @@ def test_near_duplicates_without_ids_and_with_repeats(spark):
     assert got == [(-1, -1, True), (3, 3, True), (7, 7, True), (7, 7, True), (9, 7, False)]
 
 
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    texts = [BASE, BASE, BASE, prose(30, 8), BASE + " end", None, prose(40, 9), prose(30, 8)]
+    rows = [(i, t, "x", n) for n, (i, t) in enumerate(zip([7, 7, None, 3, 9, None, 7, 5], texts, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc string, kept int")
+    out = near_dedup.deduplicated(df, shingle=5)
+    assert out.columns == df.columns and {r.kept for r in out.collect()} == {3, 4, 5, 6}
+    assert near_dedup.deduplicated(df.where("false"), shingle=5).count() == 0
+
+
 # op10
 
 
