@@ -1,11 +1,12 @@
 """FLAC streams of 8-bit samples, encoded and decoded many frames at a time with numpy.
 
-The subset: one channel, 8 bits, frames of 576 samples (the last frame of a stream too), constant,
-verbatim, fixed and linear-prediction subframes, Rice coded residuals in partitions, a seek point
-for every frame. A sample is the byte less 128, as FLAC's samples are signed. The layouts and
+What ``encode`` writes, and the fast path reads: one channel, 8 bits, frames of 576 samples (the
+last frame of a stream too), constant, verbatim, fixed and linear-prediction subframes, Rice coded
+residuals in partitions, a seek point for every frame. A sample is the byte less 128, as FLAC's
+samples are signed. Any other stream (``flac_frames``) is read a frame at a time. The layouts and
 numbers below are those of the format's specification (RFC 9639).
 
-A bad checksum, a wrong sample digest or anything outside of the subset raises ``FlacError``.
+A bad checksum, a wrong sample digest or a reserved value raises ``FlacError``.
 """
 
 from __future__ import annotations
@@ -26,13 +27,18 @@ PART = BLOCK // PARTS
 #: Fixed values of the format: sync, block size code of 576 and rate code of 8 kHz, mono of 8 bits.
 HEADER = (0xFF, 0xF8, 0x24, 0x02)
 CONSTANT, VERBATIM, FIXED, LPC = 0, 1, 8, 32
-MAGIC, META, POINT = 4, 4 + 4 + 34, 18  # bytes of the marker, of it with STREAMINFO, of a seek point
+META = 4 + 4 + 34  # bytes of the marker and STREAMINFO
+POINTS = [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]
 
 
 class FlacError(ValueError):
     pass
 
 
+class OtherForm(FlacError):
+    """Not what the fast path reads; ``flac_frames`` may."""
+
+
 @lru_cache(4)
 def crc_table(width: int, poly: int) -> np.ndarray:
     table = np.arange(256, dtype=np.uint32) << np.uint32(width - 8)
@@ -211,7 +217,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         signed = (np.frombuffer(p, np.uint8) ^ 128).tobytes()
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big")
         info += (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(signed).digest()
-        points = np.zeros(b - a, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+        points = np.zeros(b - a, POINTS)
         points["sample"], points["offset"], points["n"] = np.arange(b - a) * BLOCK, start[a:b] - start[a], BLOCK
         table = points.tobytes()
         out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + data[start[a] : start[b]].tobytes())
@@ -219,28 +225,30 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 
 class Stream:
-    """The metadata of one stream: total samples, sample digest and the seek points."""
+    """The metadata of one stream: sizes, total samples, sample digest, seek points; offsets of all frames if the fast path reads it."""
 
     def __init__(self, data: bytes):
-        if data[:4] != b"fLaC" or data[4] & 127:
+        if len(data) < META or data[:4] != b"fLaC" or data[4] & 127:
             raise FlacError("not a FLAC stream")
         packed = int.from_bytes(data[18:26], "big")
         self.total, self.md5 = packed & (1 << 36) - 1, data[26:42]
-        if struct.unpack(">HH", data[8:12]) != (BLOCK, BLOCK) or packed >> 41 & 7 or packed >> 36 & 31 != 7:
-            raise FlacError("not one channel of 8 bits in blocks of 576")
+        self.channels, self.bits = (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1
+        least, self.block = struct.unpack(">HH", data[8:12])
         at, last = META, data[4] >> 7
-        self.offsets = None
+        self.points = np.zeros(0, POINTS)
         while not last:
+            if at + 4 > len(data):
+                raise FlacError("a stream ends within its metadata")
             last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
             if kind == 3:
-                points = np.frombuffer(data[at + 4 : at + 4 + size], [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-                points = points[points["sample"] != 0xFFFFFFFFFFFFFFFF]
-                if len(points) * BLOCK == self.total and (points["sample"] == np.arange(len(points)) * BLOCK).all():
-                    self.offsets = points["offset"].astype(np.int64)
+                points = np.frombuffer(data[at + 4 : at + 4 + size], POINTS)
+                self.points = points[points["sample"] != 0xFFFFFFFFFFFFFFFF]
             at += 4 + size
         self.audio = at
-        if self.offsets is None:
-            raise FlacError("no seek point for each frame")
+        numbers = self.points["sample"]
+        own = (self.channels, self.bits, least, self.block) == (1, 8, BLOCK, BLOCK)
+        whole = own and len(numbers) > 0 and len(numbers) * BLOCK == self.total and bool((numbers == np.arange(len(numbers)) * BLOCK).all())
+        self.offsets = self.points["offset"].astype(np.int64) if whole else None
 
 
 @lru_cache(16)
@@ -286,7 +294,7 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number
     """Samples (frames, 576) of frames at known places, with both checksums of each verified."""
     head = len(HEADER) + _utf8_size(number) + 1
     if (ends - starts < head + 4).any() or any((data[starts + i] != byte).any() for i, byte in enumerate(HEADER)):
-        raise FlacError("a frame header outside of the subset")
+        raise OtherForm("another frame header")
     if (crcs(data, starts, head - 1, 8, 0x07) != data[starts + head - 1]).any():
         raise FlacError("a frame header's checksum is wrong")
     if (crcs(data, starts, ends - starts - 2, 16, 0x8005) != data[ends - 2].astype(np.uint32) << 8 | data[ends - 1]).any():
@@ -305,7 +313,7 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number
         elif FIXED <= code <= FIXED + 4 or code >= LPC:
             out[own] = _decode_subframes(bits, at, code)
         else:
-            raise FlacError("a reserved subframe type")
+            raise OtherForm("wasted bits, or a reserved subframe type")
     return out
 
 
@@ -316,7 +324,7 @@ def _decode_subframes(bits: _Bits, at: np.ndarray, code: int) -> np.ndarray:
     if code >= LPC:
         precision, shift = bits.read(at, 4) + 1, bits.signed(at + 4, 5)
         if (precision != precision[0]).any():
-            raise FlacError("coefficients of differing precision")
+            raise OtherForm("coefficients of differing precision")
         width = int(precision[0])
         coefs = np.stack([bits.signed(at + 9 + width * j, width) for j in range(order)])
         at = at + 9 + width * order
@@ -326,14 +334,14 @@ def _decode_subframes(bits: _Bits, at: np.ndarray, code: int) -> np.ndarray:
         shift = np.zeros(len(at), np.int64)
     method = bits.read(at, 6)
     if (method != PARTITION_ORDER).any():
-        raise FlacError("another coding method or partition order")
+        raise OtherForm("another coding method or partition order")
     at = at + 6
     residual = np.empty((BLOCK - order, len(at)), np.int64)
     t = 0
     for part in range(PARTS):
         k = bits.read(at, 4)
         if (k == 15).any():
-            raise FlacError("an escaped partition")
+            raise OtherForm("an escaped partition")
         at = at + 4
         for _ in range(PART - (order if part == 0 else 0)):
             residual[t], at = bits.rice(at, k)
@@ -342,11 +350,26 @@ def _decode_subframes(bits: _Bits, at: np.ndarray, code: int) -> np.ndarray:
     return (_restored(residual, warm, coefs, shift) if order else residual).T
 
 
+def blocks(data: bytes, info: Stream, first: int, stop: int) -> np.ndarray:
+    """Stored bytes (frames, 576) of the frames from ``first`` up to ``stop`` of one stream that the fast path reads; no others are decoded."""
+    starts = info.offsets[first:stop] + info.audio
+    ends = np.append(info.offsets, len(data) - info.audio)[first + 1 : stop + 1] + info.audio
+    return _stored(decode_frames(np.frombuffer(data, np.uint8), starts, ends, np.arange(first, stop)))
+
+
+def _stored(samples: np.ndarray) -> np.ndarray:
+    if (samples < -128).any() or (samples > 127).any():
+        raise FlacError("samples of more than 8 bits")
+    return samples.astype(np.int8).view(np.uint8) ^ 128
+
+
 def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples (frames, 576) of each stream, as stored bytes; digests of the samples are verified."""
+    """The samples of each stream (frames, 576), as stored bytes; digests of the samples are verified. Streams of the fast path only."""
     if not streams:
         return []
     infos = [Stream(s) for s in streams]
+    if any(i.offsets is None for i in infos):
+        raise OtherForm("not one channel of 8 bits in blocks of 576, each with a seek point")
     begin = np.concatenate(([0], np.cumsum([len(s) for s in streams])))
     data = np.frombuffer(b"".join(streams), np.uint8)
     starts = np.concatenate([i.offsets + b + i.audio for i, b in zip(infos, begin.tolist(), strict=False)])
@@ -355,13 +378,10 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
     first = np.concatenate(([0], np.cumsum(sizes)))
     ends[first[1:] - 1] = begin[1:]
     number = np.arange(len(starts)) - np.repeat(first[:-1], sizes)
-    samples = decode_frames(data, starts, ends, number)
-    if (samples < -128).any() or (samples > 127).any():
-        raise FlacError("samples of more than 8 bits")
-    pcm = samples.astype(np.int8).view(np.uint8)
+    stored = _stored(decode_frames(data, starts, ends, number))
     out = []
     for info, a, b in zip(infos, first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if hashlib.md5(pcm[a:b].tobytes()).digest() != info.md5:
+        if hashlib.md5((stored[a:b] ^ 128).tobytes()).digest() != info.md5:
             raise FlacError("the digest of the samples is wrong")
-        out.append(pcm[a:b] ^ 128)
+        out.append(stored[a:b])
     return out

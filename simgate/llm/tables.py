@@ -21,9 +21,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def byte_slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive rows that hold about ``limit`` bytes, so that only so much becomes Python strings; a longer row stands alone."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def byte_slices(texts: pa.Array, limit: int = CHUNK_BYTES, each: int = 0) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive rows that hold about ``limit`` bytes (with ``each`` more a row), so that only so much becomes Python strings; a longer row stands alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + each)
     start = 0
     while start < len(texts):
         before = int(upto[start - 1]) if start else 0
