@@ -29,6 +29,8 @@ from simgate.llm.tables import byte_slices, documents
 PAD, TAIL = b"\xff", 32
 #: Bytes that are encoded or decoded together; one longer payload stands alone.
 TOGETHER = 1 << 20
+#: How media columns are written: equal streams of a row group once (a dictionary of up to 64 MB), pages of 8 MB, since frames repeat far apart.
+STORED = {"parquet.dictionary.page.size": str(64 << 20), "parquet.page.size": str(8 << 20), "parquet.compression.codec.zstd.level": "9"}
 
 
 def padded(raw: bytes | None) -> bytes:
@@ -141,4 +143,4 @@ def features(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_bytes", m
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(written(encode(documents(spark, sf_dir)), "media"))
+    return features(written(encode(documents(spark, sf_dir)), "media", STORED))

@@ -19,9 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, from Parquet in the shared folder: cuts lineage, and survives lost executors."""
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """The rows of df, from Parquet in the shared folder: cuts lineage, and survives lost executors. ``options`` go to the Parquet writer."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").options(**options or {}).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
