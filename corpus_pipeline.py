@@ -3,6 +3,11 @@
 Stages take and return the columns of ``documents`` (extra columns pass through); the last returns
 token ids. Documents without a letter or in no learned language go, of each group of near duplicates the smallest id stays,
 contaminated documents go, personal data get surrogates, and what is left is encoded.
+
+Defined results: a null or empty text, or one without a letter, goes in the first stage; of repeated rows, and of rows
+without an id that are near duplicates, one stays; other rows without an id are kept like any other; between equally
+good rows the smallest id stays; texts of any length go through whole; empty tables give an empty result, an empty
+benchmark drops nothing; columns whose names clash with those that stages make are kept until the last stage.
 """
 
 from __future__ import annotations
