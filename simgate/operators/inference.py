@@ -94,11 +94,11 @@ def detect_and_crop(images: DataFrame, key: str, content: str, load: Load, cut:
     return both.select(key, "status", "detection_index", "confidence", "x1", "y1", "x2", "y2", "area_fraction", content).mapInPandas(run, f"`{key}` {kind}, status string, detection_index int, {DETECTION}, crop binary")
 
 
-def embedded_crops(images: DataFrame, key: str, content: str, detector: Load, cut: Callable[[bytes, tuple], bytes], embedder: Load, margin: float = 0.1, min_confidence: float = 0.25) -> DataFrame:
+def embedded_crops(images: DataFrame, key: str, content: str, detector: Load, cut: Callable[[bytes, tuple], bytes], embedder: Load, margin: float = 0.1, min_confidence: float = 0.25, batch: int = BATCH) -> DataFrame:
     """The surest crop of each image and its embedding: what a cache of embeddings holds; skipped images keep their status."""
     crops = detect_and_crop(images, key, content, detector, cut, margin, min_confidence, top_only=True)
     done = crops.where("crop IS NOT NULL")
-    vectors = embed(done, key, "crop", embedder).withColumnRenamed("status", "embedded")
+    vectors = embed(done, key, "crop", embedder, batch).withColumnRenamed("status", "embedded")
     both = crops.drop("crop").join(vectors, key, "left")
     return both.withColumn("status", F.coalesce("embedded", "status")).drop("embedded")
 

@@ -81,7 +81,7 @@ def detection_rollup(detections: DataFrame, images: DataFrame, key: str) -> Data
     full: Column = (F.col("n") > 0) & (F.col("area") > FULL_FRAME)
     return all_.agg(
         F.count(F.lit(1)).alias("images"), F.count_if(F.col("n") == 0).alias("none"), F.count_if(F.col("n") > 1).alias("several"), F.count_if(low).alias("low_confidence"),
-        F.count_if(full).alias("full_frame"), F.count_if((F.col("n") == 1) & ~low & ~full).alias("clean"), F.sum("n").alias("crops"),
+        F.count_if(full).alias("full_frame"), F.count_if((F.col("n") == 1) & ~low).alias("clean"), F.sum("n").alias("crops"),
     )
 
 

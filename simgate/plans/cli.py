@@ -1,4 +1,4 @@
-"""python -m simgate.plans.cli calibrate|evaluate ...: runs over caches in Parquet."""
+"""python -m simgate.plans.cli build|detect|calibrate|evaluate ...: caches and detections from pictures, and runs over caches."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from simgate.operators import guards, scoring, thresholds
+from simgate.plans import build, report
 from simgate.plans import calibrate as runs
-from simgate.plans import report
 from simgate.sources import cache, files
 
 
@@ -44,6 +44,28 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--margin", type=float)
         own.add_argument("--figures", help="folder or address of the pictures, for the HTML report")
     c.add_argument("--sweep-step", type=float, default=runs.SWEEP_STEP)
+    b, d = commands.add_parser("build"), commands.add_parser("detect")
+    for own in (b, d):
+        own.add_argument("--images", required=True, help="folder of the pictures")
+        own.add_argument("--detector", help="module:name of what loads the detector")
+        own.add_argument("--cut", help="module:name of what cuts a box from a picture")
+        own.add_argument("--min-confidence", type=float, default=build.MIN_CONFIDENCE)
+        own.add_argument("--margin", type=float, default=build.MARGIN)
+    b.add_argument("--source", choices=("folder", "groups", "annotations"), default="folder", help="how pictures lie: in one folder, a folder for each group, or as a list says")
+    b.add_argument("--annotations", help="the list of annotated pictures")
+    b.add_argument("--catalog", help="where to write the names and groups of all pictures")
+    b.add_argument("--catalog-only", action="store_true")
+    b.add_argument("--out", help="root of the caches; the variant gives the folder below it")
+    b.add_argument("--model", help="identity of the embedder")
+    b.add_argument("--embedder", help="module:name of what loads the embedder")
+    b.add_argument("--no-detect", action="store_true", help="embed whole pictures")
+    b.add_argument("--batch-size", type=int, default=build.inference.BATCH)
+    b.add_argument("--per-group", type=int, default=0)
+    b.add_argument("--limit", type=int)
+    b.add_argument("--seed", type=int, default=0)
+    d.add_argument("--crops", help="folder for the crops, which all executors mount")
+    d.add_argument("--all-crops", action="store_true", help="save all crops, not just the surest")
+    d.add_argument("--csv", help="where to write a line for each detection")
     e.add_argument("--external", action="store_true", help="grade on the whole cache of negatives")
     e.add_argument("--single-group")
     e.add_argument("--hard", nargs="*", help="hard groups, in place of the artifact's or the external ones")
@@ -78,10 +100,51 @@ def _named(rows):
     return rows.withColumn("name", F.col("source_filename"))
 
 
+def pictures(spark: SparkSession, args: argparse.Namespace):
+    if args.source == "folder":
+        return files.image_folder(spark, args.images).drop("path")
+    if args.source == "groups":
+        return files.grouped_images(spark, args.images)
+    guards.require(args.annotations is not None, "annotated pictures need their list")
+    listed = files.annotations(spark, args.annotations)
+    return listed.join(files.image_folder(spark, args.images).drop("path"), "source_filename")
+
+
+def build_run(spark: SparkSession, args: argparse.Namespace) -> None:
+    images = pictures(spark, args)
+    if args.catalog:
+        guards.require("group" in images.columns, "a catalog needs groups")
+        files.write_catalog(images, args.catalog)
+    if args.catalog_only:
+        return
+    guards.require(bool(args.out and args.model and args.embedder), "a cache needs --out, --model and --embedder")
+    guards.require(args.no_detect or bool(args.detector and args.cut), "a detector and a cut must be named, or --no-detect given")
+    folder = cache.variant_dir(args.out, args.model, not args.no_detect, args.margin)
+    detector, cut = (None, None) if args.no_detect else (build.named(args.detector), build.named(args.cut))
+    chosen = build.sampled(images, args.per_group, args.limit, args.seed)
+    used = build.build_cache(chosen, folder, args.model, build.named(args.embedder), detector, cut, args.margin, args.min_confidence, args.batch_size)
+    print(report.text_table(f"Cache {folder}", report.rows_of(used.orderBy("status"))))
+
+
+def detect_run(spark: SparkSession, args: argparse.Namespace) -> None:
+    guards.require(bool(args.detector and args.cut), "a detector and a cut must be named")
+    found = build.detected(files.image_folder(spark, args.images).drop("path"), build.named(args.detector), build.named(args.cut), args.margin, args.min_confidence, args.all_crops)
+    if args.crops:
+        build.write_crops(found, args.crops)
+    if args.csv:
+        build.write_detections(found, args.csv)
+    for row in build.described(found).orderBy("name").toLocalIterator():
+        print(row["text"])
+    print(build.detection_summary(found))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("simgate").getOrCreate()
     try:
+        if args.command in ("build", "detect"):
+            (build_run if args.command == "build" else detect_run)(spark, args)
+            return 0
         positives, identity = cache.read_cache(spark, args.positives)
         guards.same_variant(requested(args, identity), identity, "the request and the positives' cache")
         negatives, _ = cache.read_cache(spark, args.negatives, identity)

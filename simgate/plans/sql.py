@@ -127,7 +127,7 @@ WITH d AS (SELECT l_orderkey * 7 + l_linenumber AS image, 1 - l_discount * 4 AS
 per AS (SELECT image, count(*) AS n, max(confidence) AS confidence, max(area_fraction) AS area FROM d GROUP BY 1),
 a AS (SELECT i.image, coalesce(n, 0) AS n, confidence, area FROM (SELECT image FROM d UNION SELECT -p_partkey FROM part) i LEFT JOIN per USING (image))
 SELECT count(*) AS images, count(*) FILTER (WHERE n = 0) AS none, count(*) FILTER (WHERE n > 1) AS several, count(*) FILTER (WHERE n > 0 AND confidence < 0.8) AS low_confidence,
-  count(*) FILTER (WHERE n > 0 AND area > 0.9) AS full_frame, count(*) FILTER (WHERE n = 1 AND NOT confidence < 0.8 AND NOT area > 0.9) AS clean, CAST(sum(n) AS BIGINT) AS crops FROM a""",
+  count(*) FILTER (WHERE n > 0 AND area > 0.9) AS full_frame, count(*) FILTER (WHERE n = 1 AND NOT confidence < 0.8) AS clean, CAST(sum(n) AS BIGINT) AS crops FROM a""",
     "detection_rank": """
 SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber) AS INTEGER) AS detection_index FROM lineitem""",
     "filename_group": "SELECT page_id, regexp_replace(replace(url, '/', '_'), '_[^_]*$', '') AS grp FROM pages",

@@ -6,6 +6,11 @@ columns and compared with what is asked for; it is never read from a path.
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +54,22 @@ def read_cache(spark: SparkSession, folder: str, wanted: dict | None = None) ->
     return rows, identity
 
 
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(row, embedding) of a two-dimensional NPY file, numbered from 0; the file is one value of at most 2 GB."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for raw in frame["content"]:
+                values = np.load(io.BytesIO(raw), allow_pickle=False)
+                if values.ndim != 2:
+                    raise ValueError(f"an NPY file of vectors has two dimensions, not {values.ndim}")
+                for a in range(0, len(values), 1000):
+                    part = values[a : a + 1000].astype(np.float32)
+                    yield pd.DataFrame({"row": np.arange(a, a + len(part)), "embedding": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, embedding array<float>")
+
+
 def read_pair(spark: SparkSession, metadata_csv: str, vectors: DataFrame) -> DataFrame:
     """A metadata CSV with the vectors of the same row numbers; both must have the same rows."""
     meta = spark.read.csv(metadata_csv, header=True)

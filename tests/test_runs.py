@@ -3,12 +3,13 @@
 import glob
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from simgate.operators import guards
 from simgate.plans import calibrate as runs
-from simgate.plans import cli, report
+from simgate.plans import build, cli, report
 from simgate.sources import artifact, cache, files, split_store
 from simgate.streaming.scores import score_stream
 
@@ -155,3 +156,86 @@ def test_stream(spark, tmp_path):
     q = score_stream(stream, ref, 0.5).writeStream.format("memory").queryName("scores").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.name: r.hit for r in spark.table("scores").collect()} == {1: True, 2: False}
+
+
+def box(confidence, area=0.1, x1=40):
+    return {"confidence": confidence, "x1": x1, "y1": 40, "x2": 60, "y2": 60, "area_fraction": area}
+
+
+def load_detector():
+    found = {b"none": [], b"one": [box(0.9)], b"two": [box(0.5), box(0.95)], b"low": [box(0.3)], b"full": [box(0.99, 0.97)]}
+    return lambda items: [found.get(bytes(x)) for x in items]
+
+
+def cut_box(raw, edges):
+    return raw + b"@%d" % edges[0]
+
+
+def load_embedder():
+    return lambda items: [[float(len(x)), float(x[0])] for x in items]
+
+
+HERE = "tests.test_runs"
+
+
+def test_build_caches(spark, tmp_path, capsys):
+    for group, names in (("Ragdoll", ("one", "two", "bad")), ("Maine Coon", ("one", "none", "low"))):
+        (tmp_path / "img" / group).mkdir(parents=True)
+        for n in names:
+            (tmp_path / "img" / group / f"{n}.jpg").write_bytes(n.encode())
+    models = ["--detector", f"{HERE}:load_detector", "--cut", f"{HERE}:cut_box", "--embedder", f"{HERE}:load_embedder", "--model", "m/one"]
+    args = ["build", "--source", "groups", "--images", str(tmp_path / "img"), "--out", str(tmp_path / "out"), *models]
+    assert cli.main([*args, "--catalog", str(tmp_path / "catalog")], spark) == 0
+    assert sorted(spark.read.csv(str(tmp_path / "catalog"), header=True).toPandas().source_filename) == ["bad.jpg", "low.jpg", "none.jpg", "one.jpg", "one.jpg", "two.jpg"]
+    rows, identity = cache.read_cache(spark, f"{tmp_path}/out/m--one/detect-m0.1")
+    got = [(r.row, r.group, r.source_filename, r.confidence, r.detect_used, list(r.embedding)) for r in rows.orderBy("row").collect()]
+    assert got == [
+        (0, "Maine Coon", "low.jpg", 0.3, True, [6.0, 108.0]), (1, "Maine Coon", "one.jpg", 0.9, True, [6.0, 111.0]), (2, "Ragdoll", "one.jpg", 0.9, True, [6.0, 111.0]), (3, "Ragdoll", "two.jpg", 0.95, True, [6.0, 116.0]),
+    ]
+    assert (identity["margin"], identity["min_confidence"], identity["embedding_dim"]) == (0.1, 0.25, 2)
+    out = capsys.readouterr().out
+    assert "corrupt" in out and "no_detection" in out
+    assert cli.main([*args, "--no-detect", "--per-group", "2", "--limit", "3", "--seed", "5"], spark) == 0
+    whole, identity = cache.read_cache(spark, f"{tmp_path}/out/m--one/no-detect")
+    groups = [r.group for r in whole.orderBy("row").collect()]
+    assert groups == ["Maine Coon", "Maine Coon", "Ragdoll"] and identity["margin"] is None and whole.where("detect_used OR confidence IS NOT NULL").isEmpty()
+    assert cli.main([*args[:3], "--images", str(tmp_path / "img"), "--out", "x"], spark) == 2
+    with pytest.raises(guards.GuardError):
+        build.sampled(files.image_folder(spark, str(tmp_path / "img" / "Ragdoll")), per_group=2)
+
+
+def test_detect_run(spark, tmp_path, capsys):
+    (tmp_path / "img").mkdir()
+    (tmp_path / "crops").mkdir()
+    for n in ("none", "one", "two", "low", "full", "bad"):
+        (tmp_path / "img" / f"{n}.JPG").write_bytes(n.encode())
+    (tmp_path / "crops" / "old_crop1.jpg").write_bytes(b"")
+    (tmp_path / "crops" / "mine.txt").write_bytes(b"")
+    args = ["detect", "--images", str(tmp_path / "img"), "--detector", f"{HERE}:load_detector", "--cut", f"{HERE}:cut_box", "--crops", str(tmp_path / "crops"), "--csv", str(tmp_path / "csv")]
+    assert cli.main(args, spark) == 0
+    out = capsys.readouterr().out
+    assert {p.name for p in (tmp_path / "crops").iterdir()} == {"mine.txt", "one_crop1.jpg", "two_crop1.jpg", "low_crop1.jpg", "full_crop1.jpg"}
+    assert (tmp_path / "crops" / "two_crop1.jpg").read_bytes() == b"two@38"
+    assert "two.JPG: MULTIPLE CATS (2)" in out and "(crop not saved)" in out and "none.JPG: NO CAT DETECTED" in out
+    summary = out[out.index("6 pictures") :].splitlines()
+    assert summary == [
+        "6 pictures, 4 crops saved", "  2 with exactly one detection at confidence 0.8 or more", "  2 without a detection: bad.JPG, none.JPG", "  1 with several detections: two.JPG (2)",
+        "  1 with a best confidence below 0.8: low.JPG (0.300)", "  1 with a detection over 90% of the frame: full.JPG",
+    ]
+    lines = spark.read.csv(str(tmp_path / "csv"), header=True).orderBy("source_filename", "detection_index").collect()
+    assert [(r.source_filename, r.status, r.n_detections, r.detection_index, r.crop_filename, r.confidence) for r in lines if r.source_filename[0] in "bt"] == [
+        ("bad.JPG", "corrupt", "0", None, None, None), ("two.JPG", "ok", "2", "1", "two_crop1.jpg", "0.9500"), ("two.JPG", "ok", "2", "2", None, "0.5000"),
+    ]
+    assert cli.main([*args, "--all-crops"], spark) == 0 and (tmp_path / "crops" / "two_crop2.jpg").exists()
+
+
+def test_npy_pair(spark, tmp_path):
+    vectors = np.arange(2400, dtype=np.float64).reshape(1200, 2)
+    np.save(tmp_path / "e.npy", vectors)
+    head = "row,source_filename,detect_used,confidence,x1,y1,x2,y2,area_fraction\n"
+    (tmp_path / "m.csv").write_text(head + "".join(f"{i},f{i}.jpg,true,0.5,1,2,3,4,0.1\n" for i in range(1200)))
+    rows = cache.read_pair(spark, str(tmp_path / "m.csv"), cache.read_npy(spark, str(tmp_path / "e.npy")))
+    assert rows.count() == 1200 and list(rows.where("row = 1100").first().embedding) == [2200.0, 2201.0]
+    np.save(tmp_path / "short.npy", vectors[:7])
+    with pytest.raises(guards.GuardError):
+        cache.read_pair(spark, str(tmp_path / "m.csv"), cache.read_npy(spark, str(tmp_path / "short.npy")))
