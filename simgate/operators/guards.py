@@ -77,8 +77,3 @@ def exclusive(options: dict[str, object], with_: str) -> None:
     """Options that must not be given together with another; 0 counts as given."""
     given = [k for k, v in options.items() if v is not None and v is not False]
     require(not given, f"{with_} cannot be combined with {', '.join(given)}")
-
-
-def valid_box(x1: int, y1: int, x2: int, y2: int, margin: float) -> None:
-    require(x2 > x1 and y2 > y1, f"a box must have positive sides: {(x1, y1, x2, y2)}")
-    require(margin >= 0, f"a margin must not be negative: {margin}")

@@ -185,8 +185,6 @@ def test_geometry_and_scalars(spark):
     rows = got.select(scalars.is_yes(F.col("f")), scalars.group_of_filename(F.col("n")), scalars.group_or_unknown(F.col("g"))).collect()
     assert [tuple(r) for r in rows] == [(True, "a_b", "(unknown)"), (False, "plain", "(unknown)")]
     assert scalars.crop_slug(True, 0.1) == "detect-m0.1" and scalars.crop_slug(False, 0.1) == "no-detect"
-    with pytest.raises(guards.GuardError):
-        guards.valid_box(0, 0, 0, 5, 0.1)
 
 
 def test_relations(spark):
@@ -245,6 +243,9 @@ def test_models_that_raise_and_crops(spark):
     assert len(top["a"].embedding) == 8 and [top[n].status for n in "abc"] == ["ok", "corrupt", "no_detection"]
     with pytest.raises(guards.GuardError):
         inference.detect_and_crop(images, "name", "content", load, cut, margin=-1)
+    flat = lambda: lambda items: [[{"confidence": 0.9, "x1": 5, "y1": 0, "x2": 5, "y2": 4, "area_fraction": 0.0}] for _ in items]
+    with pytest.raises(Exception, match="positive sides"):
+        inference.detect_and_crop(images, "name", "content", flat, cut).collect()
 
 
 def test_detection_text(spark):
