@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from simgate.llm import minmax
 from simgate.llm.components import components
-from simgate.llm.shared import written
+from simgate.llm.shared import discard, written
 from simgate.llm.tables import documents, map_texts
 
 #: Members up to which a bucket gives all its pairs (28). Links do not depend on it, only what finding them costs.
@@ -43,7 +43,7 @@ BLOCK = 400_000
 
 
 def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare from (bucket, doc) rows, and the rows of buckets over SMALL."""
+    """Pairs (a, b) to compare from (bucket, doc) rows, and the rows of buckets over SMALL, as tables."""
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("n > 1")
     sizes = written(sizes, "buckets")
     two = sizes.where("n = 2 AND low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -54,7 +54,9 @@ def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     central = many.groupBy("doc").agg(F.sum("n").alias("weight"))
     hubs = many.join(central, "doc").groupBy("bucket").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("hub"))
     star = many.join(hubs, "bucket").where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
-    return two.union(few).union(star).distinct(), many.select("bucket", "doc").distinct()
+    out = written(two.union(few).union(star).distinct(), "pairs"), written(many.select("bucket", "doc").distinct(), "large")
+    discard(sizes, more)
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
@@ -94,11 +96,11 @@ def joining_links(docs: list, labels: list, sides: np.ndarray, values: np.ndarra
 
 
 def links_across(rows: DataFrame, sets: DataFrame, found: DataFrame, link: int) -> DataFrame:
-    """Links (a, b) between components that meet in one of the buckets of rows (bucket, doc)."""
+    """Links (a, b) between components that meet in one of the buckets of rows (bucket, doc), as a table."""
     label = F.coalesce("component", "doc").alias("label")
     held = sets.select("doc", F.size("shingles").cast("long").alias("size")).join(rows.select("doc").distinct().hint("merge"), "doc", "left_semi")
     held = held.join(found.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("doc", "size", label)
-    held = written(rows.join(held.hint("merge"), "doc"), "labelled")
+    held = labelled = written(rows.join(held.hint("merge"), "doc"), "labelled")
     parts = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("size").alias("all"), F.max(F.struct("n", "size", "label")).alias("main")).where("labels > 1")
     blocks = lambda size: F.ceil(size / BLOCK).cast("int")
@@ -118,7 +120,9 @@ def links_across(rows: DataFrame, sets: DataFrame, found: DataFrame, link: int)
         links = joining_links(group.column("doc").to_pylist(), group.column("label").to_pylist(), column("side"), lists.flatten().to_numpy(zero_copy_only=False), sizes, int(column("main")[0]), link)
         return pa.table([[min(p) for p in links], [max(p) for p in links]], schema=out)
 
-    return met.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    across = written(met.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct(), "across")
+    discard(labelled)
+    return across
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK, shingle: int = minmax.SHINGLE) -> DataFrame:
@@ -132,15 +136,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = full.join(heads.hint("merge"), "doc", "left_semi").dropDuplicates(["doc", "key_a", "key_b"]).select("doc", F.explode("bands").alias("bucket"))
 
     pairs, large = bucket_pairs(rows)
-    pairs, large = written(pairs, "pairs"), written(large, "large")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     sets = written(map_texts(docs.join(needed.hint("merge"), "doc", "left_semi"), lambda: partial(minmax.sets, n=shingle), "shingles array<long>", "doc"), "sets")
     links = written(confirmed(pairs, sets, link).union(crossing(members)), "links")
 
     found = components(links)
-    across = written(links_across(large, sets, found, link), "across")
+    across = links_across(large, sets, found, link)
     if not across.isEmpty():
         found = components(links.union(across))
+    discard(pairs, large, sets, links, across)
     whole = members.join(found, F.col("class") == F.col("node"), "left").select("doc", F.coalesce("component", "class").alias("component_id"))
     whole = whole.groupBy("doc").agg(F.min("component_id").alias("component_id"))
     out = first.select(F.col("doc"), "n_shingles").join(whole, "doc", "left")

@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgate.llm.shared import written
+from simgate.llm.shared import discard, written
 from simgate.llm.tables import documents
 
 #: Setting of the session that holds the key of registered queries, and what they take without it.
@@ -160,7 +160,7 @@ def with_replacement(rows: DataFrame, key: str) -> DataFrame:
 
 
 def dictionary(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, plain, replacement) with distinct replacements, none of which is an entity itself."""
+    """A table of (kind, plain, replacement) and more, with distinct replacements, none of which is an entity itself."""
     rows = written(with_replacement(entities.withColumn("attempt", F.lit(0)), key), "replacements")
     while True:
         same = F.lower("replacement").alias("form")
@@ -169,10 +169,12 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
         judged = rows.withColumn("form", F.lower("replacement")).join(owners, ["kind", "form"]).join(real, ["kind", "form"], "left")
         clash = (F.struct("attempt", "plain") != F.col("owner")) | F.col("real").isNotNull()
         judged = written(judged.select("kind", "plain", "gender", "attempt", "replacement", clash.alias("clash")), "judged")
+        discard(rows)
         if judged.where("clash").isEmpty():
-            return judged.select("kind", "plain", "replacement")
+            return judged
         again = with_replacement(judged.where("clash").withColumn("attempt", F.col("attempt") + 1), key)
         rows = written(judged.where("NOT clash").select(*again.columns).union(again), "replacements")
+        discard(judged)
 
 
 def in_form(kind: Column, form: Column, replacement: Column) -> Column:
@@ -207,10 +209,11 @@ def surrogates(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mentions = written(mentions.select("digest", "k", "before", "form", "kind", "plain", gender.alias("gender")), "mentions")
     entities = written(mentions.groupBy("kind", "plain").agg(F.max("gender").alias("gender")), "entities")
     chosen = dictionary(entities, key)
-    placed = mentions.join(chosen, ["kind", "plain"]).withColumn("put", F.concat("before", in_form(F.col("kind"), F.col("form"), F.col("replacement"))))
+    placed = mentions.join(chosen.select("kind", "plain", "replacement"), ["kind", "plain"]).withColumn("put", F.concat("before", in_form(F.col("kind"), F.col("form"), F.col("replacement"))))
     lists = placed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("k", "put"))).alias("puts"))
     pieces = F.zip_with("gaps", F.transform("puts", lambda p: p["put"]), lambda gap, put: F.concat(gap, F.coalesce(put, F.lit(""))))
     changed = written(hits.join(lists, "digest").select("digest", F.array_join(pieces, "").alias("changed"), F.size("found").alias("n")), "changed")  # a table, so that the join can split common texts
+    discard(hits, mentions, entities, chosen)
     mine = [f"own_{i}" for i in range(len(own))]
     with_entities = scanned.where("found IS NOT NULL").select(*mine, "digest").join(changed, "digest").select(*mine, F.col("changed").alias("text"), "n")
     without = scanned.where("found IS NULL").select(*mine, "text", F.lit(0).alias("n"))
