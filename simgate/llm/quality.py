@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from simgate.llm.language import held_out
 from simgate.llm.pretokens import LETTER, NUMBER, classes, joined, span_hashes
-from simgate.llm.shared import written
+from simgate.llm.shared import discard, written
 from simgate.llm.tables import byte_slices, documents, map_texts, table
 
 PASSAGE = 400
@@ -176,7 +176,7 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample
     share = min(1.0, sample_rows / max(known.count(), 1))
     picked = known.where(place < int(share * whole))  # about sample_rows rows
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
-    rows = written(rows.select("id", "y", "text"), "labelled")
+    rows = labelled = written(rows.select("id", "y", "text"), "labelled")
     held = rows.agg(F.sum(F.greatest(F.ceil(F.coalesce(F.length("text"), F.lit(0)) / PASSAGE), F.lit(1)))).first()[0] or 0
     if held > sample_passages:
         rows = rows.where(place < int(share * sample_passages / held * whole))
@@ -189,6 +189,7 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 
     sample = sorted((r["id"], r["y"], bytes(r["bag"])) for r in rows.mapInArrow(run, "id long, y int, bag binary").collect())
+    discard(labelled)
     y = np.array([s[1] for s in sample], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(float(y.mean()) if len(y) else 0.5)
