@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simgate.llm import suffixes as sx
-from simgate.llm.shared import written
+from simgate.llm.shared import discard, written
 from simgate.llm.tables import documents
 
 #: Suffixes of one sorted run, and of one range of the merge.
@@ -342,7 +342,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     candidates = written(packed.join(held.hint("merge"), KEY).select("id", "c", "z", "marks"), "candidates")
     total = candidates.agg(F.sum(F.size(F.filter("marks", lambda m: m % 2 == 1)))).first()[0] or 0
 
-    judged = None
+    discard(marks, grams, places, classes)
+    judged, used = None, [candidates]
     if total:
         forward, backward = splitters_of(candidates, total)
         sorting = candidates.where(F.exists("marks", lambda m: m % 2 == 1))
@@ -358,16 +359,21 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(span("lo", "hi"), span("lo2", "hi2")), lambda s: s["lo"] <= s["hi"])))).alias("spans"),
         )
         rows = written(rows, "neighbours")
+        discard(merged)
         open_ = written(rows.select("id", "c", "k", "gram", "right", "left", "spans").mapInArrow(each(_open), "id long, c long, k int, gram long, b0 long, b1 long, b2 long"), "open")
+        used += [rows, open_]
         judged = rows.select("id", "c", "k", F.explode("spans").alias("s")).select("id", "c", "k", "s.lo", "s.hi")
         if not open_.isEmpty():
             wanted = open_.groupBy("gram").agg(*(F.bit_or(b).alias(b) for b in BITS))
             part = lambda own: F.struct("k", "right", "left", *BITS, F.lit(own).alias("own")).alias("w")
-            others = rows.select("id", "c", "k", "gram", "right", "left").join(written(wanted, "wanted").hint("merge"), "gram").where(F.col("right") + F.col("left") >= sx.LENGTH)
+            wanted = written(wanted, "wanted")
+            others = rows.select("id", "c", "k", "gram", "right", "left").join(wanted.hint("merge"), "gram").where(F.col("right") + F.col("left") >= sx.LENGTH)
             asked = open_.withColumns({"right": F.lit(0), "left": F.lit(0)})
             codes = others.select("id", "c", part(False)).union(asked.select("id", "c", part(True))).groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
             looked = written(candidates.select("id", "c", "z").join(codes.hint("merge"), KEY).select("id", "c", "z", "wanted"), "looked")
             windows = written(looked.mapInArrow(each(_windows), "id long, c long, k int, o int, asked boolean, window binary"), "windows")
+            discard(wanted, looked)
+            used.append(windows)
             twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asked").alias("any")).where("n > 1 AND any").select("window")
             hits = windows.where("asked").join(twice, "window").select("id", "c", "k", F.col("o").alias("lo"), F.col("o").alias("hi"))
             judged = judged.union(hits)
@@ -375,6 +381,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     joined = candidates.join(judged.hint("merge"), KEY, "left") if judged is not None else candidates.withColumn("judged", F.lit(None).cast("array<struct<k:int,lo:int,hi:int>>"))
     found = joined.select("id", "c", "z", "marks", "judged").mapInArrow(each(_kept), "id long, c long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     found = written(found.where("n_removed > 0"), "shortened")
+    discard(*used)
     whole = docs.select("name", "id", "c", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("whole_sha256"))
     both = whole.join(found, KEY, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
