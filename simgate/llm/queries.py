@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from simgate.llm.bpe_codec import op4_bpe_codec
+from simgate.llm.collocations import OP11_SQL, op11_collocations
 from simgate.llm.flac_media import op1_flac_media
 from simgate.llm.language import op5_language_rank
 from simgate.llm.near_dedup import OP7_SQL, op7_minmax_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mil_quality": op8_mil_quality,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_collocations": op11_collocations,
 }
 
-ORACLES: dict[str, str] = {"op3_winnowing": OP3_SQL, "op7_minmax_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_winnowing": OP3_SQL, "op7_minmax_dedup": OP7_SQL, "op11_collocations": OP11_SQL}

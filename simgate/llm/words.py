@@ -6,8 +6,8 @@ import numpy as np
 
 from simgate.llm.pretokens import mix, span_hashes
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def _alphanumeric() -> np.ndarray:
@@ -35,7 +35,7 @@ class Words:
 
     def __init__(self, texts: list, kind: np.ndarray):
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
+        data = LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
         inside = np.zeros(len(data) + 1, bool)
         inside[1:] = kind[data]
         flips = np.flatnonzero(inside[1:] != inside[:-1])  # a space ends the data, so they come in pairs
