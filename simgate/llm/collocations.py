@@ -35,7 +35,9 @@ from simgate.llm.words import LOWER
 
 MAX_N, MIN_COUNT, SHARE, TOP = 3, 10, 50, 2_000
 #: Bytes of text that a task reads at a time, and words whose phrases it counts in one step.
-SLICE, STEP = 4_000_000, 300_000
+SLICE, STEP = 3_000_000, 200_000
+#: Phrases that are hashed or copied at a time.
+AT_ONCE = 100_000
 #: Parts of a language that are ranked by themselves before what is left of them meets.
 SALTS = 64
 WORD, BLANK, END = 0, 1, 2
@@ -51,6 +53,16 @@ def _kinds() -> np.ndarray:
 KINDS = _kinds()
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[s:s+n] of every pair, one after another; a part at a time, as places take eight times the room of bytes."""
+    upto = np.cumsum(sizes)
+    out = np.empty(int(upto[-1]) if len(upto) else 0, values.dtype)
+    for k in range(0, len(starts), AT_ONCE):
+        part = slice(k, k + AT_ONCE)
+        out[upto[k] - sizes[k] : upto[part][-1]] = gather(values, starts[part], sizes[part])
+    return out
+
+
 class Pieces:
     """The words of texts, lower-cased (A-Z only), one space behind each, and the number of the piece that each is in."""
 
@@ -64,7 +76,7 @@ class Pieces:
         starts, stops = flips[::2], flips[1::2]
         self.piece = np.searchsorted(np.flatnonzero(kind == END), starts)
         self.sizes = stops - starts + 1
-        self.data = gather(data, starts, self.sizes)
+        self.data = gathered(data, starts, self.sizes)
         self.stops = np.cumsum(self.sizes)
         self.data[self.stops - 1] = 32
 
@@ -78,7 +90,7 @@ class Pieces:
         begins = self.stops[first] - self.sizes[first]
         sizes = self.stops[first + n - 1] - 1 - begins
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(gather(self.data, begins, sizes)))
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(gathered(self.data, begins, sizes)))
 
 
 def blocks(pieces: Pieces, start: int, stop: int, max_n: int, buckets: int) -> pa.RecordBatch:
@@ -89,11 +101,15 @@ def blocks(pieces: Pieces, start: int, stop: int, max_n: int, buckets: int) -> p
     _, offsets, data = values.buffers()
     offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
     data = np.concatenate((np.frombuffer(data, np.uint8)[: offsets[-1]], np.zeros(8, np.uint8)))
-    bucket = span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)
-    eights = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[offsets[:-1]]
-    order = np.lexsort((eights, bucket))  # almost sorted by phrase, which packs well
+    bucket = np.empty(len(values), np.uint64)
+    for k in range(0, len(values), AT_ONCE):
+        own = offsets[k : k + AT_ONCE + 1]
+        bucket[k : k + AT_ONCE] = span_hashes(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0]) % np.uint64(buckets)
+    eights = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    second = eights[np.minimum(offsets[:-1] + 8, len(eights) - 1)]
+    order = np.lexsort((second, eights[offsets[:-1]], bucket))  # almost sorted by phrase, which packs well
     sizes = np.diff(offsets)[order] + 1
-    lines = gather(data, offsets[:-1][order], sizes)
+    lines = gathered(data, offsets[:-1][order], sizes)
     upto = np.cumsum(sizes)
     lines[upto - 1] = 10
     bucket, counts = bucket[order], counts[order]
