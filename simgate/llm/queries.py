@@ -12,6 +12,7 @@ from simgate.llm.quality import op8_mil_quality
 from simgate.llm.suffix_dedup import op10_suffix_dedup
 from simgate.llm.token_count import op2_token_count
 from simgate.llm.token_files import op9_token_files
+from simgate.llm.toxicity import op12_pu_toxicity
 from simgate.llm.variants import op13_spelling_variants
 from simgate.llm.winnowing import OP3_SQL, op3_winnowing
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_collocations": op11_collocations,
+    "op12_pu_toxicity": op12_pu_toxicity,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
