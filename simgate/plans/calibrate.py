@@ -71,7 +71,7 @@ def score_roles(roles: DataFrame, positives: DataFrame, negatives: DataFrame, wh
     for kind, own in ((POSITIVE, positives), (NEGATIVE, negatives)):
         guards.all_present(wanted.where(F.col("dataset") == kind), named(own, kind), "name", f"the cache of {kind}s")
     queries = wanted.join(cache, ["dataset", "name"]).select(F.col("dataset").alias("kind"), "role", "ord", "name", "group", "embedding")
-    return scoring.score_all(queries, reference, ["kind", "name"])
+    return scoring.score_all(queries, reference)
 
 
 def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, identity: dict, settings: Settings, split_dir: str | None = None, artifact_dir: str | None = None, poses: DataFrame | None = None, replay: bool = False, records: DataFrame | None = None) -> dict:
@@ -170,7 +170,7 @@ def classify(crops: DataFrame, images: DataFrame, artifact_dir: str, threshold:
     guards.require(width[0] is None or set(width) == {document["reference"]["dim"]}, f"embeddings are {width[0]} to {width[1]} wide, the reference set {document['reference']['dim']}")
     cutoffs = [p["cutoff"] for p in document["curve"]]
     at = document["threshold"] if threshold is None else min(max(threshold, min(cutoffs)), max(cutoffs))
-    rows = scoring.chosen(scoring.score_all(crops, reference, ["image_id", "crop_index"]), document["aggregation"])
+    rows = scoring.chosen(scoring.score_all(crops, reference), document["aggregation"])
     poses = spark.createDataFrame([(i["name"], i["position"] or "", i["view"] or "") for i in document["reference"]["images"]], "name string, position string, view string")
     judged = relations.pose_of(rows.withColumns({"hit": passes(F.col("score"), at), "margin": F.col("score") - F.lit(at)}), poses)
     return judged, relations.any_hit(images, judged, at)

@@ -44,14 +44,19 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positive_roles(spark, sf_dir).union(negative_roles(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kind, role, ord (the name), name, group, both scores and the best match of all members of query roles."""
+def to_score(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """kind, role, ord (the name), name, group and embedding of all members of query roles, and the reference set."""
     own = positive_roles(spark, sf_dir)
     cache = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
     vectors = cache.join(F.broadcast(own.where("role = 'reference'")), "name")  # as many as the role has
     members = own.where("role <> 'reference'").union(negative_roles(spark, sf_dir))
     queries = members.join(cache, "name").select(F.col("dataset").alias("kind"), "role", F.col("name").alias("ord"), "name", "group", "embedding")
-    return scoring.score_all(queries, vectors, ["kind", "name"])
+    return queries, vectors
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, role, ord (the name), name, group, both scores and the best match of all members of query roles."""
+    return scoring.score_all(*to_score(spark, sf_dir))
 
 
 def setup(spark: SparkSession, sf_dir: str, aggregation: str = "max") -> DataFrame:

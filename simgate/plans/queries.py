@@ -47,6 +47,14 @@ def best_match_max(spark: SparkSession, d: str) -> DataFrame:
     return _shown(scoring.chosen(inputs.scored(spark, d), "max"), "name", "kind", "role", "score", "best_match")
 
 
+@query
+def best_match_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every query twice, under one name, against references in blocks of seven: both rows stay."""
+    members, vectors = inputs.to_score(spark, d)
+    both = scoring.score_all(members.union(members), vectors, block=7)
+    return _shown(scoring.chosen(both, "mean-top3"), "name", "kind", "role", "score", "best_match")
+
+
 @query
 def best_match_mean_top3(spark: SparkSession, d: str) -> DataFrame:
     return _shown(scoring.chosen(inputs.scored(spark, d), "mean-top3"), "name", "kind", "role", "score", "best_match")

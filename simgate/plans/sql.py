@@ -65,6 +65,7 @@ SQL = {
     "l2_normalize": "SELECT vec_id, CAST(i AS BIGINT) AS i, round(CAST(embedding[i] AS DOUBLE) / greatest(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 1e-12), 9) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     "cosine_scores": BASE + "SELECT name, ref AS reference, round(sim, 12) AS sim FROM pairs",
     "best_match_max": BASE + "SELECT name, kind, role, round(score_max, 12) AS score, best_match FROM scored",
+    "best_match_blocks": BASE + "SELECT name, kind, role, round(score_mean_top3, 12) AS score, best_match FROM scored UNION ALL SELECT name, kind, role, round(score_mean_top3, 12), best_match FROM scored",
     "best_match_mean_top3": BASE + "SELECT name, kind, role, round(score_mean_top3, 12) AS score, best_match FROM scored",
     "verdict_margin": BASE + f"SELECT name, score_max >= {THRESHOLD} AS hit, round(score_max - {THRESHOLD}, 12) AS margin FROM scored",
     "split_test_first": BASE + f"SELECT vec_id AS name, rn AS shuffle_rank, rn <= {TEST} AS is_test FROM pos",

@@ -36,7 +36,7 @@ def test_best_match_and_means(spark, monkeypatch, block):
     monkeypatch.setattr(scoring, "BLOCK", block)
     ref = reference(spark, [("x", [1.0, 0.0, 0.0]), ("y", [0.0, 1.0, 0.0]), ("z", [0.0, 0.0, 1.0]), ("y2", [0.0, 1.0, 0.0])])
     q = spark.createDataFrame([(1, [0.1, 0.9, 0.0]), (2, [0.0, 0.0, 0.0])], "name long, embedding array<float>")
-    got = {r.name: r for r in scoring.score_all(q, ref, ["name"]).collect()}
+    got = {r.name: r for r in scoring.score_all(q, ref).collect()}
     norm = math.sqrt(0.82)
     assert got[1].best_match == "y" and got[1].best_ord == 1
     assert got[1].score_max == pytest.approx(0.9 / norm, abs=1e-7)
@@ -47,7 +47,7 @@ def test_best_match_and_means(spark, monkeypatch, block):
 def test_small_reference_means_over_what_there_is(spark):
     ref = reference(spark, [("a", [1.0, 0.0]), ("b", [0.0, 1.0])])
     q = spark.createDataFrame([(1, [1.0, 0.0])], "name long, embedding array<float>")
-    assert scoring.score_all(q, ref, ["name"]).first().score_mean_top3 == 0.5
+    assert scoring.score_all(q, ref).first().score_mean_top3 == 0.5
 
 
 def test_empty_reference_is_an_error(spark):
