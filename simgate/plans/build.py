@@ -59,13 +59,13 @@ def build_cache(
     """
     rows = with_image(images)
     if detector is None:
-        found = inference.embed(rows, "image", "content", embedder, batch)
+        found = inference.embed(rows, "content", embedder, batch)
         empty = {"confidence": "double", "x1": "int", "y1": "int", "x2": "int", "y2": "int", "area_fraction": "double"}
         found = found.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
     else:
         guards.require(cut is not None, "a detector needs a function that cuts")
-        found = inference.embedded_crops(rows, "image", "content", detector, cut, embedder, margin, min_confidence, batch)
-    found = kept(found.join(rows.drop("content"), "image"), "embedded")
+        found = inference.embedded_crops(rows, "content", detector, cut, embedder, margin, min_confidence, batch)
+    found = kept(found, "embedded")
     placed = ranges.placed(found.where("status = 'ok'"), {"group": F.coalesce("group", F.lit("")), "name": F.col("source_filename")}, "place")
     columns = {"row": F.col("place") - 1, "detect_used": F.lit(detector is not None)}
     wanted = [f.split()[0] for f in cache.EMBEDDINGS.split(", ")]
@@ -75,7 +75,7 @@ def build_cache(
 
 def detected(images: DataFrame, detector: inference.Load, cut: Callable, margin: float = MARGIN, min_confidence: float = MIN_CONFIDENCE, all_crops: bool = False) -> DataFrame:
     """A row for each detection, the surest first, with the crop and its file name; only the first has them unless ``all_crops``."""
-    found = inference.detect_and_crop(with_image(images), "image", "content", detector, cut, margin, min_confidence)
+    found = inference.detect_and_crop(with_image(images), "content", detector, cut, margin, min_confidence)
     saved = F.col("crop").isNotNull() & (F.lit(all_crops) | (F.col("detection_index") == 1))
     stem, suffix = F.regexp_replace("image", r"\.[^./]*$", ""), F.lower(F.regexp_extract("image", r"\.[^./]*$", 0))
     name = F.concat(F.replace(stem, F.lit("/"), F.lit("_")), F.lit("_crop"), F.col("detection_index").cast("string"), suffix)
@@ -142,5 +142,5 @@ def write_detections(found: DataFrame, path: str) -> None:
     size = found.groupBy("image").agg(F.count("detection_index").alias("n_detections"))
     four = {c: F.format_string("%.4f", c) for c in ("confidence", "area_fraction")}
     rows = found.drop("crop").join(size, "image").withColumns({c: F.when(F.col(c).isNotNull(), v) for c, v in four.items()})
-    columns = [F.col("image").alias("source_filename"), "status", "n_detections", "detection_index", "crop_filename", "confidence", "x1", "y1", "x2", "y2", "area_fraction"]
+    columns = [F.col("image").alias("source_filename"), "n_detections", "detection_index", "crop_filename", "confidence", "x1", "y1", "x2", "y2", "image_width", "image_height", "area_fraction"]
     rows.orderBy("image", "detection_index").select(*columns).write.mode("overwrite").csv(path, header=True)

@@ -338,4 +338,12 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     """Pages as images through the injected stub model: an empty page is corrupt."""
     pages = inputs.read(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
-    return inference.embed(pages, "page_id", "content", inference.stub_embedder).select("page_id", F.size("embedding").alias("dim"), "status")
+    return inference.embed(pages, "content", inference.stub_embedder).select("page_id", F.size("embedding").alias("dim"), "status")
+
+
+@query
+def picture_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as pictures, detected, cut and embedded in one pass with stub models: what each page's surest crop measures."""
+    pages = inputs.read(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    found = inference.embedded_crops(pages, "content", inference.stub_detector, inference.stub_cut, inference.stub_measure)
+    return found.select("page_id", "status", "detection_index", rounded(F.col("confidence")).alias("confidence"), "x1", "y1", "x2", "y2", F.col("embedding")[0].cast("double").alias("size"), F.col("embedding")[1].cast("double").alias("first"))

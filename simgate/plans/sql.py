@@ -114,6 +114,16 @@ SELECT 'same seed' AS "case", true AS same, 0 AS differ UNION ALL SELECT 'other
     "detections_with_notes": "SELECT c_custkey, s_name AS notes FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey",
     "detections_with_crops": "SELECT l_orderkey AS image, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS INTEGER) AS place, CAST(l_quantity AS DOUBLE) AS quantity, l_linenumber AS crop FROM lineitem",
     "embed_batches": "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN NULL ELSE 8 END AS dim, CASE WHEN html IS NULL OR html = '' THEN 'corrupt' ELSE 'ok' END AS status FROM pages",
+    "picture_pass": """
+WITH p AS (SELECT page_id, encode(html) AS raw, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+b AS (SELECT *, n % 4 AS k, n % 40 AS x, n % 30 AS y FROM p),
+c AS (SELECT *, x + 20 + 10 * (k - 1) AS r, CAST(round_even((20 + 10 * (k - 1)) * 0.1, 0) AS BIGINT) AS dx FROM b),
+e AS (SELECT *, greatest(x - dx, 0) AS l, least(r + dx, n) AS h FROM c),
+s AS (SELECT *, CASE WHEN n = 0 OR (k > 0 AND h <= l) THEN 'corrupt' WHEN k = 0 THEN 'no_detection' ELSE 'ok' END AS status FROM e)
+SELECT page_id, status, CASE WHEN status = 'ok' THEN 1 END AS detection_index, CASE WHEN status = 'ok' THEN round(0.3 * k, 12)::DOUBLE END AS confidence, CASE WHEN status = 'ok' THEN x::INTEGER END AS x1,
+  CASE WHEN status = 'ok' THEN y::INTEGER END AS y1, CASE WHEN status = 'ok' THEN r::INTEGER END AS x2, CASE WHEN status = 'ok' THEN (y + 10)::INTEGER END AS y2, CASE WHEN status = 'ok' THEN (h - l)::DOUBLE END AS size,
+  CASE WHEN status = 'ok' THEN CAST(('0x' || substr(hex(raw), 2 * l + 1, 2)) AS INTEGER)::DOUBLE END AS first
+FROM s""",
     "catalog_misses": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "attribute_left_join": "SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
     "pose_lookup": BASE + "SELECT name, best_match, coalesce(p_brand, '') AS position, coalesce(p_type, '') AS view FROM scored LEFT JOIN part ON p_partkey * 2 = best_match",

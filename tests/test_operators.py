@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from simgate.functions import scalars, vectors
@@ -202,16 +203,17 @@ def test_relations(spark):
 
 
 def test_inference_batches_and_status(spark):
-    assert [len(b) for b in inference.batches(list(range(5)), 2)] == [2, 2, 1]
+    assert [len(b) for b in inference.filled(range(5), 2, lambda _: 1)] == [2, 2, 1] and list(inference.filled([], 2, len)) == []
+    assert list(inference.filled([5, 0, 0, 5, 0, 9, 9], 2, lambda x: x, most=15)) == [[5, 0, 0, 5], [0, 9, 9]] and list(inference.filled([9, 9, 1], 9, lambda x: x, most=15)) == [[9, 9], [1]]
     df = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"")), (3, bytearray(b"a"))], "k long, c binary").coalesce(1)
-    got = {r.k: r for r in inference.embed(df, "k", "c", inference.stub_embedder, batch=2).collect()}
+    got = {r.k: r for r in inference.embed(df, "c", inference.stub_embedder, batch=2).collect()}
     assert got[1].embedding == got[3].embedding and got[2].status == "corrupt"
 
     def detector():
         box = lambda c: {"confidence": c, "x1": 0, "y1": 0, "x2": 2, "y2": 2, "area_fraction": 0.1}
         return lambda contents: [None if not c else [box(0.1), box(0.5), box(0.9)] if bytes(c) == b"a" else [] for c in contents]
 
-    found = {r.k: r for r in inference.detect(df.union(spark.createDataFrame([(4, bytearray(b"z"))], df.schema)), "k", "c", detector).collect()}
+    found = {r.k: r for r in inference.detect(df.union(spark.createDataFrame([(4, bytearray(b"z"))], df.schema)), "c", detector).collect()}
     assert [d.confidence for d in found[1].detections] == [0.9, 0.5] and found[2].status == "corrupt" and found[4].status == "no_detection"
 
 
@@ -236,16 +238,64 @@ def test_models_that_raise_and_crops(spark):
 
     images = spark.createDataFrame([("a", b"img"), ("b", b"bad"), ("c", b"none")], "name string, content binary")
     cut = lambda raw, box: raw + str(box).encode()
-    got = sorted(((r.name, r.status, r.detection_index, r.confidence, bytes(r.crop) if r.crop else None) for r in inference.detect_and_crop(images, "name", "content", load, cut).collect()), key=str)
+    got = sorted(((r.name, r.status, r.detection_index, r.confidence, bytes(r.crop) if r.crop else None) for r in inference.detect_and_crop(images, "content", load, cut).collect()), key=str)
     box = b"img(38, 38, 62, 62)"
     assert got == [("a", "ok", 1, 0.9, box), ("a", "ok", 2, 0.5, box), ("b", "corrupt", None, None, None), ("c", "no_detection", None, None, None)]
-    top = {r.name: r for r in inference.embedded_crops(images, "name", "content", load, cut, inference.stub_embedder).collect()}
+    top = {r.name: r for r in inference.embedded_crops(images, "content", load, cut, inference.stub_embedder).collect()}
     assert len(top["a"].embedding) == 8 and [top[n].status for n in "abc"] == ["ok", "corrupt", "no_detection"]
     with pytest.raises(guards.GuardError):
-        inference.detect_and_crop(images, "name", "content", load, cut, margin=-1)
+        inference.detect_and_crop(images, "content", load, cut, margin=-1)
     flat = lambda: lambda items: [[{"confidence": 0.9, "x1": 5, "y1": 0, "x2": 5, "y2": 4, "area_fraction": 0.0}] for _ in items]
-    with pytest.raises(Exception, match="positive sides"):
-        inference.detect_and_crop(images, "name", "content", flat, cut).collect()
+    assert {r.status for r in inference.detect_and_crop(images, "content", flat, cut).collect()} == {"corrupt"}
+
+
+def test_one_pass_over_pictures(spark):
+    """Batches fill across Arrow batches, one bad picture spoils itself alone, and no content crosses the network."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        contents = [b"p%02d" % i for i in range(20)] + [b"", b"boom", b"flat", b"odd"]
+        images = spark.createDataFrame([(i, f"g{i % 3}", c) for i, c in enumerate(contents)], "id int, group string, content binary").coalesce(1)
+        sizes = spark.sparkContext.accumulator([0], _Lists())
+
+        def load():
+            def model(items):
+                sizes.add([len(items)])
+                box = lambda c: {"confidence": 0.9, "x1": 1, "y1": 0, "x2": 1 if c == b"flat" else 5, "y2": 4, "area_fraction": 0.5}
+                return [None if not c else [] if c.endswith(b"7") else [box(c)] for c in items]
+
+            return model
+
+        def cut(raw, edges):
+            if raw == b"boom":
+                raise OSError("cannot cut")
+            return raw
+
+        def embedder():
+            def model(crops):
+                if b"odd" in crops:
+                    raise ValueError("cannot embed")
+                return [[float(len(c)), float(c[-1])] for c in crops]
+
+            return model
+
+        found = inference.embedded_crops(images, "content", load, cut, embedder, batch=8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan and not [line for line in plan.splitlines() if "Exchange" in line and "content" in line]
+        assert [r.id for r in got] == list(range(24)) and [r.group for r in got] == [f"g{i % 3}" for i in range(24)]
+        assert sizes.value[1:] == [8, 8, 8]
+        assert {r.id: r.status for r in got if r.status != "ok"} == {7: "no_detection", 17: "no_detection", 20: "corrupt", 21: "corrupt", 22: "corrupt", 23: "corrupt"}
+        assert list(got[3].embedding) == [3.0, float(b"3"[0])] and got[20].embedding is None
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+class _Lists(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):  # noqa: N802
+        return a + b
 
 
 def test_detection_text(spark):

@@ -223,8 +223,8 @@ def test_detect_run(spark, tmp_path, capsys):
         "  1 with a best confidence below 0.8: low.JPG (0.300)", "  1 with a detection over 90% of the frame: full.JPG",
     ]
     lines = spark.read.csv(str(tmp_path / "csv"), header=True).orderBy("source_filename", "detection_index").collect()
-    assert [(r.source_filename, r.status, r.n_detections, r.detection_index, r.crop_filename, r.confidence) for r in lines if r.source_filename[0] in "bt"] == [
-        ("bad.JPG", "corrupt", "0", None, None, None), ("two.JPG", "ok", "2", "1", "two_crop1.jpg", "0.9500"), ("two.JPG", "ok", "2", "2", None, "0.5000"),
+    assert [(r.source_filename, r.image_width, r.n_detections, r.detection_index, r.crop_filename, r.confidence) for r in lines if r.source_filename[0] in "bt"] == [
+        ("bad.JPG", None, "0", None, None, None), ("two.JPG", None, "2", "1", "two_crop1.jpg", "0.9500"), ("two.JPG", None, "2", "2", None, "0.5000"),
     ]
     assert cli.main([*args, "--all-crops"], spark) == 0 and (tmp_path / "crops" / "two_crop2.jpg").exists()
 
