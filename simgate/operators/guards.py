@@ -39,18 +39,19 @@ def counts_fit(total: int, reference: int, calibration: int, test: int) -> None:
 
 
 def disjoint(roles: DataFrame, key: str = "name") -> None:
-    """No name twice in a role, nor in two roles of a dataset."""
-    bad = roles.groupBy("dataset", key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("role").alias("roles")).where("n > 1").orderBy("dataset", key)
+    """No name of a group twice in a role, nor in two roles of a dataset."""
+    bad = roles.groupBy("dataset", "group", key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("role").alias("roles")).where("n > 1").orderBy("dataset", "group", key)
     rows = bad.limit(5).collect()
-    require(not rows, "names stand more than once: " + ", ".join(f"{r['dataset']}/{r[key]} ({r['roles']} roles)" for r in rows))
+    require(not rows, "names stand more than once: " + ", ".join("/".join(str(x) for x in (r["dataset"], r["group"], r[key]) if x is not None) + f" ({r['roles']} roles)" for r in rows))
 
 
-def all_present(wanted: DataFrame, have: DataFrame, key: str, what: str) -> None:
-    """Every wanted key must be in ``have``; names the first five that aren't."""
-    missing = wanted.select(key).distinct().join(have.select(key).distinct(), key, "left_anti")
+def all_present(wanted: DataFrame, have: DataFrame, key: str | list[str], what: str) -> None:
+    """Every wanted key (of one column or several, which are never null) must be in ``have``; names the first five that aren't."""
+    keys = [key] if isinstance(key, str) else key
+    missing = wanted.select(*keys).distinct().join(have.select(*keys).distinct(), keys, "left_anti")
     n = missing.count()
     if n:
-        first = ", ".join(str(r[0]) for r in missing.orderBy(key).limit(5).collect())
+        first = ", ".join("/".join(str(x) for x in r if x != "") for r in missing.orderBy(*keys).limit(5).collect())
         raise GuardError(f"{n} names are missing from {what}: {first}")
 
 

@@ -11,11 +11,35 @@ from simgate.operators.guards import all_present
 LOW_CONFIDENCE, FULL_FRAME = 0.8, 0.9
 
 
-def last_by(rows: DataFrame, key: str, ord_: str) -> DataFrame:
-    """One row for each key, the last by ord."""
-    rest = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(ord_)).alias("row"))
-    return best.select(key, *(F.col(f"row.`{c}`").alias(c) for c in rest))
+#: What tells an embedding apart: equal names may stand in several datasets, and in several groups of one.
+KEY = ["dataset", "group", "name"]
+
+
+def last_by(rows: DataFrame, key: str | list[str], ord_: str) -> DataFrame:
+    """One row for each key (of one column or several), the last by ord."""
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ord_)).alias("row"))
+    return best.select(*keys, *(F.col(f"row.`{c}`").alias(c) for c in rest))
+
+
+def keyed(rows: DataFrame, dataset: str, ord_: str | None = None) -> DataFrame:
+    """(dataset, group, name, ord, embedding) of a cache: no group is the empty one; ``ord`` (else the cache's row number, if it has one) tells which of equal keys is the last."""
+    ord_ = ord_ or ("row" if "row" in rows.columns else None)
+    group = F.coalesce(F.col("group").cast("string"), F.lit("")) if "group" in rows.columns else F.lit("")
+    return rows.select(F.lit(dataset).alias("dataset"), group.alias("group"), F.col("name").cast("string").alias("name"), (F.col(ord_).cast("long") if ord_ else F.lit(0).cast("long")).alias("ord"), "embedding")
+
+
+def vectors_of(listed: DataFrame, cache: DataFrame, what: str) -> DataFrame:
+    """Listed rows (with KEY) with the vector that the cache (of ``keyed``) holds for each: of several rows the last; a missing one is an error.
+
+    The listing and the cache are dealt out by the key once. Rows of one key with equal ``ord`` give the largest vector.
+    """
+    rows = listed.withColumn("group", F.coalesce(F.col("group").cast("string"), F.lit("")))
+    all_present(rows, cache, KEY, what)
+    found = cache.join(rows.select(*KEY).distinct(), KEY, "left_semi")
+    last = found.groupBy(*KEY).agg(F.max(F.struct("ord", "embedding")).alias("last")).select(*KEY, F.col("last.embedding").alias("embedding"))
+    return rows.join(last, KEY).withColumn("group", F.nullif(F.col("group"), F.lit("")))
 
 
 def with_attributes(rows: DataFrame, attributes: DataFrame, key: str, ord_: str, total: bool = True) -> DataFrame:
@@ -37,7 +61,7 @@ def zipped(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
     return rows.select(key, F.posexplode(checked).alias("at", "both")).select(key, (F.col("at") + 1).alias("place"), "both.left", "both.right")
 
 
-def select_role(roles: DataFrame, cache: DataFrame, key: str = "name") -> DataFrame:
+def select_role(roles: DataFrame, cache: DataFrame, key: str | list[str] = "name") -> DataFrame:
     """Cache rows of the names that roles list, an output for each listing; a missing name is an error."""
     all_present(roles, cache, key, "the embeddings cache")
     return roles.join(cache, key)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simgate.operators import guards, inference, ranges, relations, splits
-from simgate.sources import cache
+from simgate.sources import cache, files
 from simgate.sources.shared import kept
 
 #: The detector's least confidence, and how much a box is widened.
@@ -40,13 +40,18 @@ def with_image(images: DataFrame) -> DataFrame:
 
 
 def sampled(images: DataFrame, per_group: int = 0, limit: int | None = None, seed: int = 0) -> DataFrame:
-    """At most ``per_group`` pictures of each group (0: all), and of these the first ``limit`` by group and name."""
+    """At most ``per_group`` pictures of each group (0: all), and of these the first ``limit`` by group and name.
+
+    Names are drawn from the listing, whose content is not read, and then only the chosen files are.
+    """
     guards.require(per_group == 0 or "group" in images.columns, "a limit for each group needs groups")
-    names = images.select(*(c for c in ("group", "source_filename") if c in images.columns))
-    chosen = splits.sample_per_group(names, per_group, seed, "source_filename")
+    if per_group <= 0 and limit is None:
+        return images if "content" in images.columns else files.read_chosen(images)
+    names = [c for c in ("group", "source_filename") if c in images.columns]
+    chosen = splits.sample_per_group(images.select(*names, "path"), per_group, seed, "source_filename")
     if limit is not None:
-        chosen = chosen.orderBy(*names.columns).limit(limit)
-    return images.join(chosen, names.columns, "left_semi")
+        chosen = chosen.orderBy(*names).limit(limit)
+    return files.read_chosen(chosen)
 
 
 def build_cache(

@@ -59,19 +59,15 @@ def make_split(positives: DataFrame, negatives: DataFrame, settings: Settings) -
 def score_roles(roles: DataFrame, positives: DataFrame, negatives: DataFrame, which: str, reference: DataFrame | None = None) -> DataFrame:
     """Scores (both aggregations, in one pass) of the members of roles: ``setup`` (calibration and setup) or ``test``.
 
-    ``positives`` and ``negatives`` are caches (name, embedding). ``reference`` replaces the split's own.
+    ``positives`` and ``negatives`` are caches (name, embedding[, group][, row]); a vector belongs to a name in its group
+    and dataset, the last row of a repeated one. ``reference`` replaces the split's own.
     """
-    named = lambda df, kind: df.select(F.col("name").cast("string").alias("name"), "embedding").withColumn("dataset", F.lit(kind))
-    cache = named(positives, POSITIVE).unionByName(named(negatives, NEGATIVE))
+    cache = relations.keyed(positives.drop("group"), POSITIVE).unionByName(relations.keyed(negatives, NEGATIVE))
     if reference is None:
-        own = roles.where("role = 'reference'").select("ord", "name", "dataset")
-        guards.all_present(own, named(positives, POSITIVE), "name", "the positives' cache")
-        reference = own.join(cache, ["dataset", "name"])
+        reference = relations.vectors_of(roles.where("role = 'reference'").select("ord", *relations.KEY), cache, "the positives' cache")
     wanted = roles.where(F.col("role") == "test" if which == "test" else F.col("role").isin("calibration", "setup"))
-    for kind, own in ((POSITIVE, positives), (NEGATIVE, negatives)):
-        guards.all_present(wanted.where(F.col("dataset") == kind), named(own, kind), "name", f"the cache of {kind}s")
-    queries = wanted.join(cache, ["dataset", "name"]).select(F.col("dataset").alias("kind"), "role", "ord", "name", "group", "embedding")
-    return scoring.score_all(queries, reference)
+    queries = relations.vectors_of(wanted.select("role", "ord", *relations.KEY), cache, "the caches")
+    return scoring.score_all(queries.select(F.col("dataset").alias("kind"), "role", "ord", "name", "group", "embedding"), reference)
 
 
 def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, identity: dict, settings: Settings, split_dir: str | None = None, artifact_dir: str | None = None, poses: DataFrame | None = None, replay: bool = False, records: DataFrame | None = None) -> dict:
@@ -112,7 +108,8 @@ def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, i
     if artifact_dir is not None:
         best = thresholds.winner(frame).first()["aggregation"]
         own = scoring.chosen(scored, best)
-        reference = roles.where("role = 'reference'").select("ord", "name").join(positives.select(F.col("name").cast("string").alias("name"), "embedding"), "name")
+        chosen = roles.where("role = 'reference'").select("ord", *relations.KEY)
+        reference = relations.vectors_of(chosen, relations.keyed(positives.drop("group"), POSITIVE), "the positives' cache").select("ord", "name", "embedding")
         if poses is not None:
             guards.all_present(reference, poses, "name", "the attribute table")
             reference = reference.join(poses.select("name", "position", "view"), "name", "left")
@@ -138,7 +135,9 @@ def evaluate(spark: SparkSession, artifact_dir: str, split_dir: str, positives:
     guards.same_rows(roles.where("role = 'reference'").select("name"), reference.select("name"), "the reference sets of split and artifact")
     if external is not None:
         guards.not_empty(external, "the external cache")
-        members = external.select(F.lit(NEGATIVE).alias("dataset"), F.lit("test").alias("role"), F.xxhash64("name").alias("ord"), F.col("name").cast("string").alias("name"), F.col("group").cast("string").alias("group"))
+        listed = relations.keyed(external, NEGATIVE).groupBy(*relations.KEY).agg(F.max("ord").alias("ord"))
+        place = F.col("ord") if "row" in external.columns else F.xxhash64("group", "name")  # tells members apart
+        members = listed.select("dataset", F.lit("test").alias("role"), place.alias("ord"), "name", F.nullif(F.col("group"), F.lit("")).alias("group"))
         roles, negatives = roles.where(F.col("dataset") == POSITIVE).unionByName(members), external
     for kind in (POSITIVE, NEGATIVE):
         guards.not_empty(roles.where((F.col("dataset") == kind) & (F.col("role") == "test")), f"the test role of {kind}s")

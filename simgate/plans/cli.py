@@ -102,12 +102,12 @@ def _named(rows):
 
 def pictures(spark: SparkSession, args: argparse.Namespace):
     if args.source == "folder":
-        return files.image_folder(spark, args.images).drop("path")
+        return files.image_folder(spark, args.images)
     if args.source == "groups":
         return files.grouped_images(spark, args.images)
     guards.require(args.annotations is not None, "annotated pictures need their list")
     listed = files.annotations(spark, args.annotations)
-    return listed.join(files.image_folder(spark, args.images).drop("path"), "source_filename")
+    return listed.join(files.image_folder(spark, args.images).drop("content"), "source_filename")
 
 
 def build_run(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -128,7 +128,7 @@ def build_run(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def detect_run(spark: SparkSession, args: argparse.Namespace) -> None:
     guards.require(bool(args.detector and args.cut), "a detector and a cut must be named")
-    found = build.detected(files.image_folder(spark, args.images).drop("path"), build.named(args.detector), build.named(args.cut), args.margin, args.min_confidence, args.all_crops)
+    found = build.detected(files.image_folder(spark, args.images), build.named(args.detector), build.named(args.cut), args.margin, args.min_confidence, args.all_crops)
     if args.crops:
         build.write_crops(found, args.crops)
     if args.csv:
@@ -153,7 +153,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             own = settings(args)
             records = None
             if args.attributes:
-                records = files.positive_records(positives, files.attribute_table(spark, args.attributes)).withColumnRenamed("source_filename", "name")
+                attributes = files.attribute_table(spark, args.attributes)
+                guards.require(attributes is not None, f"there is no attribute table {args.attributes}")
+                records = files.positive_records(positives, attributes).withColumnRenamed("source_filename", "name")
             if args.generate_only:
                 guards.require(args.split is not None, "a split to generate needs a folder")
                 guards.require(own.prefer is None or records is not None, "a preference needs the positives' attributes")

@@ -246,20 +246,29 @@ def external_rates(spark: SparkSession, d: str) -> DataFrame:
     return metrics.fixed_rates(rows.where(f"kind = '{NEGATIVE}' OR role = 'test'"), THRESHOLD, EXTERNAL_HARD)
 
 
+@query
+def keyed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of names that stand in several groups and several times in one: each group has its own, of repeats the last row."""
+    cache = inputs.read(spark, d, "embeddings").select((F.col("vec_id") % 20).alias("name"), F.col("label").alias("group"), F.col("vec_id").alias("row"), "embedding")
+    cache = relations.keyed(cache, NEGATIVE)
+    found = relations.vectors_of(cache.select(*relations.KEY).distinct(), cache, "the cache")
+    return found.select("group", "name", *(rounded(F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(2)))
+
+
 @query
 def detections_with_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as detections beside the notes of their part's suppliers: an output for each note."""
-    notes = inputs.read(spark, d, "supplier").select(F.col("s_nationkey").alias("image"), F.col("s_name").alias("notes"))
-    found = inputs.read(spark, d, "customer").select(F.col("c_nationkey").alias("image"), "c_custkey")
-    return relations.with_notes(found, notes, "image").select("c_custkey", "notes")
+    """Pages as detections beside the turns of the conversation of their number as notes: an output for each turn, one without where there is none."""
+    notes = inputs.read(spark, d, "conversations").select(F.col("conv_id").alias("image"), F.col("text").alias("notes"))
+    found = inputs.read(spark, d, "pages").select(F.col("page_id").alias("image"), "url")
+    return relations.with_notes(found, notes, "image").select("image", "url", "notes")
 
 
 @query
 def detections_with_crops(spark: SparkSession, d: str) -> DataFrame:
-    """Detections of each image (lines of an order) and its crops, zipped by place."""
+    """Detections of each image (lines of an order, by quantity) and its crops (the lines' parts, by number), zipped by place."""
     lines = inputs.read(spark, d, "lineitem")
-    found = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("detections"))
-    crops = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("crops"))
+    found = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(F.struct("l_quantity", "l_linenumber"))).alias("detections"))
+    crops = lines.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list("l_partkey")).alias("crops"))
     both = relations.zipped(found.join(crops, "image"), "image", "detections", "crops")
     return both.select("image", "place", F.col("left.l_quantity").cast("double").alias("quantity"), F.col("right").alias("crop"))
 
@@ -297,9 +306,9 @@ def crop_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def detection_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as detections in the images of parts; parts that no line has are images without any."""
-    found = inputs.read(spark, d, "lineitem").selectExpr("l_orderkey * 7 + l_linenumber AS image", "1 - l_discount * 4 AS confidence", "l_quantity / 50 AS area_fraction")
-    images = inputs.read(spark, d, "lineitem").selectExpr("l_orderkey * 7 + l_linenumber AS image").union(inputs.read(spark, d, "part").selectExpr("-p_partkey AS image"))
+    """Orders as detections in the images of their customers; customers without an order are images without any."""
+    found = inputs.read(spark, d, "orders").selectExpr("o_custkey AS image", "(o_orderkey % 100) / 100D AS confidence", "(o_orderkey % 97) / 100D AS area_fraction")
+    images = inputs.read(spark, d, "customer").selectExpr("c_custkey AS image")
     return relations.detection_rollup(found, images, "image")
 
 

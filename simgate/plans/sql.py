@@ -111,8 +111,12 @@ other AS (SELECT vec_id AS name FROM (SELECT vec_id, row_number() OVER (ORDER BY
 differ AS (SELECT count(*) AS n FROM (SELECT ref AS name FROM refs EXCEPT SELECT name FROM other))
 SELECT 'same seed' AS "case", true AS same, 0 AS differ UNION ALL SELECT 'other seed', n = 0, 2 * n FROM differ UNION ALL SELECT 'altered', false, 2""",
     "external_rates": BASE + f"SELECT {_rates(str(THRESHOLD)).replace('hard', 'outer_hard').replace('fpr_outer_hard', 'fpr_hard')} FROM (SELECT kind, score_max AS score, coalesce(grp, '') IN ('4', '5') AS outer_hard FROM scored WHERE {_NEG} OR role = 'test')",
-    "detections_with_notes": "SELECT c_custkey, s_name AS notes FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey",
-    "detections_with_crops": "SELECT l_orderkey AS image, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS INTEGER) AS place, CAST(l_quantity AS DOUBLE) AS quantity, l_linenumber AS crop FROM lineitem",
+    "detections_with_notes": "SELECT page_id AS image, url, text AS notes FROM pages LEFT JOIN conversations ON page_id = conv_id",
+    "keyed_lookup": 'SELECT CAST(label AS VARCHAR) AS "group", CAST(vec_id % 20 AS VARCHAR) AS name, round(CAST(max_by(embedding[1], vec_id) AS DOUBLE), 12) AS x0, round(CAST(max_by(embedding[2], vec_id) AS DOUBLE), 12) AS x1 FROM embeddings GROUP BY label, vec_id % 20',
+    "detections_with_crops": """
+WITH d AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS place, l_quantity FROM lineitem),
+c AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS place, l_partkey FROM lineitem)
+SELECT image, CAST(place AS INTEGER) AS place, CAST(l_quantity AS DOUBLE) AS quantity, l_partkey AS crop FROM d JOIN c USING (image, place)""",
     "embed_batches": "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN NULL ELSE 8 END AS dim, CASE WHEN html IS NULL OR html = '' THEN 'corrupt' ELSE 'ok' END AS status FROM pages",
     "picture_pass": """
 WITH p AS (SELECT page_id, encode(html) AS raw, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -134,9 +138,9 @@ SELECT p_partkey, greatest(0, x1 - CAST(round_even((x2 - x1) * 0.1, 0) AS INTEGE
   least(120, x2 + CAST(round_even((x2 - x1) * 0.1, 0) AS INTEGER)) AS "right", least(150, y2 + CAST(round_even((y2 - y1) * 0.1, 0) AS INTEGER)) AS bottom,
   round((x2 - x1) * (y2 - y1) / 18000.0, 12) AS area_fraction FROM b""",
     "detection_rollup": """
-WITH d AS (SELECT l_orderkey * 7 + l_linenumber AS image, 1 - l_discount * 4 AS confidence, l_quantity / 50.0 AS area_fraction FROM lineitem),
+WITH d AS (SELECT o_custkey AS image, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence, CAST(o_orderkey % 97 AS DOUBLE) / 100 AS area_fraction FROM orders),
 per AS (SELECT image, count(*) AS n, max(confidence) AS confidence, max(area_fraction) AS area FROM d GROUP BY 1),
-a AS (SELECT i.image, coalesce(n, 0) AS n, confidence, area FROM (SELECT image FROM d UNION SELECT -p_partkey FROM part) i LEFT JOIN per USING (image))
+a AS (SELECT i.image, coalesce(n, 0) AS n, confidence, area FROM (SELECT c_custkey AS image FROM customer) i LEFT JOIN per USING (image))
 SELECT count(*) AS images, count(*) FILTER (WHERE n = 0) AS none, count(*) FILTER (WHERE n > 1) AS several, count(*) FILTER (WHERE n > 0 AND confidence < 0.8) AS low_confidence,
   count(*) FILTER (WHERE n > 0 AND area > 0.9) AS full_frame, count(*) FILTER (WHERE n = 1 AND NOT confidence < 0.8) AS clean, CAST(sum(n) AS BIGINT) AS crops FROM a""",
     "detection_rank": """

@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simgate.functions.scalars import group_of_filename, is_yes
 from simgate.operators import guards, relations
 
-#: The suffixes of images.
-IMAGE = r"(?i)\.(jpg|jpeg|png|webp)$"
+#: The suffixes of images, in any case and as a glob, so that other files are not even listed.
+IMAGES = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[wW][eE][bB][pP]}"
 ATTRIBUTES = ["number", "new_filename", "original_filename", "position", "location", "view", "head_visible", "tail_visible", "notes"]
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.withColumn("source_filename", F.url_decode(F.element_at(F.split("path", "/"), -1)))
+def _part(back: int):
+    """A part of the path, from its end."""
+    return F.element_at(F.split("path", "/"), -back)
 
 
 def image_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_filename, path, content) of the images right in a folder, by suffix whatever its case."""
-    return _named(spark.read.format("binaryFile").load(folder)).where(F.col("path").rlike(IMAGE)).select("source_filename", "path", "content")
+    """(source_filename, path, content) of the images right in a folder, by suffix whatever its case; content is read only where it is used."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", IMAGES).load(folder)
+    return rows.select(_part(1).alias("source_filename"), "path", "content")
 
 
 def grouped_images(spark: SparkSession, root: str) -> DataFrame:
-    """(group, source_filename, content) of *.jpg in the folders right below root, named by their folder."""
-    rows = _named(spark.read.format("binaryFile").load(f"{root}/*/*.jpg"))
-    return rows.select(F.url_decode(F.element_at(F.split("path", "/"), -2)).alias("group"), "source_filename", "content")
+    """(group, source_filename, path, content) of *.jpg in the folders right below root, named by their folder."""
+    rows = spark.read.format("binaryFile").load(f"{root}/*/*.jpg")
+    return rows.select(_part(2).alias("group"), _part(1).alias("source_filename"), "path", "content")
+
+
+def read_chosen(chosen: DataFrame) -> DataFrame:
+    """The rows of a listing (with ``path``, without content) with the content of their files; no other file is read.
+
+    The paths go through the driver, as those of any scan do: Spark's index of files lists them there. What else is known
+    of a picture comes from the same list by broadcast, so contents are not moved.
+    """
+    spark = chosen.sparkSession
+    rows = chosen.drop("content").collect()
+    if not rows:
+        return chosen.drop("content").limit(0).withColumn("content", F.lit(None).cast("binary"))
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in rows]  # a path is no glob
+    known = spark.createDataFrame(rows, chosen.drop("content").schema)
+    return spark.read.format("binaryFile").load(literal).select("path", "content").join(F.broadcast(known), "path").select(*known.columns, "content")
 
 
 def annotations(spark: SparkSession, path: str, species: str = "1") -> DataFrame:
@@ -38,17 +57,27 @@ def annotations(spark: SparkSession, path: str, species: str = "1") -> DataFrame
     return kept.select(group_of_filename(F.col("id")).alias("group"), F.concat("id", F.lit(".jpg")).alias("source_filename"))
 
 
-def attribute_table(spark: SparkSession, path: str) -> DataFrame:
-    """The attribute CSV, all strings; quoted commas stay in their field, blanks are empty."""
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def attribute_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The attribute CSV, all strings; quoted commas stay in their field, blanks are empty. None where there is no such file."""
+    if not exists(spark, path):
+        return None
     rows = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in ATTRIBUTES), quote='"', escape='"')
     return rows.na.fill("")
 
 
 def positive_records(metadata: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(source_filename, head_visible, tail_visible, position, view) of every metadata row; a row without attributes is an error."""
+    """(source_filename, head_visible, tail_visible, position, view) of every metadata row; a row without attributes is an error.
+
+    Of several rows for one name the last by ``number`` counts (as a number; of equal ones the largest in all its fields).
+    """
     flags = attributes.select(
         F.col("new_filename").alias("source_filename"), is_yes(F.col("head_visible")).alias("head_visible"), is_yes(F.col("tail_visible")).alias("tail_visible"),
-        "position", "view", F.monotonically_increasing_id().alias("ord"),
+        "position", "view", F.struct(F.col("number").try_cast("double").alias("at"), "number", "head_visible", "tail_visible", "position", "view").alias("ord"),
     )
     return relations.with_attributes(metadata.select("source_filename"), flags, "source_filename", "ord")
 

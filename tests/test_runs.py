@@ -239,3 +239,36 @@ def test_npy_pair(spark, tmp_path):
     np.save(tmp_path / "short.npy", vectors[:7])
     with pytest.raises(guards.GuardError):
         cache.read_pair(spark, str(tmp_path / "m.csv"), cache.read_npy(spark, str(tmp_path / "short.npy")))
+
+
+def test_names_are_keyed_by_group(spark, stored):
+    """Equal names in two groups of an external set are two pictures; of a name that repeats in a group the last row counts."""
+    pos, identity = cache.read_cache(spark, f"{stored}/pos")
+    pos = pos.withColumn("name", F.col("source_filename"))
+    near, far = vector(101, True), [-1.0] + [0.0] * 7
+    rows = [(0, "1.jpg", "A", near), (1, "1.jpg", "B", far), (2, "2.jpg", "A", near), (3, "2.jpg", "A", far), (4, "3.jpg", None, near)]
+    external = spark.createDataFrame(rows, "row long, name string, group string, embedding array<float>").repartition(3)
+    run = runs.evaluate(spark, f"{stored}/artifact", f"{stored}/split", pos, pos, identity, external)
+    got = sorted((r.name, r.group or "", r.score > 0) for r in run["scored"].where("kind = 'negative'").collect())
+    assert got == [("1.jpg", "A", True), ("1.jpg", "B", False), ("2.jpg", "A", False), ("3.jpg", "", True)]
+    assert run["export"].where("kind = 'negative'").count() == 4
+
+
+def test_only_sampled_pictures_are_read(spark, tmp_path):
+    names = ["a b.jpg", "c+d.JPG", "50%25.jpg", "q{1}[2]?*.jpeg", *(f"p{i:02d}.png" for i in range(20)), "notes.txt"]
+    for n in names:
+        (tmp_path / n).write_bytes(n.encode())
+    images = files.image_folder(spark, str(tmp_path))
+    assert sorted(r.source_filename for r in images.collect()) == sorted(names[:-1])
+    chosen = build.sampled(images, limit=10)
+    assert len(chosen.inputFiles()) == 10 and {r.source_filename: bytes(r.content).decode() for r in chosen.collect()} == {n: n for n in sorted(names[:-1])[:10]}
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan  # contents are not moved
+    assert "content" not in images.select("source_filename")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    for k in range(3):
+        (tmp_path / "g" / f"G{k}").mkdir(parents=True)
+        for i in range(5):
+            (tmp_path / "g" / f"G{k}" / f"{i}.jpg").write_bytes(b"%d%d" % (k, i))
+    some = build.sampled(files.grouped_images(spark, str(tmp_path / "g")), per_group=2, seed=3)
+    assert len(some.inputFiles()) == 6 and sorted(bytes(r.content).decode()[0] for r in some.collect()) == list("001122")
+    assert build.sampled(images.where("false"), limit=3).collect() == [] and files.attribute_table(spark, str(tmp_path / "none.csv")) is None
