@@ -170,7 +170,7 @@ def classify(crops: DataFrame, images: DataFrame, artifact_dir: str, threshold:
     cutoffs = [p["cutoff"] for p in document["curve"]]
     at = document["threshold"] if threshold is None else min(max(threshold, min(cutoffs)), max(cutoffs))
     rows = scoring.chosen(scoring.score_all(crops, reference), document["aggregation"])
-    poses = spark.createDataFrame([(i["name"], i["position"] or "", i["view"] or "") for i in document["reference"]["images"]], "name string, position string, view string")
+    poses = reference.select("name", "position", "view")
     judged = relations.pose_of(rows.withColumns({"hit": passes(F.col("score"), at), "margin": F.col("score") - F.lit(at)}), poses)
     return judged, relations.any_hit(images, judged, at)
 

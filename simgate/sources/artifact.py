@@ -1,60 +1,63 @@
 """Model artifacts: the frozen threshold with its reference set, provenance and curve.
 
-A JSON document, and the reference vectors as Parquet with a fingerprint over their bytes, so that
-neither can be changed alone.
+A JSON document, and the reference set (vectors with their names and poses) as Parquet, with a fingerprint over its
+rows, so that neither can be changed alone. Both are written to a new folder that takes the artifact's place when it is
+whole. The reference set may be of any size: rows are counted and digested where they lie.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from simgate.functions.scalars import crop_slug
 from simgate.operators import guards
+from simgate.sources.digests import fingerprint
+from simgate.sources.shared import published
 
-VERSION = 2
+VERSION = 3
 COMPARISON = ">="
 
 
-def fingerprint(vectors: list[list[float]]) -> str:
-    """SHA-256 of the vectors as 32-bit floats, row after row. The reference set is small."""
-    return hashlib.sha256(np.ascontiguousarray(vectors, dtype="<f4").tobytes()).hexdigest()
-
-
-def _vectors(rows: DataFrame) -> list[list[float]]:
-    return [list(r["embedding"]) for r in rows.orderBy("ord").collect()]
+def _shape(rows: DataFrame) -> dict:
+    """How many rows there are, and how wide their vectors."""
+    n, whole, least, most = rows.agg(F.count(F.lit(1)), F.count("embedding"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    guards.require(n == whole, f"{n} references, {whole} vectors")
+    guards.require(least == most, f"reference vectors of another width: {least} and {most}")
+    return {"rows": n, "dim": most or 0}
 
 
 def write_artifact(folder: str, reference: DataFrame, threshold: float, aggregation: str, identity: dict, metrics: dict, comparison: dict, curve: DataFrame, provenance: dict) -> dict:
     """reference: (ord, name, position, view, embedding). Returns the document."""
-    reference.select("ord", "name", "embedding").coalesce(1).write.mode("overwrite").parquet(f"{folder}/reference")
-    rows = reference.orderBy("ord").collect()
-    vectors = [list(r["embedding"]) for r in rows]
-    names = {"fpr_overall": "fpr_all", "fpr_hard": "fpr_look_alike", "fpr_easy": "fpr_easy", "recall": "recall", "cutoff": "cutoff"}
-    document = {
-        "format_version": VERSION, "threshold": threshold, "aggregation": aggregation, "comparison": COMPARISON, "embedding": identity,
-        "reference": {"rows": len(rows), "dim": len(vectors[0]) if vectors else 0, "sha256": fingerprint(vectors), "images": [{"name": r["name"], "position": r["position"], "view": r["view"]} for r in rows]},
-        "metrics": metrics, "comparison_of_aggregations": comparison, "curve": [{names.get(k, k): v for k, v in r.asDict().items()} for r in curve.orderBy("cutoff").collect()],
-        "provenance": provenance,
-    }
     spark = reference.sparkSession
-    spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/document")
-    return document
+    names = {"fpr_overall": "fpr_all", "fpr_hard": "fpr_look_alike", "fpr_easy": "fpr_easy", "recall": "recall", "cutoff": "cutoff"}
+
+    def write(part: str) -> dict:
+        reference.select("ord", "name", "position", "view", "embedding").repartitionByRange("ord").sortWithinPartitions("ord").write.parquet(f"{part}/reference")
+        stored = spark.read.parquet(f"{part}/reference")
+        document = {
+            "format_version": VERSION, "threshold": threshold, "aggregation": aggregation, "comparison": COMPARISON, "embedding": identity,
+            "reference": _shape(stored) | {"sha256": fingerprint(stored)}, "metrics": metrics, "comparison_of_aggregations": comparison,
+            "curve": [{names.get(k, k): v for k, v in r.asDict().items()} for r in curve.orderBy("cutoff").collect()], "provenance": provenance,
+        }
+        spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(f"{part}/document")
+        return document
+
+    return published(spark, folder, write)
 
 
 def read_artifact(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
-    """The document and the reference rows (ord, name, embedding); every guard must hold."""
+    """The document and the reference rows (ord, name, position, view, embedding); every guard must hold."""
     document = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/document").collect()))
     guards.equal_version(document["format_version"], VERSION, "the artifact")
     guards.require(document["comparison"] == COMPARISON, f"unknown comparison {document['comparison']!r}")
-    rows = spark.read.parquet(f"{folder}/reference")
-    vectors, stored = _vectors(rows), document["reference"]
-    guards.require(len(vectors) == stored["rows"], f"{len(vectors)} reference vectors, the artifact says {stored['rows']}")
-    guards.require({len(v) for v in vectors} == {stored["dim"]}, "reference vectors of another width")
-    guards.require(fingerprint(vectors) == stored["sha256"], "the reference vectors were changed")
+    rows, stored = spark.read.parquet(f"{folder}/reference"), document["reference"]
+    found = _shape(rows)
+    guards.require(found["rows"] == stored["rows"], f"{found['rows']} reference vectors, the artifact says {stored['rows']}")
+    guards.require(found["dim"] == stored["dim"], "reference vectors of another width")
+    guards.require(fingerprint(rows) == stored["sha256"], "the reference vectors were changed")
     return document, rows
 
 
@@ -64,7 +67,7 @@ def find_artifacts(spark: SparkSession, folder: str) -> list[str]:
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
         return []
-    inside = [s.getPath() for s in files.listStatus(path) if s.isDirectory()]
+    inside = [s.getPath() for s in files.listStatus(path) if s.isDirectory() and not s.getPath().getName().startswith(".")]
     return sorted(str(p) for p in inside if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "document")))
 
 

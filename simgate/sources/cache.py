@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from simgate.functions.scalars import crop_slug, try_number
 from simgate.operators import guards
+from simgate.sources.shared import published
 
 IDENTITY = "format_version int, model_id string, embedding_dim int, normalized boolean, detect boolean, margin double, min_confidence double, row_count long"
 EMBEDDINGS = "row long, source_filename string, detect_used boolean, confidence double, x1 int, y1 int, x2 int, y2 int, area_fraction double, group string, embedding array<float>"
@@ -27,13 +28,22 @@ def variant_dir(root: str, model_id: str, detect: bool, margin: float | None) ->
 
 
 def write_cache(rows: DataFrame, folder: str, model_id: str, detect: bool, margin: float | None = None, min_confidence: float | None = None, normalized: bool = False) -> None:
-    """Write rows and then their identity; detector settings are null where no detector ran."""
-    rows.write.mode("overwrite").parquet(f"{folder}/embeddings")
+    """Write rows and their identity, both or neither; detector settings are null where no detector ran.
+
+    What the identity says of the rows is observed while they are written.
+    """
     spark = rows.sparkSession
-    n, low, high = spark.read.parquet(f"{folder}/embeddings").agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
-    guards.require(low == high, f"embeddings of differing width: {low} and {high}")
-    identity = Row(VERSION, model_id, high, normalized, detect, margin if detect else None, min_confidence if detect else None, n)
-    spark.createDataFrame([identity], IDENTITY).coalesce(1).write.mode("overwrite").json(f"{folder}/identity")
+
+    def write(part: str) -> None:
+        seen = Observation("cache")
+        size = F.size("embedding")
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).write.parquet(f"{part}/embeddings")
+        got = seen.get
+        guards.require(got["low"] == got["high"], f"embeddings of differing width: {got['low']} and {got['high']}")
+        identity = Row(VERSION, model_id, got["high"], normalized, detect, margin if detect else None, min_confidence if detect else None, got["n"])
+        spark.createDataFrame([identity], IDENTITY).coalesce(1).write.json(f"{part}/identity")
+
+    published(spark, folder, write)
 
 
 def read_identity(spark: SparkSession, folder: str) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,37 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder_of(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``kept`` gave, when everything that reads them is written itself."""
+    for table in tables:
+        for path in {p.rsplit("/", 1)[0] for p in table.inputFiles()}:
+            found = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def published(spark: SparkSession, folder: str, write: Callable[[str], object]) -> object:
+    """What ``write`` returns, which writes into a new hidden folder beside this one; it takes the folder's place when it is whole.
+
+    A run that stops before that leaves the folder as it was. What stood there is put aside first and deleted last, so
+    that for a moment there may be no folder, but never a half of the old and a half of the new one.
+    """
+    parent, _, name = folder.rstrip("/").rpartition("/")
+    mark = uuid.uuid4().hex
+    hidden = lambda what: f"{parent}/.{name}.{what}-{mark}" if parent else f".{name}.{what}-{mark}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place, new, old = path(folder.rstrip("/")), path(hidden("new")), path(hidden("old"))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = write(hidden("new"))
+        if files.exists(place):
+            require(files.rename(place, old), f"{folder} cannot be replaced")
+        if not files.rename(new, place):
+            if files.exists(old):
+                files.rename(old, place)
+            require(False, f"{folder} cannot be written")
+        files.delete(old, True)
+        return out
+    finally:
+        files.delete(new, True)

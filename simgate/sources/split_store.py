@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simgate.operators import guards
+from simgate.sources.shared import published
 
 VERSION = 2
 ROLES = "dataset string, role string, ord long, name string, group string"
@@ -21,11 +22,15 @@ def _groups(roles: DataFrame) -> dict:
 
 def write_split(roles: DataFrame, folder: str, identity: dict, parameters: dict) -> None:
     guards.disjoint(roles)
-    roles.select("dataset", "role", F.col("ord").cast("long").alias("ord"), "name", "group").write.mode("overwrite").parquet(f"{folder}/roles")
     spark = roles.sparkSession
-    stored = spark.read.parquet(f"{folder}/roles")
-    header = {"format_version": VERSION, "generated_at": datetime.now(UTC).isoformat(), "parameters": parameters, "identity": identity, "groups": _groups(stored)}
-    spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/header")
+
+    def write(part: str) -> None:
+        roles.select("dataset", "role", F.col("ord").cast("long").alias("ord"), "name", "group").write.parquet(f"{part}/roles")
+        stored = spark.read.schema(ROLES).parquet(f"{part}/roles")
+        header = {"format_version": VERSION, "generated_at": datetime.now(UTC).isoformat(), "parameters": parameters, "identity": identity, "groups": _groups(stored)}
+        spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.text(f"{part}/header")
+
+    published(spark, folder, write)
 
 
 def read_split(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:

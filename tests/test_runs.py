@@ -272,3 +272,58 @@ def test_only_sampled_pictures_are_read(spark, tmp_path):
     some = build.sampled(files.grouped_images(spark, str(tmp_path / "g")), per_group=2, seed=3)
     assert len(some.inputFiles()) == 6 and sorted(bytes(r.content).decode()[0] for r in some.collect()) == list("001122")
     assert build.sampled(images.where("false"), limit=3).collect() == [] and files.attribute_table(spark, str(tmp_path / "none.csv")) is None
+
+
+def test_fingerprint_is_the_tree_by_hand(spark, monkeypatch):
+    import hashlib
+
+    from simgate.sources import digests
+
+    monkeypatch.setattr(digests, "FAN", 8)
+    rows = [(i * 3 - 50, f"n{i}" if i % 7 else None, [float(i), -0.5, 1e-9] if i != 11 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "ord long, name string, embedding array<float>")
+    level = {}
+    for at, name, v in rows:
+        title = (name or "").encode()
+        level[at + 50] = hashlib.sha256(b"%d:%d:" % (at, len(title)) + title + (b"\0" if v is None else b"\1" + np.asarray(v, "<f4").tobytes())).hexdigest()
+    for _ in range(4):  # 8 ** 4 numbers are more than there are
+        nodes = {}
+        for at in sorted(level):
+            nodes.setdefault(at // 8, []).append(f"{at}={level[at]}")
+        level = {k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in nodes.items()}
+    assert digests.fingerprint(frame.repartition(7)) == digests.fingerprint(frame.coalesce(1)) == level[0]
+    assert digests.fingerprint(frame.where("ord <> 10")) != level[0] != digests.fingerprint(frame.withColumn("ord", F.col("ord") + 1))
+    with pytest.raises(guards.GuardError, match="apart"):
+        digests.fingerprint(frame.union(frame.limit(1)))
+    assert digests.fingerprint(frame.where("false")) == hashlib.sha256(b"").hexdigest()
+
+
+def test_writes_are_whole_or_not_at_all(spark, stored, tmp_path):
+    import shutil
+
+    from simgate.sources.shared import published
+
+    rows, identity = cache.read_cache(spark, f"{stored}/pos")
+    folder = str(tmp_path / "cache")
+    cache.write_cache(rows, folder, "m/one", True, 0.1, 0.25)
+    wrong = rows.withColumn("embedding", F.when(F.col("row") == 3, F.slice("embedding", 1, 2)).otherwise(F.col("embedding")))
+    with pytest.raises(guards.GuardError, match="width"):
+        cache.write_cache(wrong, folder, "m/two", True, 0.1, 0.25)
+    kept, again = cache.read_cache(spark, folder)
+    assert again == identity and kept.count() == 35 and [p.name for p in tmp_path.iterdir()] == ["cache"]
+    cache.write_cache(rows.limit(4), folder, "m/two", False)
+    assert cache.read_identity(spark, folder)["model_id"] == "m/two" and cache.read_cache(spark, folder)[0].count() == 4
+
+    def torn(part):
+        spark.range(3).write.parquet(f"{part}/reference")
+        raise OSError("lost")
+
+    shutil.copytree(f"{stored}/artifact", tmp_path / "a")
+    with pytest.raises(OSError):
+        published(spark, str(tmp_path / "a"), torn)
+    assert artifact.read_artifact(spark, str(tmp_path / "a"))[1].count() == 15
+    (part, *_) = glob.glob(f"{tmp_path}/a/reference/part-*")
+    spark.read.parquet(f"{stored}/artifact/reference").where("ord < 9").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "a/reference"))
+    with pytest.raises(guards.GuardError, match="the artifact says 15"):
+        artifact.read_artifact(spark, str(tmp_path / "a"))
+    assert artifact.find_artifacts(spark, str(tmp_path)) == [f"file:{tmp_path}/a"] and artifact.find_artifacts(spark, str(tmp_path / "none")) == []
