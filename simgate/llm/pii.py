@@ -2,8 +2,8 @@
 
 Entities (mail addresses, telephone numbers, payment cards, IP addresses, social security and account
 numbers, secrets after a keyword, keys of known form, logins in addresses of sites, names after a
-title) are found by one pattern. Each distinct entity, in a normal form without case and punctuation,
-gets a replacement from a keyed digest of it: digits for digits, letters for letters of the same
+title) are found by one pattern. Each distinct entity, in a normal form without case and punctuation (a
+name also by its gender, so that a woman and a man of one name are two), gets a replacement from a keyed digest of it: digits for digits, letters for letters of the same
 script, hexadecimal for hexadecimal, octets for octets, a check digit where the original has one, a
 name of the gender that the title tells. The same entity has the same replacement everywhere
 (coreference). Replacements that two entities share, or that are an entity of the corpus themselves,
@@ -13,8 +13,11 @@ mention stay.
 Titles and keywords are found in any case, and a keyword also behind other characters (client_secret,
 accessToken), which stay. A name is what has capitals behind a title, up to three words (where all is
 in capitals, that can take in a word after the name), or up to two words of a script without capitals,
-or Han characters before a Chinese title. A name of two words or more is also found without a title,
-in the documents that have it with one; single words and parts of names without a title are not.
+or Han characters before a Chinese title. A name of two words or more is also found without a title, in any
+case, in the documents that have it with one; single words and parts of names without a title are not. A name
+without a title, or with one that tells no gender, has the gender of its first mention in the document that tells
+one, else of the corpus (where that has both, female), else a given name of either kind. A password is also found
+behind "is" where it has a digit.
 
 Only rows with entities are joined; their text, equal ones once, moves by its digest.
 
@@ -26,6 +29,7 @@ texts are searched whole. The key has no default: whoever has it can test guesse
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,16 +44,18 @@ KEY_SETTING, DEMO_KEY = "spark.simgate.surrogate.key", "demonstration"
 #: What stands before a name (by gender) or behind it, before a secret, and how keys of known form begin.
 MALE_TITLES = "(?iu:Mr|Mister|Herr|Monsieur|Señor|Господин)"
 FEMALE_TITLES = "(?iu:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)"
+NEUTRAL_TITLES = "(?iu:Dr|Doctor|Doktor|Docteur|Prof|Professor|Professeur)"
 HAN_TITLES = "先生|女士|小姐"
 SECRET_WORDS = "(?i:token|secret|password|passwd|api_key|apikey|access_key)"
+IS = r"\s{1,2}(?i:is|ist|es|est)\s{1,2}"
 KEY_STARTS = "AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind and pattern, in order of preference at one place. No group captures. A secret's match begins
 #: with its keyword and a name's with its title; both stay.
 PATTERNS = {
-    "secret": rf"(?:{SECRET_WORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?(?=(?:\.?[A-Za-z0-9_/+=-]){{8}})[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]*(?:\.[A-Za-z0-9_/+=-]+)*",
-    "name": rf"(?:{MALE_TITLES}|{FEMALE_TITLES})\.?\s(?:\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}|\p{{IsHan}}{{2,4}}|[\p{{Lo}}\p{{M}}&&[^\p{{IsHan}}]]{{2,20}}(?: [\p{{Lo}}\p{{M}}&&[^\p{{IsHan}}]]{{2,20}})?)",
+    "secret": rf"(?:{SECRET_WORDS})(?:\s{{0,2}}[=:]\s{{0,2}}[\"']?|{IS}[\"']?(?=[A-Za-z_/+=-]*\d))(?=(?:\.?[A-Za-z0-9_/+=-]){{8}})[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]*(?:\.[A-Za-z0-9_/+=-]+)*",
+    "name": rf"(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.?\s(?:\p{{Lu}}[\p{{L}}'’-]+(?: (?!(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.?\s)\p{{Lu}}[\p{{L}}'’-]+){{0,2}}|\p{{IsHan}}{{2,4}}|[\p{{Lo}}\p{{M}}&&[^\p{{IsHan}}]]{{2,20}}(?: [\p{{Lo}}\p{{M}}&&[^\p{{IsHan}}]]{{2,20}})?)",
     "login": r"://[^\s:@/]{1,64}:[^\s@/]{1,128}@",
     "key": r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)(?![A-Za-z0-9_-])",
     "mail": r"[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -57,13 +63,13 @@ PATTERNS = {
     "ip6": r"(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d){7,12}(?!\d)|[2-9]\d{9}(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d){7,12}(?!\d)|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-])|[2-9]\d{9}(?!\d)",
     "account": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
 }
 #: Only secrets' keywords, logins and Han names begin inside of words or numbers, so most places are passed by their first test.
 INSIDE = rf"(?=[tspaTSPA]){PATTERNS['secret']}|(?=:){PATTERNS['login']}|\p{{IsHan}}{{2,3}}(?={HAN_TITLES})"
 ANY = rf"(?:{INSIDE}|(?<![\p{{L}}\p{{N}}._%+-])(?=[\p{{L}}\p{{N}}._%+(-])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in ("secret", "login")) + "))"
-BEFORE = rf"^(?:(?:{SECRET_WORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?|(?:{MALE_TITLES}|{FEMALE_TITLES})\.?\s|://|{KEY_STARTS})"
+BEFORE = rf"^(?:(?:{SECRET_WORDS})(?:\s{{0,2}}[=:]\s{{0,2}}|{IS})[\"']?|(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.?\s|://|{KEY_STARTS})"
 
 #: First letter and number of letters of scripts, by the name that patterns have for them.
 SCRIPTS = {
@@ -144,7 +150,8 @@ def drawn(kind: Column, plain: Column, gender: Column, attempt: Column, key: str
 
     def name(script: str) -> Column:
         family = F.initcap(F.array_join(F.transform(syllables, lambda i: at(NAMES[script]["family"], i + 4)), ""))
-        given = lambda i: F.when(F.col("gender") == "female", other_than(NAMES[script]["female"], i)).otherwise(other_than(NAMES[script]["male"], i))
+        female, male = NAMES[script]["female"], NAMES[script]["male"]
+        given = lambda i: F.when(F.col("gender") == "female", other_than(female, i)).when(F.col("gender") == "male", other_than(male, i)).otherwise(other_than(female + male, i))
         words = F.size(F.split("plain", " "))
         return F.when(words == 1, family).when(words == 2, F.concat_ws(" ", given(F.lit(0)), family)).otherwise(F.concat_ws(" ", given(F.lit(0)), given(F.lit(1)), family))
 
@@ -160,14 +167,15 @@ def with_replacement(rows: DataFrame, key: str) -> DataFrame:
 
 
 def dictionary(entities: DataFrame, key: str) -> DataFrame:
-    """A table of (kind, plain, replacement) and more, with distinct replacements, none of which is an entity itself."""
+    """A table of (kind, plain, gender, replacement) and more, with distinct replacements, none of which is an entity itself."""
     rows = written(with_replacement(entities.withColumn("attempt", F.lit(0)), key), "replacements")
     while True:
         same = F.lower("replacement").alias("form")
-        owners = rows.groupBy("kind", same).agg(F.min(F.struct("attempt", "plain")).alias("owner"))
+        one = F.struct("attempt", "plain", F.coalesce("gender", F.lit("")).alias("gender"))
+        owners = rows.groupBy("kind", same).agg(F.min(one).alias("owner"))
         real = entities.select("kind", F.lower("plain").alias("form")).distinct().withColumn("real", F.lit(True))
         judged = rows.withColumn("form", F.lower("replacement")).join(owners, ["kind", "form"]).join(real, ["kind", "form"], "left")
-        clash = (F.struct("attempt", "plain") != F.col("owner")) | F.col("real").isNotNull()
+        clash = (one != F.col("owner")) | F.col("real").isNotNull()
         judged = written(judged.select("kind", "plain", "gender", "attempt", "replacement", clash.alias("clash")), "judged")
         discard(rows)
         if judged.where("clash").isEmpty():
@@ -185,6 +193,16 @@ def in_form(kind: Column, form: Column, replacement: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn", "account"), filled).when(kind.isin("mail", "name"), cased).otherwise(replacement)
 
 
+def with_gender(told: DataFrame) -> DataFrame:
+    """Mentions with the gender of their entity; empty where nothing tells one."""
+    open_ = (F.col("kind") == "name") & F.col("gender").isNull()
+    titled = told.where((F.col("kind") == "name") & F.col("gender").isNotNull())
+    here = titled.groupBy("digest", "plain").agg(F.min_by("gender", "k").alias("here"))
+    anywhere = titled.groupBy("plain").agg(F.min("gender").alias("anywhere"))
+    found = told.where(open_).join(here, ["digest", "plain"], "left").join(anywhere, "plain", "left").withColumn("gender", F.coalesce("here", "anywhere", F.lit("")))
+    return told.where(~open_).withColumn("gender", F.coalesce("gender", F.lit(""))).unionByName(found.select(*told.columns))
+
+
 def surrogates(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """df with its text's entities replaced, and their number as the last column, n_entities; other columns stay."""
     own = [c for c in df.columns if c != text_col]
@@ -196,7 +214,7 @@ def surrogates(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     hits = scanned.where("found IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"), F.first("found").alias("found"))  # equal texts once
     titled = F.transform(F.filter("found", lambda m: m.rlike(f"^(?:{PATTERNS['name']})$")), lambda m: F.regexp_replace(m, BEFORE, ""))
     names = F.array_sort(F.array_distinct(F.filter(titled, lambda m: m.contains(" "))), lambda a, b: F.length(b) - F.length(a))
-    hits = hits.withColumn("names", names).withColumn("pattern", F.when(F.size("names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}\p{N}])"))))
+    hits = hits.withColumn("names", names).withColumn("pattern", F.when(F.size("names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?iu:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}\p{N}])"))))
     once = hits.where("pattern IS NULL").select("digest", "found", F.split("text", ANY).alias("gaps"))
     twice = hits.where("pattern IS NOT NULL").select("digest", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"), F.split("text", F.col("pattern")).alias("gaps"))
     hits = written(once.union(twice), "hits")
@@ -206,10 +224,12 @@ def surrogates(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mentions = mentions.withColumn("before", F.when(F.col("kind").isin("secret", "name", "login", "key"), F.col("before")).otherwise(""))
     mentions = mentions.withColumn("form", F.substr("mention", F.length("before") + 1)).withColumn("plain", normal(F.col("kind"), F.col("form")))
     gender = F.when(F.col("before").rlike(rf"^({FEMALE_TITLES})\.?\s$"), "female").when(F.col("before").rlike(rf"^({MALE_TITLES})\.?\s$"), "male")
-    mentions = written(mentions.select("digest", "k", "before", "form", "kind", "plain", gender.alias("gender")), "mentions")
-    entities = written(mentions.groupBy("kind", "plain").agg(F.max("gender").alias("gender")), "entities")
+    told = written(mentions.select("digest", "k", "before", "form", "kind", "plain", gender.alias("gender")), "told")
+    mentions = written(with_gender(told), "mentions")
+    discard(told)
+    entities = written(mentions.groupBy("kind", "plain", "gender").agg(F.count(F.lit(1)).alias("n")).drop("n"), "entities")
     chosen = dictionary(entities, key)
-    placed = mentions.join(chosen.select("kind", "plain", "replacement"), ["kind", "plain"]).withColumn("put", F.concat("before", in_form(F.col("kind"), F.col("form"), F.col("replacement"))))
+    placed = mentions.join(chosen.select("kind", "plain", "gender", "replacement"), ["kind", "plain", "gender"]).withColumn("put", F.concat("before", in_form(F.col("kind"), F.col("form"), F.col("replacement"))))
     lists = placed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("k", "put"))).alias("puts"))
     pieces = F.zip_with("gaps", F.transform("puts", lambda p: p["put"]), lambda gap, put: F.concat(gap, F.coalesce(put, F.lit(""))))
     changed = written(hits.join(lists, "digest").select("digest", F.array_join(pieces, "").alias("changed"), F.size("found").alias("n")), "changed")  # a table, so that the join can split common texts
@@ -222,8 +242,11 @@ def surrogates(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key that the session sets; a demonstration key where it sets none."""
-    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+    """The key that the session sets; where it sets none a demonstration key, with a warning: whoever reads this file has it too."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are drawn with the demonstration key", stacklevel=2)
+    return key or DEMO_KEY
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
