@@ -9,7 +9,7 @@ writer adds page indexes, so a reader of a few documents or of the lengths alone
 one place, a row for each file.
 
 Defined results: a null or empty text has the end id alone; rows with a null id come first, in text
-order, as do repeated ids among themselves; long texts are encoded whole; extra columns are
+order (a null text before all), over all files, as do repeated ids among themselves; long texts are encoded whole; extra columns are
 dropped; an empty table gives files without rows.
 """
 
@@ -33,6 +33,8 @@ from simgate.llm.tables import byte_slices, documents
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
+#: Characters by which texts of one id are dealt to ranges.
+RANGED = 64
 
 
 def normalized(text: str) -> str:
@@ -110,7 +112,8 @@ def write_ids(
 ) -> None:
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = ranges or picked.rdd.getNumPartitions()  # as many as the input's own, so it follows its size
-    dealt = picked.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # texts are ranged by their beginning, so that what is sampled of them stays small; equal beginnings share a range
+    dealt = picked.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGED).asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     out = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
