@@ -169,6 +169,14 @@ def test_token_files(spark, tmp_path, delta):
     assert column.has_offset_index and column.has_column_index
     none = str(tmp_path / "none")
     token_files.write_ids(empty(spark), none, ranges=2)
+    # rows without an id, and rows of one id, stand in the order of their texts over all files
+    texts = [None, "", *(prose(6, s) for s in range(300)), *("same beginning " * 8 + prose(2, s) for s in range(60)), "same beginning " * 8]
+    odd = str(tmp_path / "odd")
+    token_files.write_ids(frame(spark, texts, [None if i % 3 else 7 for i in range(len(texts))]), odd, delta=delta, ranges=5)
+    rows = sorted(token_files.starts(spark, odd).collect(), key=lambda r: r.start)
+    want = sorted((i % 3 == 0, t is not None, (t or "").encode()) for i, t in enumerate(texts))
+    crcs = [zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) for ids in ([*library.encode(t.decode(), add_special_tokens=False).ids, 1] for *_, t in want)]
+    assert [r.ids_crc32 for r in rows] == crcs and [r.doc_id for r in rows] == [7 if known else None for known, *_ in want]
     assert token_files.starts(spark, none).count() == 0
 
 
@@ -321,8 +329,55 @@ def test_surrogates_of_scripts_keys_and_later_mentions(spark):
         before, after = texts[i].split(gone)
         assert got[i].n_entities == 1 and gone not in got[i].text and got[i].text.startswith(before) and got[i].text.endswith(after), (t, got[i].text)
         assert regex.fullmatch(form, got[i].text[len(before) : len(got[i].text) - len(after)]), (t, got[i].text)
-    first, second = regex.fullmatch(r"We met Mr. (\w+ \w+), and (\w+ \w+) spoke. JOSÉ NÚÑEZ no.", got[len(planted)].text).groups()
-    assert first == second != "José Núñez" and got[len(planted)].n_entities == 2 and got[len(planted) + 1].text == texts[-1]
+    first, second, third = regex.fullmatch(r"We met Mr. (\w+ \w+), and (\w+ \w+) spoke. (\w+ \w+) no.", got[len(planted)].text).groups()
+    assert first == second != "José Núñez" and third == first.upper() and got[len(planted)].n_entities == 3 and got[len(planted) + 1].text == texts[-1]
+
+
+def test_surrogates_keep_the_gender_of_each_mention(spark):
+    texts = [
+        "Ms. Alex Kim came, Mr. Alex Kim left. Alex Kim stayed.", "Mr. Alex Kim, then Alex Kim and ALEX KIM", "Dr. Alex Kim", "Dr. Maria Lopez and Prof. Wei Chen", "Herr Wei Chen",
+        "Mr. Ann Lee Dr. Bo Chang", "my password is hunter2secret now", "the password is required here", "call 020 7946 0958 or 0123-456-7890", "the token is abcdefghijk",
+    ]
+    got = by_id(pii.surrogates(frame(spark, texts), "k"))
+    female, male = pii.NAMES["latin"]["female"], pii.NAMES["latin"]["male"]
+    w = got[0].text.replace(",", "").replace(".", "").split()
+    assert w[1] in female and w[5] in male and w[8:10] == w[1:3] and "Alex" not in got[0].text  # the first that tells
+    w = got[1].text.replace(",", "").split()
+    assert w[1] in male and w[4:6] == w[1:3] and w[7:] == [x.upper() for x in w[1:3]] and w[2] in got[0].text
+    assert got[2].text.split()[1] in female and "Lopez" not in got[3].text and "Chen" not in got[3].text  # of both genders in the corpus female
+    assert got[3].text.split()[-2] in male
+    assert got[3].text.split()[-2:] == got[4].text.split()[-2:]  # one Wei Chen
+    assert got[5].n_entities == 2 and got[5].text.split()[3] == "Dr." and not [x for x in ("Ann", "Lee", "Bo", "Chang") if x in got[5].text.split()]
+    assert [got[i].n_entities for i in range(6, 10)] == [1, 0, 2, 0] and "hunter2secret" not in got[6].text and got[6].text.startswith("my password is ") and got[6].text.endswith(" now")
+    assert got[8].text[5] == "0" and got[8].text[5:18].count(" ") == 2 and "7946" not in got[8].text
+
+
+def brute_later_mentions(text, names):
+    """Which names (of two words and more) stand anywhere in the text, in any case, as whole words."""
+    import regex
+
+    return [n for n in names if regex.search(rf"(?iu)(?<![\p{{L}}\p{{N}}]){regex.escape(n)}(?![\p{{L}}\p{{N}}])", text)]
+
+
+def test_surrogates_of_planted_people(spark):
+    """Every planted name goes, in any form and case; other words stay, one for one."""
+    r = random.Random(8)
+    first, last = ["Robin", "Sascha", "Kim", "Noa"], ["Okafor", "Lindqvist", "Moreau", "Tanaka", "Ibáñez"]
+    texts, planted = [], []
+    for i in range(120):
+        own = [f"{r.choice(first)} {r.choice(last)}" for _ in range(r.randint(1, 3))]
+        words = prose(40, 900 + i).split()
+        for n in own:  # lower-case words around them, as a third word with a capital would belong to a name
+            for form in ([r.choice(["Mr.", "Ms", "Frau", "Dr.", "Prof.", "señora"]), *n.split()], r.choice([n, n.upper(), n.lower()]).split()):
+                k = r.randrange(len(words))
+                words[k:k] = [" ".join(["and", *form, "or"])]
+        texts.append(" ".join(words))
+        planted.append(own)
+    got = by_id(pii.surrogates(frame(spark, texts), "k"))
+    clean = set(" ".join(prose(40, 900 + i) for i in range(120)).split())
+    for i, own in enumerate(planted):
+        assert not brute_later_mentions(got[i].text, own), (texts[i], got[i].text)
+        assert [w for w in got[i].text.split() if w in clean] == [w for w in texts[i].split() if w in clean]
 
 
 def test_surrogates_keep_columns_and_long_texts(spark):
