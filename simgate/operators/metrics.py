@@ -70,38 +70,65 @@ def sweep_grid(scored: DataFrame, step: float) -> DataFrame:
     return bounds.select(F.explode(ks).alias("k")).select(F.round(F.col("k") * F.lit(step), 10).alias("cutoff"))
 
 
-def bucketed(scored: DataFrame, cutoffs: DataFrame, by: list[Column]) -> DataFrame:
-    """Counts of scores by how many cutoffs they reach; ``by`` names further columns.
+#: Halvings of a search in a grid: it may have two to this power cutoffs.
+HALVINGS = 24
+
+
+def reached(cutoffs: Column, score: Column) -> Column:
+    """How many of the sorted cutoffs a score reaches, by halving the grid; NaN reaches none."""
+    step = lambda at, half: F.when((at + half <= F.size(cutoffs)) & (F.get(cutoffs, at + half - 1) <= score), at + half).otherwise(at)
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(HALVINGS))))
+    found = F.aggregate(F.filter(halves, lambda h: h <= F.size(cutoffs)), F.lit(0), step)
+    return F.when(F.isnan(score) | score.isNull(), 0).otherwise(found)
+
+
+def bucketed(scored: DataFrame, cutoffs: DataFrame, hard: list[str]) -> DataFrame:
+    """kind, is_hard, group, reached, n and the highest score of the scores that reach so many cutoffs: what all curves are made of, in one aggregation.
 
     The grid is packed into one broadcast row, so a score meets it once and no row is multiplied.
     """
     packed = cutoffs.agg(F.array_sort(F.collect_list("cutoff")).alias("cutoffs"))
-    reach = F.when(F.isnan("score"), 0).otherwise(F.size(F.filter("cutoffs", lambda c: F.col("score") >= c)))
-    return scored.crossJoin(F.broadcast(packed)).groupBy(*by, reach.alias("reached")).agg(F.count(F.lit(1)).alias("n"))
+    by = [F.col("kind"), is_hard(F.col("group"), hard).alias("is_hard"), group_or_unknown(F.col("group")).alias("group")]
+    counted = scored.crossJoin(F.broadcast(packed)).groupBy(*by, reached(F.col("cutoffs"), F.col("score")).alias("reached"))
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("max_score"))
+
+
+def _numbered(cutoffs: DataFrame) -> DataFrame:
+    return cutoffs.withColumn("place", F.row_number().over(Window.orderBy("cutoff")))  # a row for each cutoff
+
+
+def curve(buckets: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """cutoff, fpr_overall, fpr_hard, fpr_easy and recall at every cutoff, from ``bucketed``."""
+    neg = F.col("kind") == NEGATIVE
+    parts = {"positive": F.col("kind") == POSITIVE, "hard": neg & F.col("is_hard"), "easy": neg & ~F.col("is_hard")}
+    sums = [F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).alias(name) for name, where in parts.items()]
+    each = buckets.groupBy(F.col("reached").alias("place")).agg(*sums)  # a row for each cutoff, and one for none
+    totals = buckets.agg(*(s.alias(f"all_{n}") for s, n in zip(sums, parts, strict=True)))
+    upto = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = _numbered(cutoffs).join(each, "place", "left").withColumns({n: F.sum(F.coalesce(n, F.lit(0))).over(upto) for n in parts})
+    share = lambda *own: rounded(F.try_divide(sum(F.col(n) for n in own), sum(F.col(f"all_{n}") for n in own)))
+    rates = {"fpr_overall": share("hard", "easy"), "fpr_hard": share("hard"), "fpr_easy": share("easy"), "recall": share("positive")}
+    return passed.crossJoin(F.broadcast(totals)).select(rounded(F.col("cutoff")).alias("cutoff"), *(c.alias(n) for n, c in rates.items()))
+
+
+def group_curves(buckets: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """group, cutoff, fpr, max_score of negatives, from ``bucketed``; groups are ordered by their highest score when shown."""
+    each = buckets.where(F.col("kind") == NEGATIVE).groupBy("group", F.col("reached").alias("place")).agg(F.sum("n").alias("n"), F.max("max_score").alias("max_score"))
+    groups = each.groupBy("group").agg(F.sum("n").alias("total"), F.max("max_score").alias("max_score"))
+    rows = groups.crossJoin(F.broadcast(_numbered(cutoffs))).join(each.drop("max_score"), ["group", "place"], "left")  # as many as come out
+    upto = Window.partitionBy("group").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fpr = F.sum(F.coalesce("n", F.lit(0))).over(upto) / F.col("total")
+    return rows.select("group", rounded(F.col("cutoff")).alias("cutoff"), rounded(fpr).alias("fpr"), rounded(F.col("max_score")).alias("max_score"))
 
 
 def sweep(scored: DataFrame, cutoffs: DataFrame, hard: list[str]) -> DataFrame:
     """cutoff, fpr_overall, fpr_hard, fpr_easy and recall at every cutoff."""
-    part = F.when(F.col("kind") == POSITIVE, "positive").when(is_hard(F.col("group"), hard), "hard").otherwise("easy")
-    counts = bucketed(scored, cutoffs, [part.alias("part")])
-    numbered = cutoffs.withColumn("place", F.row_number().over(Window.orderBy("cutoff")))  # a row for each cutoff
-    at = numbered.join(F.broadcast(counts.agg(F.collect_list(F.struct("part", "reached", "n")).alias("all"))))  # a row for each bucket and part
-    total = lambda parts, reached: F.aggregate(
-        F.filter("all", lambda x: x["part"].isin(parts) & ((x["reached"] >= F.col("place")) if reached else F.lit(True))), F.lit(0).cast("long"), lambda a, x: a + x["n"]
-    )
-    share = lambda *parts: rounded(F.try_divide(total(list(parts), True), total(list(parts), False)))
-    return at.select(rounded(F.col("cutoff")).alias("cutoff"), share("hard", "easy").alias("fpr_overall"), share("hard").alias("fpr_hard"), share("easy").alias("fpr_easy"), share("positive").alias("recall"))
+    return curve(bucketed(scored, cutoffs, hard), cutoffs)
 
 
 def group_sweep(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """group, cutoff, fpr, max_score of negatives; groups are ordered by their highest score when shown."""
-    neg = scored.where(F.col("kind") == NEGATIVE).withColumn("group", group_or_unknown(F.col("group")))
-    counts = bucketed(neg, cutoffs, [F.col("group")])
-    top = neg.groupBy("group").agg(F.max("score").alias("max_score"), F.count(F.lit(1)).alias("total"))
-    numbered = cutoffs.withColumn("place", F.row_number().over(Window.orderBy("cutoff")))
-    lists = counts.groupBy("group").agg(F.collect_list(F.struct("reached", "n")).alias("all")).join(top, "group")  # at most a bucket for each cutoff
-    reached = F.aggregate(F.filter("all", lambda x: x["reached"] >= F.col("place")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return lists.crossJoin(F.broadcast(numbered)).select("group", rounded(F.col("cutoff")).alias("cutoff"), rounded(reached / F.col("total")).alias("fpr"), rounded(F.col("max_score")).alias("max_score"))
+    """group, cutoff, fpr, max_score of negatives."""
+    return group_curves(bucketed(scored.where(F.col("kind") == NEGATIVE), cutoffs, []), cutoffs)
 
 
 def group_table(scored: DataFrame, threshold: float | Column) -> DataFrame:
@@ -181,6 +208,32 @@ def page(rows: DataFrame, number: int, size: int, *order: Column | str) -> DataF
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
+def _after(order: list[str], last: tuple) -> Column:
+    """Whether a row comes behind the key ``last`` in rising order of the columns, nulls first."""
+    behind, same = F.lit(False), F.lit(True)
+    for name, value in zip(order, last, strict=True):
+        c = F.col(name)
+        behind = behind | (same & (c.isNotNull() if value is None else F.coalesce(c > F.lit(value), F.lit(False))))
+        same = same & c.eqNullSafe(F.lit(value))
+    return behind
+
+
+def page_after(rows: DataFrame, last: tuple | None, size: int, *order: str) -> DataFrame:
+    """The ``size`` rows behind the key of a page's last row (None: the first page), in rising order of columns that tell rows apart.
+
+    Whatever the page, a task keeps ``size`` rows of those behind the key; nothing before it is sorted.
+    """
+    require(size > 0, f"a page needs rows, not {size}")
+    found = rows if last is None else rows.where(_after(list(order), last))
+    return found.orderBy(*order).limit(size)
+
+
+def last_key(page_: DataFrame, *order: str) -> tuple | None:
+    """The key of a page's last row, None for an empty page."""
+    row = page_.agg(F.max(F.struct(*order)).alias("key")).first()["key"]
+    return None if row is None else tuple(row)
+
+
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """metric, calibration, test and their difference, from two one-row frames of the same columns."""
     def tall(df: DataFrame, name: str) -> DataFrame:

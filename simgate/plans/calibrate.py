@@ -95,7 +95,8 @@ def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, i
     scored = kept(score_roles(roles, positives, negatives, "setup"), "scored")
     rows = scoring.chosen(scored, settings.aggregation)
     out = {"roles": roles, "scored": rows, "grid": metrics.sweep_grid(rows, settings.step)}
-    out["sweep"] = metrics.sweep(rows, out["grid"], settings.hard)
+    buckets = kept(metrics.bucketed(rows, out["grid"], settings.hard), "buckets")  # counted once for both curves
+    out |= {"sweep": metrics.curve(buckets, out["grid"]), "group_sweep": metrics.group_curves(buckets, out["grid"])}
     if settings.policy is None:
         return out
     heads = {}

@@ -296,6 +296,15 @@ def page_of_misses(spark: SparkSession, d: str) -> DataFrame:
     return metrics.page(catalog_misses(spark, d), 1, 24, "source", "doc_id")
 
 
+@query
+def page_after_key(spark: SparkSession, d: str) -> DataFrame:
+    """The third page, each page found behind the last key of the one before."""
+    rows, key = kept(catalog_misses(spark, d), "misses"), None
+    for _ in range(2):
+        key = metrics.last_key(metrics.page_after(rows, key, 24, "source", "doc_id"), "source", "doc_id")
+    return metrics.page_after(rows, key, 24, "source", "doc_id")
+
+
 @query
 def crop_geometry(spark: SparkSession, d: str) -> DataFrame:
     part = inputs.read(spark, d, "part").selectExpr("p_partkey", "cast(p_partkey % 90 as int) x1", "cast(p_partkey % 70 as int) y1", "cast(p_partkey % 90 + p_size as int) x2", "cast(p_partkey % 70 + 2 * p_size as int) y2")

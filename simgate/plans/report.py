@@ -68,7 +68,7 @@ def calibration_sections(run: dict, hard: list[str]) -> list[tuple[str, list[dic
         ("Hard and easy groups", rows_of(metrics.hard_easy_stats(scored, hard).orderBy(F.desc("is_hard"))), ""),
         ("Groups", rows_of(metrics.group_stats(scored).orderBy(F.desc("max"), "group")), ""),
         ("Sweep", rows_of(run["sweep"].orderBy("cutoff")), ""),
-        ("Sweep by group", rows_of(metrics.group_sweep(scored, run["grid"]).orderBy(F.desc("max_score"), "group", "cutoff")), ""),
+        ("Sweep by group", rows_of(run["group_sweep"].orderBy(F.desc("max_score"), "group", "cutoff")), ""),
     ]
     if "choice" in run:
         out.append(("Choice", [run["choice"]], ""))

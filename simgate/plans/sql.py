@@ -132,6 +132,7 @@ FROM s""",
     "attribute_left_join": "SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
     "pose_lookup": BASE + "SELECT name, best_match, coalesce(p_brand, '') AS position, coalesce(p_type, '') AS view FROM scored LEFT JOIN part ON p_partkey * 2 = best_match",
     "page_of_misses": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY source, doc_id LIMIT 24 OFFSET 24",
+    "page_after_key": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY source, doc_id LIMIT 24 OFFSET 48",
     "crop_geometry": """
 WITH b AS (SELECT p_partkey, CAST(p_partkey % 90 AS INTEGER) AS x1, CAST(p_partkey % 70 AS INTEGER) AS y1, CAST(p_partkey % 90 + p_size AS INTEGER) AS x2, CAST(p_partkey % 70 + 2 * p_size AS INTEGER) AS y2 FROM part)
 SELECT p_partkey, greatest(0, x1 - CAST(round_even((x2 - x1) * 0.1, 0) AS INTEGER)) AS "left", greatest(0, y1 - CAST(round_even((y2 - y1) * 0.1, 0) AS INTEGER)) AS top,

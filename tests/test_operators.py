@@ -320,6 +320,40 @@ def test_places_by_ranges(spark):
         assert [p for _, p in own] == list(range(1, len(own) + 1)) and {r.n for r in within if r.g == g} == {len(own)}
 
 
+def test_scores_find_their_place_in_the_grid(spark):
+    cutoffs = [round(k * 0.1, 10) for k in range(-3, 8)]
+    grid = spark.createDataFrame([(c,) for c in cutoffs], "cutoff double")
+    scores = [-9.0, -0.3, -0.25, 0.0, 0.1, 0.30000000000000004, 0.3, 0.69, 0.7, 5.0, NAN]
+    got = metrics.bucketed(scored(spark, scores, [(s, "g") for s in scores[:4]]), grid, ["g"]).collect()
+    want = {}
+    for kind, own in (("positive", scores), ("negative", scores[:4])):
+        for s in own:
+            k = kind, sum(s >= c for c in cutoffs)
+            want[k] = want.get(k, 0) + 1
+    assert {(r.kind, r.reached): r.n for r in got} == want and {r.is_hard for r in got if r.kind == "negative"} == {True}
+    one_cut = metrics.bucketed(scored(spark, scores, []), grid.limit(1), []).collect()
+    assert {r.reached: r.n for r in one_cut} == {0: 2, 1: 9}
+    assert metrics.sweep(scored(spark, scores, []), grid.where("false"), []).collect() == []
+
+
+def test_pages_behind_keys(spark):
+    rows = [(s, i) for i, s in enumerate([None, "a", "b", "a", None, "", "c", "b", "a", "c", None])]
+    df = spark.createDataFrame(rows, "s string, i int").repartition(3)
+    want = [(r.s, r.i) for r in df.orderBy("s", "i").collect()]
+    got, key = [], None
+    while True:
+        page = metrics.page_after(df, key, 3, "s", "i")
+        assert "TakeOrderedAndProject" in page._jdf.queryExecution().executedPlan().toString()
+        own = [(r.s, r.i) for r in page.collect()]
+        if not own:
+            break
+        got += own
+        key = metrics.last_key(page, "s", "i")
+        assert key == own[-1]
+    assert got == want and metrics.last_key(page, "s", "i") is None
+    assert [(r.s, r.i) for r in metrics.page(df, 1, 3, "s", "i").collect()] == want[3:6]
+
+
 def test_external_hard_groups(spark):
     from simgate.plans import calibrate
 
