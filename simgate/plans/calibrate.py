@@ -149,7 +149,7 @@ def evaluate(spark: SparkSession, artifact_dir: str, split_dir: str, positives:
     rates = metrics.fixed_rates(rows, threshold, hard)
     before = spark.createDataFrame([{k: document["metrics"][k] for k in ("fpr_overall", "fpr_hard", "recall")}], "fpr_overall double, fpr_hard double, recall double")
     out = {
-        "document": document, "scored": rows, "confusion": metrics.confusion(rows, threshold), "rates": rates, "groups": metrics.group_table(rows, threshold).orderBy(*metrics.group_table_order()),
+        "document": document, "roles": roles, "parameters": header["parameters"], "scored": rows, "confusion": metrics.confusion(rows, threshold), "rates": rates, "groups": metrics.group_table(rows, threshold).orderBy(*metrics.group_table_order()),
         "false_positives": metrics.errors(rows, threshold, NEGATIVE), "false_negatives": metrics.errors(rows, threshold, POSITIVE), "export": metrics.export(rows, threshold),
     }
     if external is None:

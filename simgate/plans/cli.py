@@ -42,7 +42,11 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--model", help="the model that both caches must be made with")
         own.add_argument("--no-detect", action="store_true")
         own.add_argument("--margin", type=float)
-        own.add_argument("--figures", help="folder or address of the pictures, for the HTML report")
+        own.add_argument("--figures", help="folder or address of the negatives' pictures, for the HTML report")
+        own.add_argument("--positive-figures", help="that of the positives and references; else the same")
+        own.add_argument("--nested-figures", action="store_true", help="pictures lie in a folder for each group")
+        own.add_argument("--artifacts", help="folder of artifacts: without --artifact, a new one is named in it, or the last by name is taken")
+        own.add_argument("--reports", help="folder in which the HTML report gets a name of its own")
     c.add_argument("--sweep-step", type=float, default=runs.SWEEP_STEP)
     b, d = commands.add_parser("build"), commands.add_parser("detect")
     for own in (b, d):
@@ -96,6 +100,22 @@ def requested(args: argparse.Namespace, identity: dict) -> dict:
     return asked
 
 
+def chosen_artifact(spark: SparkSession, args: argparse.Namespace) -> str | None:
+    """The artifact that an evaluation reads: the one named, else the last by name in the folder of artifacts."""
+    if args.artifact or not args.artifacts:
+        return args.artifact
+    found = runs.artifacts.find_artifacts(spark, args.artifacts)
+    guards.require(bool(found), f"there is no artifact in {args.artifacts}; calibrate first")
+    return found[-1]
+
+
+def new_artifact(args: argparse.Namespace, own: runs.Settings, identity: dict) -> str | None:
+    """Where a calibration freezes its choice: as named, else under a name of its own in the folder of artifacts."""
+    if args.artifact or not args.artifacts or own.policy is None:
+        return args.artifact
+    return f"{args.artifacts.rstrip('/')}/{runs.artifacts.default_name('calibration', vars(own), identity, own.policy)}"
+
+
 def _named(rows):
     return rows.withColumn("name", F.col("source_filename"))
 
@@ -163,17 +183,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 roles = runs.make_split(named, negatives.select("name", "group"), own)
                 runs.split_store.write_split(roles, args.split, identity, vars(own))
                 return 0
-            run = runs.calibrate(spark, positives, negatives, identity, own, args.split, args.artifact, poses=records, replay=args.replay, records=records)
-            header, sections, rows = f"Calibration, seed {own.seed}, {own.aggregation}", report.calibration_sections(run, own.hard), run["scored"]
+            run = runs.calibrate(spark, positives, negatives, identity, own, args.split, new_artifact(args, own, identity), poses=records, replay=args.replay, records=records)
+            header, sections, rows = f"Calibration, seed {own.seed}, {own.aggregation}", report.calibration_sections(run, own.hard, args.nested_figures), run["scored"]
+            drawn, kind, rest = vars(own), "report", (own.aggregation,)
         else:
-            guards.require(bool(args.artifact and args.split), "an evaluation needs an artifact and its split")
+            frozen = chosen_artifact(spark, args)
+            guards.require(bool(frozen and args.split), "an evaluation needs an artifact and its split")
             external = negatives if args.external else None
-            run = runs.evaluate(spark, args.artifact, args.split, positives, negatives, identity, external, args.single_group, args.hard)
-            header, sections, rows = f"Evaluation at {run['document']['threshold']}", report.evaluation_sections(run), run["export"]
+            run = runs.evaluate(spark, frozen, args.split, positives, negatives, identity, external, args.single_group, args.hard)
+            header, sections, rows = f"Evaluation at {run['document']['threshold']}", report.evaluation_sections(run, args.nested_figures), run["export"]
+            drawn, kind, rest = run["parameters"], "external" if args.external else "evaluation", (run["document"]["aggregation"],)
         print(report.as_text(header, sections))
-        if args.html:
-            with open(args.html, "w", encoding="utf-8") as f:
-                f.write(report.as_html(header, sections, args.figures))
+        page = args.html
+        if not page and args.reports:
+            page = f"{args.reports.rstrip('/')}/{runs.artifacts.default_name(kind, drawn, identity, *rest)}.html"
+        if page:
+            folders = report.Folders(args.figures, args.positive_figures or args.figures, page) if args.figures else None
+            files.write_text(spark, page, report.as_html(header, sections, folders, run["roles"].where("role = 'reference'").select("ord", "name")))
         if args.scores_out:
             columns = ["role", F.col("name").alias("source_filename"), F.format_string("%.6f", "score").alias("score"), *(["verdict"] if "verdict" in rows.columns else []), "best_match", "group"]
             rows.select(*columns).write.mode("overwrite").csv(args.scores_out, header=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import math
+import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,10 @@ from pyspark.sql import functions as F
 from simgate.operators import metrics
 from simgate.operators.metrics import NEGATIVE, POSITIVE
 
-FIGURES = 20
+#: Pictures of candidates in a list, and of references.
+FIGURES, REFERENCES = 20, 2_000
+#: What places a picture and isn't shown in a table.
+HIDDEN = ("kind", "picture")
 
 
 def shown(value: object) -> str:
@@ -48,18 +53,55 @@ def html_table(title: str, rows: list[dict], note: str = "") -> str:
     return f"<h2>{html.escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>" + (f"<p>{html.escape(note)}</p>" if note else "")
 
 
-def figure(name: str, score: float, caption: str, folder: str) -> str:
-    src = html.escape(f"{folder.rstrip('/')}/{name}", quote=True)
-    return f'<figure><img src="{src}" alt="{html.escape(name, quote=True)}"><figcaption>{html.escape(caption)} {shown(score)}</figcaption></figure>'
+def located(rows: DataFrame, nested: bool = False) -> DataFrame:
+    """Rows with ``picture``, where the picture of a name lies below its folder: in the folder of its group, where pictures are nested."""
+    path = F.concat_ws("/", F.nullif(F.col("group").cast("string"), F.lit("")), F.col("name").cast("string")) if nested else F.col("name").cast("string")
+    return rows.withColumn("picture", path)
 
 
-def figures(rows: list[dict], total: int, folder: str) -> str:
-    """At most FIGURES pictures, and how many more there are."""
-    out = "".join(figure(str(r["name"]), r["score"], f"{r['name']} ({r.get('group') or 'positive'}), nearest {r['best_match']}", folder) for r in rows[:FIGURES])
-    return out + (f"<p>+{total - FIGURES} more</p>" if total > FIGURES else "")
+def source_of(folder: str, picture: str, page: str | None = None) -> str:
+    """The address of a picture in a report: as given, or relative to the report's own folder where both are paths, so that they can move together."""
+    if page is not None and "://" not in folder and "://" not in page:
+        folder = os.path.relpath(folder, os.path.dirname(page) or ".").replace(os.sep, "/")
+    return f"{folder.rstrip('/')}/{picture}"
 
 
-def calibration_sections(run: dict, hard: list[str]) -> list[tuple[str, list[dict], str]]:
+def figure(name: str, picture: str, folder: str, page: str | None = None) -> str:
+    """A picture with its name as caption and in place of it; the name alone, however deep the picture lies."""
+    label = html.escape(name, quote=True)
+    return f'<figure><img src="{html.escape(source_of(folder, picture, page), quote=True)}" alt="{label}"><figcaption>{label}</figcaption></figure>'
+
+
+@dataclass
+class Folders:
+    """Where pictures lie: those of candidates of each kind, those of references, and the report itself."""
+
+    negatives: str
+    positives: str
+    page: str | None = None
+
+
+def pairs(rows: list[dict], folders: Folders) -> str:
+    """Listed candidates, each beside its best match: FIGURES of them at most, and how many more there are."""
+    out = []
+    for r in rows[:FIGURES]:
+        kind = "" if r.get("group") is None else f" ({r['group']})"
+        line = f"{shown(r['score'])} {r['name']}{kind}, nearest {r['best_match']}"
+        own = folders.positives if r.get("kind") == POSITIVE else folders.negatives
+        both = figure(str(r["name"]), str(r.get("picture") or r["name"]), own, folders.page) + figure(str(r["best_match"]), str(r["best_match"]), folders.positives, folders.page)
+        out.append(f"<li><p>{html.escape(line)}</p>{both}</li>")
+    return "<ol>" + "".join(out) + "</ol>" + (f"<p>+{len(rows) - FIGURES} more not shown</p>" if len(rows) > FIGURES else "")
+
+
+def references(names: DataFrame, folders: Folders) -> str:
+    """The reference set (name, ord) in pictures, in its order; REFERENCES of them at most, and how many more there are."""
+    n = names.count()
+    first = [str(r["name"]) for r in names.orderBy("ord").limit(REFERENCES).collect()]
+    more = f"<p>+{n - REFERENCES} more not shown</p>" if n > REFERENCES else ""
+    return f"<h2>Reference set</h2><p>{n} references</p>" + "".join(figure(name, name, folders.positives, folders.page) for name in first) + more
+
+
+def calibration_sections(run: dict, hard: list[str], nested: bool = False) -> list[tuple[str, list[dict], str]]:
     """(title, rows, note) of each section, in order."""
     scored = run["scored"]
     out = [
@@ -72,12 +114,12 @@ def calibration_sections(run: dict, hard: list[str]) -> list[tuple[str, list[dic
     ]
     if "choice" in run:
         out.append(("Choice", [run["choice"]], ""))
-    listed = lambda kind: rows_of(metrics.risks(scored, kind).select("name", "score", "best_match", "group"))
+    listed = lambda kind: rows_of(located(metrics.risks(scored, kind), nested).select("name", "score", "best_match", "group", "kind", "picture"))
     return [*out, ("Closest negatives", listed(NEGATIVE), ""), ("Farthest positives", listed(POSITIVE), "")]
 
 
-def evaluation_sections(run: dict) -> list[tuple[str, list[dict], str]]:
-    cells = lambda df: rows_of(df.select("name", "score", "best_match", "group"))
+def evaluation_sections(run: dict, nested: bool = False) -> list[tuple[str, list[dict], str]]:
+    cells = lambda df: rows_of(located(df, nested).select("name", "score", "best_match", "group", "kind", "picture"))
     out = [("Confusion", rows_of(run["confusion"]), ""), ("Rates", rows_of(run["rates"]), "")]
     if "single_group" in run:
         out.append(("Single group", rows_of(run["single_group"]), ""))
@@ -88,13 +130,17 @@ def evaluation_sections(run: dict) -> list[tuple[str, list[dict], str]]:
 
 
 def as_text(header: str, sections: list[tuple[str, list[dict], str]]) -> str:
-    return "\n".join([header, "=" * len(header), "", *(text_table(*s) for s in sections)])
+    plain = [(title, [{k: v for k, v in r.items() if k not in HIDDEN} for r in rows], note) for title, rows, note in sections]
+    return "\n".join([header, "=" * len(header), "", *(text_table(*s) for s in plain)])
 
 
-def as_html(header: str, sections: list[tuple[str, list[dict], str]], folder: str | None = None) -> str:
+def as_html(header: str, sections: list[tuple[str, list[dict], str]], folders: Folders | None = None, names: DataFrame | None = None) -> str:
+    """``folders`` adds pictures to listed candidates, and, with the reference set's ``names``, those of the references."""
     parts = []
     for title, rows, note in sections:
-        parts.append(html_table(title, rows, note))
-        if folder is not None and rows and "best_match" in rows[0]:
-            parts.append(figures(rows, len(rows), folder))
+        parts.append(html_table(title, [{k: v for k, v in r.items() if k not in HIDDEN} for r in rows], note))
+        if folders is not None and rows and "best_match" in rows[0]:
+            parts.append(pairs(rows, folders))
+    if folders is not None and names is not None:
+        parts.append(references(names, folders))
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(header)}</title><h1>{html.escape(header)}</h1>" + "".join(parts)

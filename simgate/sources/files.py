@@ -62,6 +62,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file on any file system that Spark knows, in place of one that stood there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = found.getFileSystem(spark._jsc.hadoopConfiguration()).create(found, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def attribute_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The attribute CSV, all strings; quoted commas stay in their field, blanks are empty. None where there is no such file."""
     if not exists(spark, path):

@@ -144,9 +144,14 @@ def test_files(spark, tmp_path):
 
 def test_report_formats():
     assert report.shown(float("nan")) == "-" and report.shown(0.12345) == "0.123" and report.percent(0.125) == "12.5%"
-    rows = [{"name": f"n{i}<", "score": 0.5, "best_match": "r", "group": "g"} for i in range(25)]
-    out = report.figures(rows, 25, "img")
-    assert out.count("<figure>") == 20 and "+5 more" in out and "n0&lt;" in out
+    rows = [{"name": f"n{i}<", "score": 0.5, "best_match": "r", "group": "g", "kind": "negative", "picture": f"g h/n{i}<"} for i in range(25)]
+    out = report.pairs(rows, report.Folders("img", "ref"))
+    assert out.count("<li><p>") == 20 and out.count("<figure>") == 40 and "+5 more not shown" in out and "n0&lt;" in out
+    assert 'src="img/g h/n0&lt;" alt="n0&lt;"' in out and 'src="ref/r" alt="r"' in out  # the picture lies deep, its label is the name
+    assert report.source_of("/data/img", "a/b.jpg", "/data/out/r.html") == "../img/a/b.jpg" and report.source_of("s3://x/img", "b.jpg", "/r.html") == "s3://x/img/b.jpg"
+    assert report.pairs(rows[:1], report.Folders("img", "ref", "r.html")).count("+") == 0
+    page = report.as_html("t", [("Errors", rows, ""), ("None", [], "")])
+    assert "<img" not in page and "<th>picture</th>" not in page and "<h2>None</h2><p>none</p>" in page
 
 
 def test_stream(spark, tmp_path):
@@ -327,3 +332,19 @@ def test_writes_are_whole_or_not_at_all(spark, stored, tmp_path):
     with pytest.raises(guards.GuardError, match="the artifact says 15"):
         artifact.read_artifact(spark, str(tmp_path / "a"))
     assert artifact.find_artifacts(spark, str(tmp_path)) == [f"file:{tmp_path}/a"] and artifact.find_artifacts(spark, str(tmp_path / "none")) == []
+
+
+def test_named_artifacts_and_reports(spark, stored, tmp_path, capsys):
+    """Without a name, an artifact and reports get one that tells what they were made with; an evaluation takes the last artifact."""
+    common = ["--positives", f"{stored}/pos", "--negatives", f"{stored}/neg", "--split", f"{stored}/split", "--artifacts", str(tmp_path / "a"), "--reports", str(tmp_path / "r"), "--figures", str(tmp_path / "img"), "--nested-figures"]
+    assert cli.main(["evaluate", *common], spark) == 2 and "calibrate first" in capsys.readouterr().err
+    assert cli.main(["calibrate", *common, "--replay", "--policy", "youdens-j", "--hard", "Persian", "--positive-figures", "http://photos/p"], spark) == 0
+    (made,) = [p.name for p in (tmp_path / "a").iterdir()]
+    assert made == "calibration-three-way-seed20240601-g15-c10-t10-m--one-detect-m0.1-youdens-j"
+    document, _ = artifact.read_artifact(spark, str(tmp_path / "a" / made))
+    (page,) = [p for p in (tmp_path / "r").iterdir() if p.suffix == ".html"]
+    text = page.read_text()
+    assert page.name == "report-three-way-seed20240601-g15-c10-t10-m--one-detect-m0.1-max.html" and "15 references" in text
+    assert text.count('src="http://photos/p/') >= 15 + 20 and 'src="../img/Persian/n' in text and "picture" not in text
+    assert cli.main(["evaluate", *common, "--external"], spark) == 0
+    assert f"Evaluation at {document['threshold']}" in capsys.readouterr().out and (tmp_path / "r" / f"external-three-way-seed20240601-g15-c10-t10-m--one-detect-m0.1-{document['aggregation']}.html").exists()
