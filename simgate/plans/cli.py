@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from simgate.operators import guards, scoring, thresholds
 from simgate.plans import build, report
 from simgate.plans import calibrate as runs
-from simgate.sources import cache, files
+from simgate.sources import cache, files, shared
 
 
 def parser() -> argparse.ArgumentParser:
@@ -161,6 +161,12 @@ def detect_run(spark: SparkSession, args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("simgate").getOrCreate()
+    with shared.scope(spark):
+        return command(spark, args)
+
+
+def command(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Run one command; 0, or 2 where a guard does not hold."""
     try:
         if args.command in ("build", "detect"):
             (build_run if args.command == "build" else detect_run)(spark, args)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from simgate.operators.guards import require
 
 
+#: Folders of the tables of runs that are under way.
+_scopes: list[list[str]] = []
+
+
 def folder_of(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; without it only a session on one machine has a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,16 +27,22 @@ def folder_of(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, worked out once: later uses read the table, also after an executor is lost."""
     path = f"{folder_of(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that ``kept`` gave, when everything that reads them is written itself."""
-    for table in tables:
-        for path in {p.rsplit("/", 1)[0] for p in table.inputFiles()}:
-            found = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``kept`` writes inside are deleted at the end, whatever happens: for runs that have shown or stored all they give."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def published(spark: SparkSession, folder: str, write: Callable[[str], object]) -> object:

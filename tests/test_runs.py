@@ -348,3 +348,19 @@ def test_named_artifacts_and_reports(spark, stored, tmp_path, capsys):
     assert text.count('src="http://photos/p/') >= 15 + 20 and 'src="../img/Persian/n' in text and "picture" not in text
     assert cli.main(["evaluate", *common, "--external"], spark) == 0
     assert f"Evaluation at {document['threshold']}" in capsys.readouterr().out and (tmp_path / "r" / f"external-three-way-seed20240601-g15-c10-t10-m--one-detect-m0.1-{document['aggregation']}.html").exists()
+
+
+def test_tables_of_a_run_are_deleted(spark, stored):
+    import os
+
+    from simgate.sources.shared import folder_of, kept, scope
+
+    folder = folder_of(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    args = ["evaluate", "--positives", f"{stored}/pos", "--negatives", f"{stored}/neg", "--split", f"{stored}/split", "--artifact", f"{stored}/artifact"]
+    assert cli.main(args, spark) == 0 and set(os.listdir(folder)) == before
+    with pytest.raises(KeyError), scope(spark):
+        kept(spark.range(3), "lost")
+        raise KeyError("stop")
+    own = kept(spark.range(3), "mine")
+    assert own.count() == 3 and len(set(os.listdir(folder)) - before) == 1
