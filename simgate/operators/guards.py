@@ -40,9 +40,10 @@ def counts_fit(total: int, reference: int, calibration: int, test: int) -> None:
 
 def disjoint(roles: DataFrame, key: str = "name") -> None:
     """No name of a group twice in a role, nor in two roles of a dataset."""
-    bad = roles.groupBy("dataset", "group", key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("role").alias("roles")).where("n > 1").orderBy("dataset", "group", key)
+    keys = [c for c in ("dataset", "group") if c in roles.columns] + [key]
+    bad = roles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("role").alias("roles")).where("n > 1").orderBy(*keys)
     rows = bad.limit(5).collect()
-    require(not rows, "names stand more than once: " + ", ".join("/".join(str(x) for x in (r["dataset"], r["group"], r[key]) if x is not None) + f" ({r['roles']} roles)" for r in rows))
+    require(not rows, "names stand more than once: " + ", ".join("/".join(str(r[c]) for c in keys if r[c] is not None) + f" ({r['roles']} roles)" for r in rows))
 
 
 def all_present(wanted: DataFrame, have: DataFrame, key: str | list[str], what: str) -> None:

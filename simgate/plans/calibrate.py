@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from simgate.functions.scalars import passes
@@ -57,17 +57,23 @@ def make_split(positives: DataFrame, negatives: DataFrame, settings: Settings) -
 
 
 def score_roles(roles: DataFrame, positives: DataFrame, negatives: DataFrame, which: str, reference: DataFrame | None = None) -> DataFrame:
-    """Scores (both aggregations, in one pass) of the members of roles: ``setup`` (calibration and setup) or ``test``.
+    """Scores (both aggregations, in one pass, written once) of the members of roles: ``setup`` (calibration and setup) or ``test``.
 
     ``positives`` and ``negatives`` are caches (name, embedding[, group][, row]); a vector belongs to a name in its group
     and dataset, the last row of a repeated one. ``reference`` replaces the split's own.
     """
     cache = relations.keyed(positives.drop("group"), POSITIVE).unionByName(relations.keyed(negatives, NEGATIVE))
-    if reference is None:
-        reference = relations.vectors_of(roles.where("role = 'reference'").select("ord", *relations.KEY), cache, "the positives' cache")
+    if reference is None:  # a missing vector is null, which the reference set refuses
+        reference = relations.vectors_or_none(roles.where("role = 'reference'").select("ord", *relations.KEY), cache).drop("found")
     wanted = roles.where(F.col("role") == "test" if which == "test" else F.col("role").isin("calibration", "setup"))
-    queries = relations.vectors_of(wanted.select("role", "ord", *relations.KEY), cache, "the caches")
-    return scoring.score_all(queries.select(F.col("dataset").alias("kind"), "role", "ord", "name", "group", "embedding"), reference)
+    queries = relations.vectors_or_none(wanted.select("role", "ord", *relations.KEY), cache)
+    scored = scoring.score_all(queries.select(F.col("dataset").alias("kind"), "role", "ord", "name", "group", "found", "embedding"), reference)
+    seen = Observation()  # whether all were there is told by the write itself
+    out = kept(scored.observe(seen, F.count_if(~F.col("found")).alias("missing")), "scored")
+    if seen.get["missing"]:
+        first = out.where("NOT found").orderBy("kind", "group", "name").limit(5).collect()
+        raise guards.GuardError(f"{seen.get['missing']} names are missing from the caches: " + ", ".join("/".join(x for x in (r["kind"], r["group"], r["name"]) if x) for r in first))
+    return out.drop("found")
 
 
 def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, identity: dict, settings: Settings, split_dir: str | None = None, artifact_dir: str | None = None, poses: DataFrame | None = None, replay: bool = False, records: DataFrame | None = None) -> dict:
@@ -90,9 +96,11 @@ def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, i
             named = named.join(records.select("name", "head_visible", "tail_visible"), "name", "left")
         roles = make_split(named, negatives.select("name", "group"), settings)
         if split_dir is not None:
-            split_store.write_split(roles, split_dir, identity, vars(settings))
-            roles, _ = split_store.read_split(spark, split_dir)
-    scored = kept(score_roles(roles, positives, negatives, "setup"), "scored")
+            roles = split_store.write_split(roles, split_dir, identity, vars(settings))
+        else:
+            roles = kept(roles, "roles")
+            guards.disjoint(roles)
+    scored = score_roles(roles, positives, negatives, "setup")
     rows = scoring.chosen(scored, settings.aggregation)
     out = {"roles": roles, "scored": rows, "grid": metrics.sweep_grid(rows, settings.step)}
     buckets = kept(metrics.bucketed(rows, out["grid"], settings.hard), "buckets")  # counted once for both curves
@@ -100,23 +108,23 @@ def calibrate(spark: SparkSession, positives: DataFrame, negatives: DataFrame, i
     if settings.policy is None:
         return out
     heads = {}
+    thresholds.check_inputs(rows, settings.policy, settings.hard, settings.target_group)  # of the rows, whatever their scores
     for aggregation in scoring.AGGREGATIONS:
         own = scoring.chosen(scored, aggregation)
-        thresholds.check_inputs(own, settings.policy, settings.hard, settings.target_group)
         heads[aggregation] = thresholds.pick(own, settings.policy, settings.hard, settings.target_fpr, settings.target_group).first().asDict()
     frame = spark.createDataFrame([{"aggregation": a, **{k: h[k] for k in ("fpr_hard", "fpr_overall", "recall")}} for a, h in heads.items()], "aggregation string, fpr_hard double, fpr_overall double, recall double")
     out["choices"], out["choice"] = heads, heads[settings.aggregation]
     if artifact_dir is not None:
         best = thresholds.winner(frame).first()["aggregation"]
-        own = scoring.chosen(scored, best)
         chosen = roles.where("role = 'reference'").select("ord", *relations.KEY)
-        reference = relations.vectors_of(chosen, relations.keyed(positives.drop("group"), POSITIVE), "the positives' cache").select("ord", "name", "embedding")
+        reference = kept(relations.vectors_or_none(chosen, relations.keyed(positives.drop("group"), POSITIVE)).select("ord", "name", "embedding"), "reference")
         if poses is not None:
             guards.all_present(reference, poses, "name", "the attribute table")
             reference = reference.join(poses.select("name", "position", "view"), "name", "left")
         else:
             reference = reference.withColumns({"position": F.lit(""), "view": F.lit("")})
-        curve = metrics.sweep(own, metrics.sweep_grid(own, settings.step), settings.hard)
+        own = scoring.chosen(scored, best)
+        curve = out["sweep"] if best == settings.aggregation else metrics.sweep(own, metrics.sweep_grid(own, settings.step), settings.hard)
         provenance = {"policy": settings.policy, "target_fpr": settings.target_fpr, "target_group": settings.target_group, "seed": settings.seed, "hard_groups": settings.hard}
         out["artifact"] = artifacts.write_artifact(artifact_dir, reference, heads[best]["cutoff"], best, identity, heads[best], heads, curve, provenance)
     return out
@@ -145,7 +153,7 @@ def evaluate(spark: SparkSession, artifact_dir: str, split_dir: str, positives:
     if hard is None:
         hard = document["provenance"]["hard_groups"] if external is None else list(EXTERNAL_HARD_GROUPS)
     threshold = document["threshold"]
-    rows = scoring.chosen(kept(score_roles(roles, positives, negatives, "test", reference), "scored"), document["aggregation"])
+    rows = scoring.chosen(score_roles(roles, positives, negatives, "test", reference), document["aggregation"])
     rates = metrics.fixed_rates(rows, threshold, hard)
     before = spark.createDataFrame([{k: document["metrics"][k] for k in ("fpr_overall", "fpr_hard", "recall")}], "fpr_overall double, fpr_hard double, recall double")
     out = {

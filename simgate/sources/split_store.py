@@ -20,17 +20,19 @@ def _groups(roles: DataFrame) -> dict:
     return {role: {r["group"]: r["count"] for r in sorted(rows, key=lambda r: str(r["group"])) if r["role"] == role} for role in ("setup", "test")}
 
 
-def write_split(roles: DataFrame, folder: str, identity: dict, parameters: dict) -> None:
-    guards.disjoint(roles)
+def write_split(roles: DataFrame, folder: str, identity: dict, parameters: dict) -> DataFrame:
+    """Store a split and return the roles as they are stored; drawn once, and checked where they lie."""
     spark = roles.sparkSession
 
     def write(part: str) -> None:
         roles.select("dataset", "role", F.col("ord").cast("long").alias("ord"), "name", "group").write.parquet(f"{part}/roles")
         stored = spark.read.schema(ROLES).parquet(f"{part}/roles")
+        guards.disjoint(stored)
         header = {"format_version": VERSION, "generated_at": datetime.now(UTC).isoformat(), "parameters": parameters, "identity": identity, "groups": _groups(stored)}
         spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.text(f"{part}/header")
 
     published(spark, folder, write)
+    return spark.read.schema(ROLES).parquet(f"{folder}/roles")
 
 
 def read_split(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
