@@ -5,8 +5,9 @@ are (shares of character kinds, of pairs of kinds, of repeated words), a gated a
 network weighs the passages, and the weighted passage representation is scored. All weights are
 learned together from labels of documents alone, by gradient descent in numpy on a sample of labelled
 documents: about ``SAMPLE_ROWS`` at most, and so few that they hold about ``SAMPLE_PASSAGES`` passages
-in all. A hash of the id chooses them, whatever their length, and each is learned from whole; every
-document is scored, over all of its passages.
+in all. A hash of the id chooses them, whatever their length. Each is learned from whole, but one of more than
+``BAG_PASSAGES`` passages (800,000 characters) from so many of them, evenly spaced over all of the text, so that no
+single text decides the size of the sample; every document is scored, over all of its passages.
 
 Defined results: a null or empty text is one empty passage and gets a score like any other; a
 null id stays null, is not held out and not learned from; of several labels of one document the
@@ -30,7 +31,9 @@ from simgate.llm.shared import discard, written
 from simgate.llm.tables import byte_slices, documents, map_texts, table
 
 PASSAGE = 400
-SAMPLE_ROWS, SAMPLE_PASSAGES = 6_000, 200_000
+#: Characters of a text that are looked at together: whole passages.
+PART = 4_000 * PASSAGE
+SAMPLE_ROWS, SAMPLE_PASSAGES, BAG_PASSAGES = 6_000, 200_000, 2_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 64, 0.01, 1e-4
 #: Kinds of characters: each ASCII mark for itself, then the rest.
 MARKS = 33
@@ -58,7 +61,21 @@ _tables: list = []
 
 
 def passages(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Features (passages, FEATURES) of all passages, and where each text's begin, with the end."""
+    """Features (passages, FEATURES) of all passages, and where each text's begin, with the end.
+
+    A long text is taken in parts of ``PART`` characters, whole passages each, as passages don't depend on one another.
+    """
+    if all(len(t or "") <= PART for t in texts):
+        return _passages(texts)
+    made, counts = [], []
+    for text in texts:
+        parts = [_passages([(text or "")[k : k + PART]])[0] for k in range(0, max(len(text or ""), 1), PART)]
+        made += parts
+        counts.append(sum(map(len, parts)))
+    return np.concatenate(made), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _passages(texts: list) -> tuple[np.ndarray, np.ndarray]:
     if not _tables:
         _tables.append(_kinds())
     fine_of, coarse_of = _tables[0]
@@ -169,7 +186,12 @@ class Model:
         return {"score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
 
-def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_passages: int = SAMPLE_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def spread(rows: np.ndarray, most: int) -> np.ndarray:
+    """All of the rows, or ``most`` of them, evenly spaced."""
+    return rows if len(rows) <= most else rows[np.arange(most) * len(rows) // most]
+
+
+def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_passages: int = SAMPLE_PASSAGES, bag_passages: int = BAG_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from the labelled rows of df."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
     place, whole = F.pmod(F.xxhash64("id"), F.lit(1 << 20)), 1 << 20
@@ -177,7 +199,8 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample
     picked = known.where(place < int(share * whole))  # about sample_rows rows
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
     rows = labelled = written(rows.select("id", "y", "text"), "labelled")
-    held = rows.agg(F.sum(F.greatest(F.ceil(F.coalesce(F.length("text"), F.lit(0)) / PASSAGE), F.lit(1)))).first()[0] or 0
+    own = F.least(F.greatest(F.ceil(F.coalesce(F.length("text"), F.lit(0)) / PASSAGE), F.lit(1)), F.lit(bag_passages))
+    held = rows.agg(F.sum(own)).first()[0] or 0
     if held > sample_passages:
         rows = rows.where(place < int(share * sample_passages / held * whole))
 
@@ -185,7 +208,7 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample
         for batch in batches:
             for a, b in byte_slices(batch.column(2)):
                 x, first = passages(batch.column(2).slice(a, b - a).to_pylist())
-                bags = [x[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                bags = [spread(x[i:j], bag_passages).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 
     sample = sorted((r["id"], r["y"], bytes(r["bag"])) for r in rows.mapInArrow(run, "id long, y int, bag binary").collect())
