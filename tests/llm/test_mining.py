@@ -267,3 +267,27 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     assert toxicity.score(empty(spark), model).collect() == []
     assert toxicity.fit(docs(spark, rows).where("false"), labels(spark, marks)).learned is False
     assert toxicity.score(docs(spark, [(1, "zorkface " + prose(20_000, 8), "en")]), model).where(F.col("score") >= 0).count() == 1
+
+
+# op8: one very long text among the labels
+
+
+def test_quality_of_very_long_texts(spark, monkeypatch):
+    from simgate.llm import quality
+
+    long = prose(9_000, 41) + " 漢字 \n" + prose(3_000, 42)
+    whole = quality.passages([long, None, "short"])
+    monkeypatch.setattr(quality, "PART", 3 * quality.PASSAGE)
+    parts = quality.passages([long, None, "short"])
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+    rows = np.arange(10)[:, None]
+    assert quality.spread(rows, 4).ravel().tolist() == [0, 2, 5, 7] and quality.spread(rows, 10) is rows
+    # a labelled text a thousand times as long as the others leaves their share of the sample as it is
+    texts = [(i, prose(60, i) if i % 2 else "A1! " * 60, "en") for i in range(200)] + [(200, prose(60_000, 7), "en")]
+    frame = docs(spark, texts)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(200, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Model, "learn", lambda self, bags, y: seen.append([len(b) for b in bags]) or self)
+    quality.fit(frame, marks, sample_passages=500, bag_passages=20)
+    quality.fit(frame, marks, sample_passages=500, bag_passages=10**6)
+    assert len(seen[0]) > 150 and max(seen[0]) <= 20 and len(seen[1]) < 150
