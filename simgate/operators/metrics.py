@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from simgate.functions.scalars import group_or_unknown, is_hard, passes
 from simgate.operators import ranges
 from simgate.operators.guards import require
-from simgate.operators.ranges import running
+from simgate.operators.ranges import running_within
 
 POSITIVE, NEGATIVE = "positive", "negative"
 #: Digits of figures; of means fewer, as sums of doubles differ in their last digits with order.
@@ -30,10 +30,8 @@ def rounded(c: Column) -> Column:
 def summarize(scored: DataFrame, *by: str) -> DataFrame:
     """n, mean, min, p50, p95, max of the scores by columns without nulls; percentiles are exact and interpolated."""
     counts = scored.where("score IS NOT NULL").groupBy(*by, "score").agg(F.count(F.lit(1)).alias("count"))
-    upto = running(counts, {name: F.col(name) for name in (*by, "score")}, {"upto": F.col("count")})
-    groups = upto.groupBy(*by).agg(F.sum("count").alias("n"), F.min(F.col("upto") - F.col("count")).alias("start"))
-    both = upto.join(groups, list(by)) if by else upto.crossJoin(F.broadcast(groups))
-    end = F.col("upto") - F.col("start")  # places of a score in its group: from end - count, to before end
+    both = running_within(counts, list(by), {"score": F.col("score")}, F.col("count"), "upto")
+    end = F.col("upto")  # places of a score in its group: from end - count, to before end
 
     def percentile(p: float) -> Column:
         at = (F.max("n") - 1) * F.lit(p)

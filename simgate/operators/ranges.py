@@ -40,14 +40,26 @@ def placed(rows: DataFrame, order: dict[str, Column], name: str) -> DataFrame:
     return running(rows, order, {name: F.lit(1).cast("long")})
 
 
-def placed_within(rows: DataFrame, group: str, order: dict[str, Column], name: str) -> DataFrame:
-    """rows with their place, from 1, in their group, and the group's size, ``n``; one group may hold most rows."""
-    keys = {"order_group": F.col(group)} | {f"order_{n}": c for n, c in order.items()}
-    ranged = kept(rows.withColumns(keys).repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
-    each = ranged.groupBy("range", F.col(group).alias("of")).agg(F.count(F.lit(1)).alias("own"))  # a row for each range and group that meet
-    one = Window.partitionBy("of")
-    before = F.sum("own").over(one.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = each.select(F.col("range").alias("at"), "of", F.coalesce(before, F.lit(0)).alias("start"), F.sum("own").over(one).alias("n"))
-    got = ranged.join(F.broadcast(starts), (F.col("range") == F.col("at")) & F.col(group).eqNullSafe(F.col("of")))
-    inside = F.row_number().over(Window.partitionBy("range", group).orderBy(*keys))
+def running_within(rows: DataFrame, by: list[str], order: dict[str, Column], weight: Column, name: str) -> DataFrame:
+    """rows with the running sum of a weight (this row's included) in their group, and the group's sum, ``n``; one group may hold most rows.
+
+    Groups lie one after another, so a range and a group meet about as often as there are ranges and groups.
+    """
+    keys = {f"order_by_{i}": F.col(c) for i, c in enumerate(by)} | {f"order_{n}": c for n, c in order.items()}
+    ranged = kept(rows.withColumns(keys | {"own_weight": weight}).repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
+    of = [f"of_{i}" for i in range(len(by))]
+    each = ranged.groupBy(F.col("range").alias("at"), *(F.col(c).alias(o) for c, o in zip(by, of, strict=True))).agg(F.sum("own_weight").alias("own"))
+    one = Window.partitionBy(*of)
+    before = F.sum("own").over(one.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = each.select("at", *of, F.coalesce(before, F.lit(0)).alias("start"), F.sum("own").over(one).alias("n"))
+    meet = F.col("range") == F.col("at")
+    for c, o in zip(by, of, strict=True):
+        meet = meet & F.col(c).eqNullSafe(F.col(o))
+    got = ranged.join(F.broadcast(starts), meet)
+    inside = F.sum("own_weight").over(Window.partitionBy("range", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return got.select(*rows.columns, (F.col("start") + inside).alias(name), "n")
+
+
+def placed_within(rows: DataFrame, group: str, order: dict[str, Column], name: str) -> DataFrame:
+    """rows with their place, from 1, in their group, and the group's size, ``n``."""
+    return running_within(rows, [group], order, F.lit(1).cast("long"), name)
