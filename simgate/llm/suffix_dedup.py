@@ -40,7 +40,7 @@ from simgate.llm.shared import discard, written
 from simgate.llm.tables import documents
 
 #: Suffixes of one sorted run, and of one range of the merge.
-RUN, RANGE = 30_000, 60_000
+RUN, RANGE = 20_000, 40_000
 #: Sampled contexts for each range, and the least of them in all.
 SAMPLES, SAMPLE = 4, 4_000
 #: Rows that are Python objects at a time, and rows of one output batch.
